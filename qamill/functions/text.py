@@ -129,3 +129,8 @@ def quoted(term: Column) -> Column:
 def first_of(*candidates: Column) -> Column:
     """First candidate that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates])
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
