@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+# The same white space as characters, for trimming without a regex.
+SPACE_CHARS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+MARK = "\ue000"  # private-use character that parts matches from gaps
 SENTENCE_GAP = rf"(?<=[.!?])[{SPACE}]+"
 
 
@@ -21,7 +28,7 @@ def squeeze(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.trim(text, F.lit(SPACE_CHARS))
 
 
 def clean(text: Column, drop_special: bool = False) -> Column:
@@ -67,12 +74,16 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Array of ``n``-grams, each joined by a blank."""
-    count = F.size(tokens) - (n - 1)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(count < 1, F.array().cast("array<string>")).otherwise(grams)
+
+    def cut(t: Column) -> Column:
+        count = F.size(t) - (n - 1)
+        grams = F.transform(
+            F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
+            lambda i: F.array_join(F.slice(t, i, n), " "),
+        )
+        return F.when(count < 1, F.array().cast("array<string>")).otherwise(grams)
+
+    return tokens if n == 1 else bind(tokens, cut)
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
@@ -83,11 +94,10 @@ def multiset_overlap(a: Column, b: Column) -> Column:
     """
 
     def numbered(items: Column) -> Column:
-        ordered = F.array_sort(items)
-        return F.transform(
+        return bind(F.sort_array(items), lambda ordered: F.transform(
             ordered,
             lambda x, i: F.concat_ws("#", x, (i - F.array_position(ordered, x)).cast("string")),
-        )
+        ))
 
     return F.size(F.array_intersect(numbered(a), numbered(b)))
 
@@ -95,24 +105,26 @@ def multiset_overlap(a: Column, b: Column) -> Column:
 def spans(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` as ``(match, start, end)``, offsets from 0.
 
-    Splitting and extracting walk the text with the same matcher, so the lengths
-    of the pieces between and of the matches add up to exact offsets.
+    One regex pass sets a mark around each match; cutting at the marks gives gap,
+    match, gap, … and their lengths add up to exact offsets. A text that holds the
+    mark itself takes two passes, one for the gaps and one for the matches.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
     gaps = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.flatten(F.zip_with(gaps, hits, lambda g, h: F.array(g, h)))
+    plain = F.filter(pairs, lambda x: x.isNotNull())
+    pieces = F.when(F.contains(text, F.lit(MARK)), plain).otherwise(marked)
     empty = F.array().cast("array<struct<match:string,start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-    pairs = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), empty.alias("out"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["pos"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        one = F.struct(pair["hit"].alias("match"), begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def step(acc: Column, piece: Column) -> Column:
+        end = acc["pos"] + F.length(piece)
+        one = F.struct(piece.alias("match"), acc["pos"].alias("start"), end.alias("end"))
+        out = F.when(acc["hit"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), out.alias("out"))
 
-    return F.aggregate(
-        F.filter(pairs, lambda p: p["hit"].isNotNull()), start, step, lambda acc: acc["out"]
-    )
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
 def count_plain(text: Column, term: Column) -> Column:

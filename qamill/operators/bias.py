@@ -84,7 +84,7 @@ def contingency(rows: DataFrame, field1: str, field2: str) -> DataFrame:
     full = cells(rows, field1, field2)
     by_row = full.groupBy("value1").agg(
         F.map_from_entries(F.collect_list(F.struct("value2", "n"))).alias("found"))
-    columns = full.agg(F.array_sort(F.collect_set("value2")).alias("all"))
+    columns = full.agg(F.sort_array(F.collect_set("value2")).alias("all"))
     return (
         by_row.join(F.broadcast(columns))  # one row
         .select("value1", "found", F.explode("all").alias("value2"))

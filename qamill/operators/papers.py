@@ -17,13 +17,14 @@ from qamill.functions import text as tx
 
 # The heading, caption and citation forms.
 HEADING_FORMS = (
-    r"^(?:Abstract)[\s:]*$",
-    r"^(?:\d+(?:\.\d+)*\.?\s+[A-Z][a-zA-Z\s]+)[\s:]*$",
-    r"^(?:[A-Z][a-zA-Z\s]+)[\s:]*$",
-    r"^(?:Introduction|Background|Related Work|Methods?|Methodology|Experiments?"
+    r"Abstract[\s:]*$",
+    r"\d+(?:\.\d+)*\.?\s+[A-Z][a-zA-Z\s]+[\s:]*$",
+    r"[A-Z][a-zA-Z\s]+[\s:]*$",
+    r"(?:Introduction|Background|Related Work|Methods?|Methodology|Experiments?"
     r"|Results|Discussion|Conclusion|References)[\s:]*$",
 )
-HEADING = r"(?md)" + "|".join(f"(?:{p})" for p in HEADING_FORMS)
+ANY_HEADING = "^(?:" + "|".join(HEADING_FORMS) + ")"
+HEADING = "(?md)" + ANY_HEADING
 FIGURE = r"Fig(?:ure)?\.?\s+\d+[\.:]?\s+[^\n.]+\."
 TABLE_FORMS = (r"Table\s+\d+[\.:]?\s+[^\n.]+\.", r"Tab\.\s+\d+[\.:]?\s+[^\n.]+\.")
 ONE_AUTHOR = r"[A-Za-z]+(?:\s+et\s+al\.)?(?:,\s+\d{4})?"
@@ -50,7 +51,7 @@ def bound(rule):
 def full_text(pages: DataFrame) -> DataFrame:
     """``(paper_id, page, text)`` to one text per paper, pages parted by a blank line."""
     kept = pages.where(F.coalesce(F.length("text"), F.lit(0)) > 0)
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     return kept.groupBy("paper_id").agg(
         F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("full_text"),
         F.min_by("text", "page").alias("first_page"),
@@ -66,22 +67,28 @@ def words_to_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """
     item = F.struct("top", "x0", "text", "x1", "bottom")
     line_type = "array<struct<text:string,top:double,bottom:double,x0:double,x1:double>>"
-    pages = words.groupBy("paper_id", "page").agg(F.array_sort(F.collect_list(item)).alias("words"))
+    pages = words.groupBy("paper_id", "page").agg(F.sort_array(F.collect_list(item)).alias("words"))
 
-    def step(lines: Column, w: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        same = (F.size(lines) > 0) & (F.abs(w["top"] - last["top"]) <= tolerance)
+    def step(acc: Column, w: Column) -> Column:
+        cur = acc["cur"]
+        fresh = F.struct(w["text"].alias("text"), w["top"].alias("top"), w["bottom"].alias("bottom"),
+                         w["x0"].alias("x0"), w["x1"].alias("x1"))
         grown = F.struct(
-            F.concat_ws(" ", last["text"], w["text"]).alias("text"), last["top"].alias("top"),
-            F.greatest(last["bottom"], w["bottom"]).alias("bottom"), last["x0"].alias("x0"),
+            F.concat_ws(" ", cur["text"], w["text"]).alias("text"), cur["top"].alias("top"),
+            F.greatest(cur["bottom"], w["bottom"]).alias("bottom"), cur["x0"].alias("x0"),
             w["x1"].alias("x1"),
         )
-        fresh = F.struct(w["text"].alias("text"), w["top"].alias("top"), w["bottom"].alias("bottom"),
-                         w["x0"].alias("x0"), w["x1"].alias("x1"))
-        return F.when(same, F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(grown))
-                      ).otherwise(F.concat(lines, F.array(fresh)))
-
-    lines = F.aggregate("words", F.array().cast(line_type), step)
+        same = F.abs(w["top"] - cur["top"]) <= tolerance
+        done = F.when(cur.isNotNull(), F.concat(acc["out"], F.array(cur))).otherwise(acc["out"])
+        return F.when(same, F.struct(acc["out"].alias("out"), grown.alias("cur"))).otherwise(
+            F.struct(done.alias("out"), fresh.alias("cur")))
+
+    start = F.struct(
+        F.array().cast(line_type).alias("out"),
+        F.lit(None).cast("struct<text:string,top:double,bottom:double,x0:double,x1:double>").alias("cur"))
+    lines = F.aggregate(
+        "words", start, step,
+        lambda acc: F.when(acc["cur"].isNotNull(), F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
     return pages.select("paper_id", "page", F.posexplode(lines).alias("line_ix", "line")).select(
         "paper_id", "page", "line_ix", "line.*")
 
@@ -125,7 +132,7 @@ def abstract(text: Column, first_page: Column | None = None) -> Column:
     page = text if first_page is None else first_page
     at = F.locate("abstract", F.lower(page))
     lines = F.slice(F.transform(F.split(F.substring(page, at, F.length(page)), "\n"), tx.strip), 2, 1000000)
-    is_head = lambda x: x.rlike("|".join(f"(?:{p})" for p in HEADING_FORMS))
+    is_head = lambda x: x.rlike(ANY_HEADING)
     stop = F.array_position(
         F.transform(lines, lambda x, i: is_head(x) | (
             (x == "") & F.coalesce(is_head(F.get(lines, i + 1)), F.lit(False)))), True)
@@ -161,8 +168,7 @@ def sections(text: Column) -> Column:
     return tx.bind(found, lambda s: F.when(F.size(s) > 0, s).otherwise(whole))
 
 
-def _mentions(text: Column, forms: list[str], number: Column) -> Column:
-    low = F.lower(text)
+def _mentions(low: Column, forms: list[str], number: Column) -> Column:
     counts = [tx.count_plain(low, F.concat(F.lit(f + " "), number)) for f in forms]
     return sum(counts[1:], counts[0]) - 1
 
@@ -176,12 +182,12 @@ def captions(text: Column, kind: str) -> Column:
         hits = F.concat(*[tx.spans(text, p) for p in TABLE_FORMS])
         number, forms = r"Ta(?:b(?:le)?)?\.?\s+(\d+)", ["table", "tab."]
 
-    def row(h: Column) -> Column:
+    def row(h: Column, low: Column) -> Column:
         n = F.regexp_extract(h["match"], number, 1)
         return F.struct(F.lit(kind).alias("kind"), n.alias("number"), tx.strip(h["match"]).alias("caption"),
-                        h["start"].alias("position"), _mentions(text, forms, n).alias("reference_count"))
+                        h["start"].alias("position"), _mentions(low, forms, n).alias("reference_count"))
 
-    return F.transform(hits, row)
+    return tx.bind(F.lower(text), lambda low: F.transform(hits, lambda h: row(h, low)))
 
 
 def grid_records(grid: Column) -> Column:

@@ -180,7 +180,7 @@ def flags_by_label(near: DataFrame, labels: DataFrame) -> DataFrame:
     return (
         near.join(of_query, "query_id").join(of_doc, "doc_id")
         .groupBy("query_id", "query_label")
-        .agg(F.array_sort(F.collect_list(
+        .agg(F.sort_array(F.collect_list(
             F.struct("rank", (F.col("query_label") == F.col("doc_label")).alias("hit"))
         )).alias("ranked"))
         .join(per_label, F.col("query_label") == F.col("label"))

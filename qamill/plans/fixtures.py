@@ -134,8 +134,22 @@ TABLES = (
 ).split()
 
 
+HEAVY = {"documents", "pages", "conversations"}  # long texts, much work per row
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that feeds fewer tasks than there are cores, dealt out evenly.
+
+    A small file is one row group and so one task. A scan with enough splits, as on
+    any large table, is left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

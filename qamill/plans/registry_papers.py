@@ -26,7 +26,7 @@ def papers(spark, sf):
 P = cte("v_papers")
 SP = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 STRIP = rf"'^[{SP}]+|[{SP}]+\z', '', 'g'"
-HEAD = "(?m)" + "|".join(f"(?:{p})" for p in pa.HEADING_FORMS)
+HEAD = "(?m)" + pa.ANY_HEADING
 LINES = f"list_transform(string_split(full_text, chr(10)), lambda x: regexp_replace(x, {STRIP}))"
 
 
@@ -144,7 +144,7 @@ def table_records(spark, sf):
     cell = lambda c: F.col(c).cast("string")
     grids = (
         orders.groupBy(F.col("o_custkey").alias("paper_id"))
-        .agg(F.array_sort(F.collect_list(F.array(cell("o_orderkey"), cell("o_totalprice"), F.lit(None).cast("string")))).alias("rows"))
+        .agg(F.sort_array(F.collect_list(F.array(cell("o_orderkey"), cell("o_totalprice"), F.lit(None).cast("string")))).alias("rows"))
         .select("paper_id", F.lit(1).alias("page"), (1 + F.col("paper_id") % 3).cast("int").alias("table_ix"),
                 F.concat(F.array(F.array(F.lit("key"), F.lit(" price "), F.lit(""))), F.col("rows")).alias("grid"))
     )

@@ -93,8 +93,8 @@ def _responses(spark, sf_dir):
         "ix", F.concat(F.lit("c"), F.col("ix").cast("string")).alias("id"), F.col("piece").alias("text")))
     return (
         pieces.groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(item)).alias("contexts"),
-             F.array_sort(F.collect_list(gold)).alias("gold"))
+        .agg(F.sort_array(F.collect_list(item)).alias("contexts"),
+             F.sort_array(F.collect_list(gold)).alias("gold"))
         .withColumn("system", F.concat(F.lit("sys"), (F.col("doc_id") % 3).cast("string")))
     )
 
