@@ -76,12 +76,11 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Array of ``n``-grams, each joined by a blank."""
 
     def cut(t: Column) -> Column:
-        count = F.size(t) - (n - 1)
-        grams = F.transform(
-            F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-            lambda i: F.array_join(F.slice(t, i, n), " "),
+        # Elements by index: slicing inside the loop would copy the array each time.
+        return F.transform(
+            F.slice(t, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0))),
+            lambda x, i: F.concat_ws(" ", x, *[F.get(t, i + j) for j in range(1, n)]),
         )
-        return F.when(count < 1, F.array().cast("array<string>")).otherwise(grams)
 
     return tokens if n == 1 else bind(tokens, cut)
 
