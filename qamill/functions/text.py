@@ -85,22 +85,6 @@ def ngrams(tokens: Column, n: int) -> Column:
     return tokens if n == 1 else bind(tokens, cut)
 
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Sum over items of the smaller of the two counts.
-
-    Numbering equal items (x#0, x#1, …) turns multisets into sets, so one hashed
-    set intersection gives the clipped count without leaving the row.
-    """
-
-    def numbered(items: Column) -> Column:
-        return bind(F.sort_array(items), lambda ordered: F.transform(
-            ordered,
-            lambda x, i: F.concat_ws("#", x, (i - F.array_position(ordered, x)).cast("string")),
-        ))
-
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
-
-
 def spans(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` as ``(match, start, end)``, offsets from 0.
 

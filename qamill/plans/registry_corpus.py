@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from qamill.functions import text as tx
 from qamill.operators import corpus as co
+from qamill.plans.corpus_build import CorpusOptions, build
 from qamill.plans.fixtures import cte, table, view
 from qamill.sources import cache, documents, results, sinks
 
@@ -243,3 +244,16 @@ def normalise_payload(spark, sf):
     rows = results.normalise_responses(raw)
     return rows.select("event_id", "success", "latency", "answer",
                        F.when(F.col("contexts").isNotNull(), F.size("contexts")).alias("n_contexts"))
+
+
+@query("corpus_build", rf"""WITH s AS ({_split_sql('PARTITION BY stratum')}),
+c AS (SELECT CAST(doc_id AS STRING) AS doc_id, trim(regexp_replace(text, '[{SP}]+', ' ', 'g')) AS text FROM documents)
+SELECT split, CAST(sum(ceil(length(text) / 900)) AS BIGINT) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM s JOIN c ON s.doc_id = c.doc_id WHERE length(text) > 0 GROUP BY split""")
+def corpus_build(spark, sf):
+    """The whole corpus step: clean, chunk, stratified split, members by split."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    chunks, splits = build(docs, CorpusOptions(stratum="lang"))
+    step = F.least(F.length("text"), F.lit(900))
+    return sinks.split_members(chunks, splits).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(step).alias("n_chars"))

@@ -9,6 +9,7 @@ from qamill.operators import catalogue as cat
 from qamill.operators import concepts as cp
 from qamill.operators import papers as pa
 from qamill.operators import questions as qu
+from qamill.plans import question_set
 from qamill.plans.fixtures import cte, table, view
 from qamill.plans.registry_papers import SECTIONS_SQL, STRIP, papers
 
@@ -38,8 +39,9 @@ def parsed(spark, sf):
 
 
 def full_papers(spark, sf):
-    base = parsed(spark, sf)
-    return cp.with_concepts(base, cp.concepts(base.select("paper_id", "sections")))
+    """The paper layer with concepts, written once for the steps that follow."""
+    texts = papers(spark, sf).withColumn("paper_id", F.col("paper_id").cast("string"))
+    return question_set.parse_papers(texts)
 
 
 CONCEPT_SQL = f"""{cte('v_papers')}, {SECTIONS_SQL},
@@ -265,3 +267,10 @@ def generate_questions(spark, sf):
     return qu.generate(full_papers(spark, sf)).select(
         "paper_id", "question_id", "question", "query_type", "complexity",
         F.array_join("special_categories", "|").alias("special_categories"), F.size("contexts").alias("n_contexts"))
+
+
+@query("question_set_report")
+def question_set_report(spark, sf):
+    """Papers to questions to validation to gold, and the counts of every layer."""
+    texts = papers(spark, sf).withColumn("paper_id", F.col("paper_id").cast("string"))
+    return question_set.report(question_set.build(texts, n=10))

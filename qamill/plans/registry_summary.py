@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from qamill.operators import answers as an
 from qamill.operators import summary as su
+from qamill.plans import evaluation
 from qamill.plans.fixtures import cte, table, view
 from qamill.sources import sinks
 
@@ -54,7 +55,7 @@ SELECT conv_id, turn, round(p, 6) AS "precision", round(r, 6) AS recall, round(C
 
 def _rouge(n):
     def run(spark, sf):
-        rows = an.with_counts(qa(spark, sf), sizes=(n,), lcs=False)
+        rows = an.with_counts(qa(spark, sf), bleu=False, lcs=False)
         return rows.select("conv_id", "turn", *[F.round(c, 6).alias(k) for k, c in an.rouge(n).items()])
     return run
 
@@ -71,13 +72,13 @@ SELECT conv_id, turn, round(CASE WHEN np = 0 OR h1 = 0 THEN 0 ELSE
   (CASE WHEN np > ng THEN 1 ELSE exp(1 - ng / np) END) * exp(({' + '.join(f'ln(CASE WHEN h{n} > 0 THEN h{n} ELSE 0.1 END / greatest(np - {n - 1}, 1))' for n in (1, 2, 3, 4))}) / 4) END, 6) AS bleu
 FROM s""")
 def bleu4(spark, sf):
-    return an.with_counts(qa(spark, sf), lcs=False).select("conv_id", "turn", F.round(an.bleu(), 6).alias("bleu"))
+    return an.with_counts(qa(spark, sf), rouge=False, lcs=False).select("conv_id", "turn", F.round(an.bleu(), 6).alias("bleu"))
 
 
 @query("rouge_l")
 def rouge_l(spark, sf):
     """LCS scores; no SQL twin for the subsequence, tests compare with brute force."""
-    rows = an.with_counts(qa(spark, sf), sizes=(1,))
+    rows = an.with_counts(qa(spark, sf), rouge=False, bleu=False)
     return rows.select("conv_id", "turn", *[F.round(c, 6).alias(k) for k, c in an.rouge_l().items()])
 
 
@@ -88,6 +89,30 @@ def answer_metrics(spark, sf):
     return rounded(an.answer_metrics(scored, ["system"]), "value")
 
 
+def _evaluated(spark, sf):
+    """Nested contexts and gold passages of every document, its half or whole text as answer."""
+    from qamill.plans.registry_retrieval import _responses
+
+    close = view(spark, sf, "v_close").select("doc_id", F.col("gold").alias("gold_text"), "answer")
+    return _responses(spark, sf).join(close, "doc_id").withColumns({
+        "success": F.col("doc_id") % 10 != 9, "latency": F.length("answer") / 1000, "question_ix": F.col("doc_id"),
+        "tags": F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("impossible"))).otherwise(F.array().cast("array<string>"))})
+
+
+@query("evaluate_systems")
+def evaluate_systems(spark, sf):
+    """The whole evaluation of three systems: retrieval, answer and robustness metrics."""
+    result = evaluation.evaluate(_evaluated(spark, sf), ["system"])
+    return rounded(result.metrics, "value")
+
+
+@query("evaluate_summary")
+def evaluate_summary(spark, sf):
+    """Summary and effectiveness from the same evaluation."""
+    result = evaluation.evaluate(_evaluated(spark, sf), ["system"], evaluation.MetricFlags(rouge=False, bleu=False))
+    return rounded(result.summary, "success_rate", "average_latency", "effectiveness")
+
+
 @query("greedy_match", """
 WITH v AS (SELECT vec_id // 10 AS pair, vec_id % 2 AS side, vec_id, embedding,
              sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) ** 2))) AS norm FROM embeddings),
