@@ -43,7 +43,7 @@ def _nearest(query_ids: np.ndarray, query_matrix: np.ndarray, docs: pd.DataFrame
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, skip_self: bool = False,
-                query_bytes: int = QUERY_BYTES, cells: int = 64) -> DataFrame:
+                query_bytes: int = QUERY_BYTES, cell_bytes: int = QUERY_BYTES) -> DataFrame:
     """The ``k`` nearest corpus vectors by squared L2 for each query, exact.
 
     Both inputs have ``(id, vector)``. Only ``k`` rows per query leave each batch,
@@ -74,10 +74,11 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, skip_self: bo
     else:
         per_block = max(1, query_bytes // (8 + 8 * size["dim"]))
         blocks = int(-(-size["n"] // per_block))
-        q = (queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        cells = max(1, -(-corpus.count() * (8 + 8 * size["dim"]) // cell_bytes))
+        q = (queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
              .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))))
         c = (corpus.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")))
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
 
         def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):

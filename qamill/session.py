@@ -21,6 +21,9 @@ def build_session(app: str = "qamill", master: str | None = None, **conf: str) -
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Rows here are small and the work on each is large, so keep all cores busy
+        # before filling partitions up.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,

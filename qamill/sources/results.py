@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qamill import schemas
+from qamill.functions import text as tx
 
 
 def read_questions(spark: SparkSession, path: str, only_gold: bool = False) -> DataFrame:
@@ -69,11 +70,11 @@ def event_time(value: Column) -> Column:
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """One text file per query type, blank lines dropped, in line order."""
-    lines = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    lines = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return (
         lines.select(
             F.regexp_extract("file", r"([^/]+)\.txt$", 1).alias("query_type"),
-            F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "").alias("items"),
+            F.filter(F.transform(F.split("value", "\n"), tx.strip), lambda x: x != "").alias("items"),
         )
         .select("query_type", F.posexplode("items").alias("template_ix", "template"))
     )

@@ -15,7 +15,8 @@ def response_stream(spark: SparkSession, folder: str, schema, glob: str = "*.par
 
 
 def first_requests(stream: DataFrame, ttl: str = "1 day", time: str = "ts") -> DataFrame:
-    """ST1: one row per cache key; a key is forgotten ``ttl`` after it was seen.
+    """ST1: one row per cache key; a key is held for at least ``ttl`` and forgotten once
+    the watermark has passed it.
 
     State is one entry per live key and is spread by the key's hash.
     """
