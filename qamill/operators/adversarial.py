@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qamill.functions import text as tx
+from qamill.functions.rows import unnest
 from qamill.functions.picks import draw
 from qamill.operators.gold import GOLD_TYPE
 
@@ -184,7 +185,7 @@ def expand(questions: DataFrame, techniques: tuple[str, ...] = TECHNIQUES) -> Da
     Needs ``question_id, question, special_categories``; other columns are kept.
     """
     rest = [c for c in questions.columns if c not in ("question_id", "question", "special_categories")]
-    rows = questions.withColumn("v", F.explode(_variants(F.col("question"), techniques))).where(
+    rows = unnest(questions, _variants(F.col("question"), techniques), ["*"], item="v").where(
         (F.col("v.text") != "") & (F.col("v.text") != F.col("question")))
     return rows.select(
         *rest, _suffixed(F.col("v.technique"), F.col("v.variant")).alias("question_id"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qamill.functions import text as tx
+from qamill.functions.rows import unnest
 from qamill.functions.stats import f_tail_udf
 from qamill.operators.ranking import exact_quantile, share
 
@@ -35,7 +36,7 @@ def field_values(rows: DataFrame, scalars: list[str], arrays: list[str] = (), ke
         tags = F.coalesce(F.col(f), F.array().cast("array<string>"))
         tags = F.when(F.size(tags) == 0, F.array(F.lit("none"))).otherwise(tags)
         parts.append(F.arrays_zip(F.array_repeat(F.lit(f), F.size(tags)).alias("field"), tags.alias("value")))
-    return rows.select(*keep, F.inline(F.concat(*parts)))
+    return unnest(rows, F.concat(*parts), list(keep)).select(*keep, "item.*")
 
 
 def distribution(rows: DataFrame, scalars: list[str], arrays: list[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qamill.functions import text as tx
+from qamill.functions.rows import unnest
 from qamill.functions.picks import SCALE  # noqa: F401  (documented range of picks)
 from qamill.operators.ranking import hashed_rank
 
@@ -134,7 +135,7 @@ def chunk(documents: DataFrame, by: str = "chars", size: int = 1000, overlap: in
     cut = char_chunks if by == "chars" else sentence_chunks
     name = F.format_string("%s_chunk_%03d", F.col("doc_id").cast("string"), F.col("chunk_ix"))
     return (
-        documents.select("doc_id", F.posexplode(cut(F.col("text"), size, overlap)).alias("chunk_ix", "text"))
+        unnest(documents, cut(F.col("text"), size, overlap), ["doc_id"], "chunk_ix", "text")
         .select("doc_id", "chunk_ix", name.alias("chunk_name"), "text")
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qamill.functions import text as tx
+from qamill.functions.rows import unnest
 
 # The heading, caption and citation forms.
 HEADING_FORMS = (
@@ -89,7 +90,7 @@ def words_to_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     lines = F.aggregate(
         "words", start, step,
         lambda acc: F.when(acc["cur"].isNotNull(), F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
-    return pages.select("paper_id", "page", F.posexplode(lines).alias("line_ix", "line")).select(
+    return unnest(pages, lines, ["paper_id", "page"], "line_ix", "line").select(
         "paper_id", "page", "line_ix", "line.*")
 
 
@@ -363,6 +364,5 @@ def structure(papers: DataFrame) -> DataFrame:
 
 def child(papers: DataFrame, column: str, ix: str | None = None) -> DataFrame:
     """One row per element of a nested part."""
-    if ix:
-        return papers.select("paper_id", F.posexplode(column).alias(ix, "item")).select("paper_id", ix, "item.*")
-    return papers.select("paper_id", F.inline(column))
+    rows = unnest(papers, column, ["paper_id"], ix)
+    return rows.select("paper_id", *([ix] if ix else []), "item.*")

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qamill.functions import text as tx
+from qamill.functions.rows import unnest
 from qamill.functions.picks import choose, draw, uniform, weighted
 from qamill.operators import catalogue as cat
 
@@ -188,7 +189,7 @@ def instantiate(papers: DataFrame, templates: dict[str, list[str]] | None = None
             draw(seed, *key).alias("pick")))
 
     filled = F.transform(_templates(templates or cat.TEMPLATES, variants), fill)
-    return papers.select("paper_id", F.inline(filled))
+    return unnest(papers, filled, ["paper_id"]).select("paper_id", "item.*")
 
 
 def is_valid(question: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from qamill.functions.rows import unnest
 from qamill.operators import gold as go
 from qamill.operators import papers as pa
 from qamill.operators import validation as va
@@ -133,7 +134,7 @@ def _asked(spark, sf):
 def passages(spark, sf):
     asked = _asked(spark, sf).withColumn("term", go.search_term(F.col("question")))
     found = go.passages(asked.select("doc_id", "paper_id", "term"), _parsed(spark, sf))
-    return found.select("doc_id", F.posexplode("passages").alias("pos", "p")).select(
+    return unnest(found, "passages", ["doc_id"], "pos", "p").select(
         "doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "p.section", F.md5("p.text").alias("text"))
 
 

@@ -12,6 +12,7 @@ from qamill.operators import questions as qu
 from qamill.plans import question_set
 from qamill.plans.fixtures import cte, table, view
 from qamill.plans.registry_papers import SECTIONS_SQL, STRIP, papers
+from qamill.session import materialise
 
 QUERIES, ORACLES = {}, {}
 SP = r"\s\x0B\x1C-\x1F\x85\p{Z}"
@@ -62,7 +63,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY type, n DESC,
 @query("concepts", f"""{CONCEPT_SQL}
 SELECT CAST(doc_id AS STRING) AS paper_id, text, type, n AS "count", rank FROM top WHERE rank <= 50""")
 def concepts(spark, sf):
-    return cp.concepts(parsed(spark, sf).select("paper_id", "sections")).select(
+    return cp.concepts(materialise(parsed(spark, sf).select("paper_id", "sections"), "sections")).select(
         "paper_id", "text", "type", "count", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qamill.functions import text as tx
+from qamill.functions.rows import unnest
 from qamill.operators import retrieval as rt
 from qamill.plans.fixtures import cte, table, view
 
@@ -101,12 +102,11 @@ def _responses(spark, sf_dir):
 
 def context_relevance(spark, sf_dir):
     flags = rt.relevance(F.col("contexts"), F.col("gold"))
+    ranked = F.arrays_zip(F.transform("contexts", lambda c: c["ix"]).alias("ix"), flags.alias("relevant"))
     return (
-        _responses(spark, sf_dir)
-        .select("doc_id", F.posexplode(F.arrays_zip(
-            F.transform("contexts", lambda c: c["ix"]).alias("ix"), flags.alias("relevant"))))
+        unnest(_responses(spark, sf_dir), ranked, ["doc_id"], "pos")
         .select("doc_id", (F.col("pos") + 1).cast("bigint").alias("rank"),
-                F.col("col.ix").cast("bigint").alias("ix"), F.col("col.relevant").alias("relevant"))
+                F.col("item.ix").cast("bigint").alias("ix"), F.col("item.relevant").alias("relevant"))
     )
 
 
