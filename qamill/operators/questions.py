@@ -256,19 +256,26 @@ def select_questions(candidates: DataFrame, n: int, seed: int = 42) -> DataFrame
     """Q16: ``n`` questions per paper: the quota of each type, then a weighted refill.
 
     Leftover candidates compete by -ln(u)/weight, which is a draw without replacement
-    by the target shares. A paper's group holds only its own candidates.
+    by the target shares. Every window is cut to a fixed rank inside the tasks before
+    rows meet, so a paper with very many candidates sends only a few times ``n`` rows:
+    no type fills more than ``n``, and among the best 2n of the race at least n are not
+    taken by a quota.
     """
     quota = quotas(F.lit(n))
     weight = F.create_map(*[x for t, s in cat.TYPE_SHARES.items() for x in (F.lit(t), F.lit(s))])
-    in_type = F.row_number().over(W.partitionBy("paper_id", "query_type").orderBy("pick", "question"))
     u = F.greatest(uniform(seed, "refill", F.col("paper_id"), F.col("question")), F.lit(1e-12))
     race = -F.ln(u) / F.coalesce(F.try_element_at(weight, F.col("query_type")), F.lit(0.01))
-    chosen = F.col("_in_type") <= F.coalesce(F.try_element_at(quota, F.col("query_type")), F.lit(0))
-    order = W.partitionBy("paper_id").orderBy(F.when(chosen, 0).otherwise(1), F.when(chosen, 0.0).otherwise(race), "question")
-    return (
-        candidates.withColumn("_in_type", in_type).withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= n).drop("_in_type", "_rank")
-    )
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by[0]).orderBy(*by[1]))
+
+    in_type = rank(["paper_id", "query_type"], ["pick", "question"])
+    chosen = candidates.withColumn("_rank", in_type).where(F.col("_rank") <= n).where(
+        F.col("_rank") <= F.coalesce(F.try_element_at(quota, F.col("query_type")), F.lit(0)))
+    pool = candidates.withColumn("_race", race).withColumn(
+        "_rank", rank(["paper_id"], ["_race", "question"])).where(F.col("_rank") <= 2 * n)
+    rest = pool.join(chosen.select("question"), "question", "left_anti").withColumn("_turn", F.lit(1))
+    both = chosen.withColumns({"_race": F.lit(0.0), "_turn": F.lit(0)}).drop("_rank").unionByName(rest.drop("_rank"))
+    final = rank(["paper_id"], ["_turn", "_race", "question"])
+    return both.withColumn("_rank", final).where(F.col("_rank") <= n).drop("_rank", "_race", "_turn")
 
 
 def seed_questions(candidates: DataFrame, per_type: int = 3) -> DataFrame:
@@ -286,12 +293,16 @@ def candidates(papers: DataFrame, templates: dict[str, list[str]] | None = None,
 
 
 def generate(papers: DataFrame, n: int = 20, templates: dict[str, list[str]] | None = None,
-             seed: int = 42) -> DataFrame:
-    """Q16 with contexts: the question table of a set of papers."""
+             seed: int = 42, store=lambda df, name: df) -> DataFrame:
+    """Q16 with contexts: the question table of a set of papers.
+
+    The selection reads the candidates more than once; ``store`` (such as
+    ``qamill.session.materialise``) writes them once.
+    """
     smallest = min(len(v) for v in (templates or cat.TEMPLATES).values())
     variants = max(2, -(-n // max(smallest, 1)))
-    picked = select_questions(candidates(papers, templates, variants, seed), n, seed)
-    return with_contexts(annotate(picked, seed), papers)
+    found = store(candidates(papers, templates, variants, seed), "candidates")
+    return with_contexts(annotate(select_questions(found, n, seed), seed), papers)
 
 
 # Contexts -----------------------------------------------------------------------------

@@ -92,7 +92,7 @@ def best_and_worst(responses: DataFrame, by: list[str], score: str = "score", ix
 
 def examples_to_responses(examples: DataFrame, responses: DataFrame, keys: list[str]) -> DataFrame:
     """C14: the full response behind each example."""
-    return responses.join(F.broadcast(examples.select(*keys, "kind", "rank")), keys)
+    return responses.join(examples.select(*keys, "kind", "rank"), keys)
 
 
 def flatten_metrics(df: DataFrame, column: str, keep: list[str]) -> DataFrame:

@@ -265,7 +265,7 @@ def fill_templates(spark, sf):
 @query("generate_questions")
 def generate_questions(spark, sf):
     """The whole step: concepts, filling, selection, annotation and contexts."""
-    return qu.generate(full_papers(spark, sf)).select(
+    return qu.generate(full_papers(spark, sf), store=materialise).select(
         "paper_id", "question_id", "question", "query_type", "complexity",
         F.array_join("special_categories", "|").alias("special_categories"), F.size("contexts").alias("n_contexts"))
 

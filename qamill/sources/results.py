@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qamill import schemas
@@ -64,7 +63,7 @@ def latest_per_system(files: DataFrame) -> DataFrame:
 
 def event_time(value: Column) -> Column:
     """A timestamp from an ISO text or a number of seconds."""
-    number = F.expr("try_cast(NULL AS DOUBLE)") if value is None else value.try_cast("double")
+    number = value.try_cast("double")
     return F.coalesce(F.timestamp_micros((number * 1000000).cast("bigint")), value.try_cast("timestamp"))
 
 
@@ -113,8 +112,3 @@ def ask(questions: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd
     rows = questions.repartition(parallel) if parallel else questions
     return rows.mapInPandas(fn, schema)
 
-
-def rank_latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The latest whole row of each key, for keys with few rows each."""
-    w = W.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

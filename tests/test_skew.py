@@ -64,3 +64,14 @@ def test_no_operator_uses_local_checkpoints_or_rdds():
     for path in root.rglob("*.py"):
         text = path.read_text()
         assert "localCheckpoint" not in text and ".collect()" not in text, path
+
+
+def test_hot_paper_question_selection_is_limited_in_the_tasks(spark):
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("p"), (F.col("id") % 50).cast("string"))).alias("paper_id"),
+        F.element_at(F.array(*[F.lit(t) for t in ("factoid", "causal", "open_ended")]), (F.col("id") % 3 + 1).cast("int")).alias("query_type"),
+        F.concat(F.lit("What of "), F.col("id").cast("string"), F.lit("?")).alias("question"), F.xxhash64("id").alias("pick"))
+    got = qu.select_questions(df, 20)
+    assert plan(got).count("WindowGroupLimit") >= 3
+    counts = {r["paper_id"]: r["count"] for r in got.groupBy("paper_id").count().collect()}
+    assert set(counts.values()) == {20}
