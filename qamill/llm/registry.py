@@ -6,14 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qamill.llm import linkgraph, mixing, sharding
+import public_tokenizers
+
+from qamill.llm import bpe, linkgraph, mixing, secrets, sharding, vafile, vptree
 from qamill.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.digest_columns(bpe.encode_documents(table(spark, sf_dir, "documents"), path))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -23,8 +42,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_source_mixing, op8_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (
+        op1_secret_scan, op4_source_mixing, op5_vantage_tree, op6_bpe, op7_exact_top_k, op8_sharding,
+        op10_url_filter)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op7_exact_top_k": vafile.ORACLE_SQL}
