@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from qamill.llm import bpe, linkgraph, mixing, secrets, sharding, vafile, vptree
+from qamill.llm import bpe, kneser, langid, linkgraph, mixing, secrets, sharding, vafile, vptree
 from qamill.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -37,14 +41,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return kneser.judge(table(spark, sf_dir, "documents"), good)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge_pages(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op4_source_mixing, op5_vantage_tree, op6_bpe, op7_exact_top_k, op8_sharding,
-        op10_url_filter)}
+        op1_secret_scan, op2_language_id, op4_source_mixing, op5_vantage_tree, op6_bpe, op7_exact_top_k, op8_sharding,
+        op9_quality, op10_url_filter)}
 
 
 def oracles() -> dict[str, str]:
