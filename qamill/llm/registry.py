@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from qamill.llm import bpe, kneser, langid, linkgraph, mixing, secrets, sharding, vafile, vptree
+import corpus_pipeline
+from qamill.llm import bpe, jaccard, kneser, langid, linkgraph, mixing, secrets, sharding, vafile, vptree
 from qamill.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -50,11 +54,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_secret_scan, op2_language_id, op4_source_mixing, op5_vantage_tree, op6_bpe, op7_exact_top_k, op8_sharding,
-        op9_quality, op10_url_filter)}
+        op1_secret_scan, op2_language_id, op3_jaccard_join, op4_source_mixing,
+        op5_vantage_tree, op6_bpe, op7_exact_top_k, op8_sharding,
+        op9_quality, op10_url_filter, pipeline)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op7_exact_top_k": vafile.ORACLE_SQL}
+    return {"op3_jaccard_join": jaccard.ORACLE_SQL, "op7_exact_top_k": vafile.ORACLE_SQL}
