@@ -50,8 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids of every document of the mix."""
-    to_ids, _ = bpe.codec(spark, public_tokenizers.path(VOCABULARY))
-    out = docs.select("doc_id", "source", "lang", to_ids(F.col("text")).alias("ids"))
+    out = bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), ["doc_id", "source", "lang"], decode=False)
     return out.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -14,19 +14,21 @@ merge is always the smaller number, whatever the ids of the vocabulary.
 from __future__ import annotations
 
 import json
-from itertools import chain
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qamill.llm.common import text_batches
+
 #: Fixed value: the pattern that cuts text before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 500_000  # pieces whose ids a worker remembers; the table is emptied when full
+CACHE = 400_000  # pieces whose ids a worker remembers; the table is emptied when full
 
 
 def byte_letters() -> list[str]:
@@ -45,11 +47,11 @@ class Coder:
         letters = byte_letters()
         names = [c for c in letters if c in vocab]
         rank = {c: i for i, c in enumerate(names)}
-        self.pair: dict[tuple[int, int], int] = {}
+        self.pair: dict[int, int] = {}  # left * 2^20 + right -> merged
         self.split = [(i, i) for i in range(len(names))]
         for merge in merges:
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pair[rank[left], rank[right]] = len(names)
+            self.pair[rank[left] << 20 | rank[right]] = len(names)
             if left + right not in rank:
                 rank[left + right] = len(names)
                 self.split.append((rank[left], rank[right]))
@@ -76,8 +78,8 @@ class Coder:
             "(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")"
         ) if self.special else None
         self.pieces = regex.compile(PIECES)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.cache: dict[str, bytes] = {}  # ids as bytes: compact, and nothing for the garbage collector
+        self.fits: dict[int, bool] = {}
         to_byte = {c: b for b, c in enumerate(letters)}
         pieces = {vocab[n]: bytes(to_byte[c] for c in n) for n in names}
         pieces |= {number: name.encode() for name, number in self.special.items()}
@@ -93,12 +95,12 @@ class Coder:
         Both tokens are taken apart at the border, the later merge first; a pair at the border
         that would merge earlier than the pieces it takes apart were made breaks them.
         """
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 20 | right)
         if known is not None:
             return known
         a, b, limit, good = left, right, len(self.split), None
         while good is None:
-            merged = self.pair.get((a, b))
+            merged = self.pair.get(a << 20 | b)
             if merged is not None and merged < limit:
                 good = False
             elif a > b:
@@ -115,7 +117,7 @@ class Coder:
                     good = True if a == whole else None
         if len(self.fits) >= CACHE:
             self.fits.clear()
-        self.fits[left, right] = good
+        self.fits[left << 20 | right] = good
         return good
 
     def merge(self, letters: str) -> list[int]:
@@ -145,9 +147,9 @@ class Coder:
                 token = out.pop()
                 at -= length[token]
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(self.to_letters)
-        found = tuple(self.ids[self.merge(letters)].tolist())
+        found = self.ids[self.merge(letters)].tobytes()
         if len(piece) <= 64:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
@@ -158,14 +160,14 @@ class Coder:
         """Ids of a text; none for null or empty."""
         if not text:
             return np.zeros(0, dtype=np.int32)
-        runs: list[tuple[int, ...]] = []
+        runs: list[bytes] = []
         known, make = self.cache.get, self._piece
         for part in self.cut_special.split(text) if self.cut_special else [text]:
             if part in self.special:
-                runs.append((self.special[part],))
+                runs.append(np.int32(self.special[part]).tobytes())
             elif part:
                 runs += [known(p) or make(p) for p in self.pieces.findall(part)]
-        return np.fromiter(chain.from_iterable(runs), dtype=np.int32)
+        return np.frombuffer(b"".join(runs), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; bytes that are not UTF-8 become the replacement character."""
@@ -189,32 +191,34 @@ def _coder(content: str) -> Coder:
     return _CODERS[content]
 
 
-def codec(spark: SparkSession, path: str):
-    """(encode, decode) on columns, for the vocabulary file at ``path``.
+def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None, decode: bool = True) -> DataFrame:
+    """Columns ``keep`` (doc_id), ids, and with ``decode`` the decoded text of every row of ``docs``.
 
-    The driver reads the file, whose size does not depend on the data, and broadcasts it.
-    ``encode`` makes an array of ids of a text (empty for null or empty), ``decode`` the text of
-    an array of ids (empty for null).
+    The driver reads the vocabulary file at ``path``, whose size does not depend on the data, and
+    broadcasts it. A null or empty text has no ids and decodes to an empty text. Texts are encoded
+    whole, a few rows at a time; equal texts get equal ids. Other columns are ignored.
     """
+    keep = keep or ["doc_id"]
     with open(path, encoding="utf-8") as file:
-        content = spark.sparkContext.broadcast(file.read())
-
-    def encode(texts: pd.Series) -> pd.Series:
-        coder = _coder(content.value)
-        return pd.Series([coder.encode(t) for t in texts], dtype=object)
+        content = docs.sparkSession.sparkContext.broadcast(file.read())
+    names = [*(f"k{i}" for i in range(len(keep))), "ids", *(["decoded"] if decode else [])]
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
+    fields = [*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*fields, *([T.StructField("decoded", T.StringType())] if decode else [])])
 
-    def decode(rows: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(content.value)
-        return pd.Series([coder.decode(ids) for ids in rows], dtype=object)
-
-    return F.pandas_udf(encode, T.ArrayType(T.IntegerType())), F.pandas_udf(decode, T.StringType())
-
-
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and the decoded text, one row per row of ``docs``; other columns are ignored."""
-    encode, decode = codec(docs.sparkSession, path)
-    encoded = docs.select("doc_id", encode(F.col("text")).alias("ids"))
-    return encoded.select("doc_id", "ids", decode(F.col("ids")).alias("decoded"))
+        for batch in text_batches(batches):
+            found = [coder.encode(t) for t in batch["text"].to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(
+                pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))]
+            if decode:
+                columns.append(pa.array([coder.decode(ids) for ids in found], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names[len(keep):])
 
 
 def digest_columns(encoded: DataFrame) -> DataFrame:
