@@ -34,7 +34,7 @@ SAMPLE = 2000       # labelled credentials per kind, and ordinary tokens, that a
 LONGEST = 256       # longer values are not learned from (but are found and scored)
 ALPHA = 0.05        # Hoeffding bound of the merge test
 MARGIN = math.log(1000.0)  # least log likelihood ratio against ordinary tokens
-QUANTILE = 0.02     # of the labelled credentials' likelihood per character
+QUANTILE = 0.02     # of the labelled credentials' likelihood per character, at either end
 
 SPANS = T.ArrayType(T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
@@ -149,7 +149,10 @@ class Automaton:
 
 
 class Model:
-    """Automata by kind with their least likelihood per character, and one of ordinary tokens."""
+    """Automata by kind with the usual range of likelihood per character, and one of ordinary tokens.
+
+    A token may be unlike a credential by being too regular (digits only) as by being too odd.
+    """
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.kinds = {}
@@ -157,7 +160,8 @@ class Model:
             forms = [classes(v) for v in values]
             automaton = Automaton(forms)
             scores = sorted(automaton.score(w) / (len(w) + 1) for w in forms)
-            self.kinds[kind] = (automaton, scores[int(QUANTILE * len(scores))])
+            at = int(QUANTILE * len(scores))
+            self.kinds[kind] = (automaton, scores[at], scores[-1 - at])
         self.ordinary = Automaton([classes(v) for v in ordinary])
 
     def score(self, token: str) -> float | None:
@@ -165,9 +169,10 @@ class Model:
         form = classes(token)
         plain = self.ordinary.score(form)
         best = None
-        for automaton, least in self.kinds.values():
+        for automaton, least, most in self.kinds.values():
             own = automaton.score(form)
-            if own / (len(form) + 1) >= least and own - plain >= MARGIN and (best is None or own - plain > best):
+            typical = least <= own / (len(form) + 1) <= most
+            if typical and own - plain >= MARGIN and (best is None or own - plain > best):
                 best = own - plain
         return best
 
