@@ -66,10 +66,14 @@ def sentences(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """M2/M3: shared over all distinct tokens of two arrays, 0 when one is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(
-        shared / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
-    )
+
+    def share(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        shared = F.size(F.array_intersect(x, y))
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(
+            shared / F.greatest(F.size(F.array_union(x, y)), F.lit(1)))
+
+    return bind(F.struct(a.alias("x"), b.alias("y")), share)
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -85,6 +89,35 @@ def ngrams(tokens: Column, n: int) -> Column:
     return tokens if n == 1 else bind(tokens, cut)
 
 
+SCAN = 256  # even: pieces scanned at a time
+
+
+def starts(pieces: Column) -> Column:
+    """Where each of the pieces of a text begins.
+
+    A fold that grows an array copies it at every step. The pieces are therefore scanned in runs
+    of ``SCAN``, whose own starts come from a fold over the runs: 256 times fewer copies.
+    """
+    of_run = lambda at, run: F.aggregate(
+        run, F.struct(at.alias("pos"), F.array().cast("array<int>").alias("out")),
+        lambda acc, p: F.struct((acc["pos"] + F.length(p)).alias("pos"),
+                                F.concat(acc["out"], F.array(acc["pos"])).alias("out")),
+        lambda acc: acc["out"])
+    count = lambda p: F.greatest(F.ceil(F.size(p) / SCAN).cast("int"), F.lit(1))
+    cut = lambda p: F.transform(F.sequence(F.lit(0), count(p) - 1), lambda i: F.slice(p, i * SCAN + 1, SCAN))
+    size = lambda run: F.aggregate(run, F.lit(0), lambda a, p: a + F.length(p))
+
+    def scan(runs: Column) -> Column:
+        heads = F.aggregate(
+            runs, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
+            lambda acc, run: F.struct((acc["pos"] + size(run)).alias("pos"),
+                                      F.concat(acc["out"], F.array(acc["pos"])).alias("out")),
+            lambda acc: acc["out"])
+        return F.flatten(F.zip_with(heads, runs, of_run))
+
+    return bind(pieces, lambda p: bind(cut(p), scan))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Every match of ``pattern`` as ``(match, start, end)``, offsets from 0.
 
@@ -98,16 +131,10 @@ def spans(text: Column, pattern: str) -> Column:
     pairs = F.flatten(F.zip_with(gaps, hits, lambda g, h: F.array(g, h)))
     plain = F.filter(pairs, lambda x: x.isNotNull())
     pieces = F.when(F.contains(text, F.lit(MARK)), plain).otherwise(marked)
-    empty = F.array().cast("array<struct<match:string,start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), empty.alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.length(piece)
-        one = F.struct(piece.alias("match"), acc["pos"].alias("start"), end.alias("end"))
-        out = F.when(acc["hit"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
-        return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), out.alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    hit = lambda piece, at: F.struct(
+        piece.alias("match"), at.alias("start"), (at + F.length(piece)).alias("end"))
+    return bind(pieces, lambda p: F.filter(
+        F.zip_with(p, starts(p), hit), lambda x, i: i % 2 == 1))
 
 
 def count_plain(text: Column, term: Column) -> Column:

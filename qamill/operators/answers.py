@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qamill.functions import text as tx
 
@@ -130,7 +131,7 @@ def answer_metrics(scored: DataFrame, by: list[str], names: list[str] | None = N
     return wide.select(*by, F.inline(pairs))
 
 
-@F.pandas_udf("precision double, recall double, f1 double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("precision", "recall", "f1")]))
 def greedy_match(pred: pd.Series, gold: pd.Series) -> pd.DataFrame:
     """Mean over tokens of the best cosine with the other side, and the F1.
 

@@ -132,7 +132,7 @@ def abstract(text: Column, first_page: Column | None = None) -> Column:
     """By pattern, else the lines after "Abstract" on page 1 up to a heading."""
     page = text if first_page is None else first_page
     at = F.locate("abstract", F.lower(page))
-    lines = F.slice(F.transform(F.split(F.substring(page, at, F.length(page)), "\n"), tx.strip), 2, 1000000)
+    lines = F.slice(F.transform(F.split(F.substring(page, at, F.length(page)), "\n"), tx.strip), F.lit(2), F.greatest(F.size(F.split(page, "\n")), F.lit(1)))
     is_head = lambda x: x.rlike(ANY_HEADING)
     stop = F.array_position(
         F.transform(lines, lambda x, i: is_head(x) | (

@@ -9,85 +9,69 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qamill.functions import text as tx
 
 K_VALUES = (1, 3, 5, 10)
 TEXT_MATCH = 0.8
-QUERY_BYTES = 64 * 1024 * 1024
-NEAREST = "query_id long, doc_id long, distance double"
 
 
-def _nearest(query_ids: np.ndarray, query_matrix: np.ndarray, docs: pd.DataFrame, k: int,
+def _pack(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """Rows ``(id, vector)`` in blocks of at most ``size``, made where the rows lie."""
+    id_type = rows.schema["id"].dataType
+    schema = T.StructType([T.StructField(name, T.StructType([
+        T.StructField("ids", T.ArrayType(id_type)), T.StructField("vectors", T.ArrayType(T.ArrayType(T.DoubleType())))]))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at:at + size]
+                yield pd.DataFrame({name: [{"ids": part["id"].tolist(), "vectors": part["vector"].tolist()}]})
+
+    return rows.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, schema)
+
+
+def _nearest(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int,
              skip_self: bool) -> pd.DataFrame:
-    """The ``k`` nearest of one batch of documents for each query, ties by id."""
-    ids = docs["doc_id"].to_numpy(dtype=np.int64)
+    """The ``k`` nearest of one block of documents for each query of another, ties by id."""
     order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    matrix = np.stack(docs["vector"].to_numpy()).astype(np.float64)[order]
-    out = []
-    for at in range(0, len(query_ids), 256):
-        q_ids, q = query_ids[at:at + 256], query_matrix[at:at + 256]
-        # Differences, not the expanded square: equal vectors must give exactly 0.
-        dist = np.stack([((matrix - row) ** 2).sum(axis=1) for row in q])
-        if skip_self:
-            dist[q_ids[:, None] == ids[None, :]] = np.inf
-        near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        part = pd.DataFrame({
-            "query_id": np.repeat(q_ids, near.shape[1]),
-            "doc_id": ids[near].ravel(),
-            "distance": np.take_along_axis(dist, near, axis=1).ravel(),
-        })
-        out.append(part[np.isfinite(part["distance"])])
-    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "doc_id", "distance"])
+    ids, matrix = ids[order], matrix[order]
+    # Differences, not the expanded square: equal vectors must give exactly 0.
+    dist = np.stack([((matrix - row) ** 2).sum(axis=1) for row in queries])
+    if skip_self:
+        dist[q_ids[:, None] == ids[None, :]] = np.inf
+    near = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    part = pd.DataFrame({
+        "query_id": np.repeat(q_ids, near.shape[1]),
+        "doc_id": ids[near].ravel(),
+        "distance": np.take_along_axis(dist, near, axis=1).ravel(),
+    })
+    return part[np.isfinite(part["distance"])]
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, skip_self: bool = False,
-                query_bytes: int = QUERY_BYTES, cell_bytes: int = QUERY_BYTES) -> DataFrame:
+                query_block: int = 256, corpus_block: int = 4096) -> DataFrame:
     """The ``k`` nearest corpus vectors by squared L2 for each query, exact.
 
-    Both inputs have ``(id, vector)``. Only ``k`` rows per query leave each batch,
-    so the pairs are never written out. While the query vectors fit ``query_bytes``
-    (measured first) they travel to every task and the corpus is not shuffled.
-    Beyond that both sides are cut into blocks that meet in a grid of cells, each of
-    bounded size.
+    Both inputs have ``(id, vector)``; ids may be of any sortable type and keep it. Either side is
+    cut into blocks of bounded size where it lies, every query block meets every corpus block in
+    one task, and only ``k`` rows per query leave it, so the pairs of rows are never written out.
+    One plan for all sizes; nothing is gathered on the driver or broadcast by hand.
     """
-    corpus = corpus.select(F.col("id").alias("doc_id"), F.col("vector").alias("vector"))
-    queries = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("vector"))
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim")
-    ).first()
-    if size["n"] * (8 + 8 * size["dim"]) <= query_bytes:
-        held = queries.toPandas()
-        ids = held["query_id"].to_numpy(dtype=np.int64)
-        matrix = (np.stack(held["vector"].to_numpy()).astype(np.float64)
-                  if len(held) else np.zeros((0, 1)))
-        sent = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q_ids, q = sent.value
-            for batch in batches:
-                if len(batch) and len(q_ids):
-                    yield _nearest(q_ids, q, batch, k, skip_self)
-
-        near = corpus.mapInPandas(scan, NEAREST)
-    else:
-        per_block = max(1, query_bytes // (8 + 8 * size["dim"]))
-        blocks = int(-(-size["n"] // per_block))
-        cells = max(1, -(-corpus.count() * (8 + 8 * size["dim"]) // cell_bytes))
-        q = (queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-             .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))))
-        c = (corpus.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-
-        def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame(columns=["query_id", "doc_id", "distance"])
-            matrix = np.stack(left["vector"].to_numpy()).astype(np.float64)
-            return _nearest(left["query_id"].to_numpy(dtype=np.int64), matrix, right, k, skip_self)
-
-        near = (q.groupBy("block", "cell").cogroup(c.groupBy("block", "cell"))
-                .applyInPandas(cell, NEAREST))
+    near_schema = T.StructType([
+        T.StructField("query_id", queries.schema["id"].dataType),
+        T.StructField("doc_id", corpus.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
+    blocks = _pack(corpus, "c", corpus_block).crossJoin(_pack(queries, "q", query_block))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        as_matrix = lambda rows: np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+        for batch in batches:
+            for c, q in zip(batch["c"], batch["q"]):
+                yield _nearest(np.asarray(q["ids"]), as_matrix(q["vectors"]),
+                               np.asarray(c["ids"]), as_matrix(c["vectors"]), k, skip_self)
+
+    near = blocks.mapInPandas(scan, near_schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "doc_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -99,18 +83,20 @@ def relevance(contexts: Column, gold: Column, threshold: float = TEXT_MATCH) ->
     matched by text. A context without an id is relevant when its token overlap with
     any gold passage exceeds ``threshold``.
     """
-    gold_ids = F.transform(gold, lambda g: F.coalesce(g["id"], F.lit("")))
-    gold_tokens = F.transform(
-        gold, lambda g: F.array_distinct(tx.tokens_strip(F.coalesce(g["text"], F.lit(""))))
-    )
+    plain = lambda x: F.coalesce(x, F.lit(""))
+    gold_side = F.struct(
+        F.transform(gold, lambda g: plain(g["id"])).alias("ids"),
+        F.transform(gold, lambda g: F.array_distinct(tx.tokens_strip(plain(g["text"])))).alias("tokens"))
+
+    def flags(side: Column) -> Column:
+        def flag(context: Column) -> Column:
+            by_text = tx.bind(F.array_distinct(tx.tokens_strip(plain(context["text"]))), lambda tokens: F.exists(
+                side["tokens"], lambda g: tx.jaccard(tokens, g) > threshold))
+            return F.when(plain(context["id"]) != "", F.array_contains(side["ids"], context["id"])).otherwise(by_text)
 
-    def flag(context: Column) -> Column:
-        by_id = F.array_contains(gold_ids, context["id"])
-        tokens = F.array_distinct(tx.tokens_strip(F.coalesce(context["text"], F.lit(""))))
-        by_text = F.exists(gold_tokens, lambda g: tx.jaccard(tokens, g) > threshold)
-        return F.when(F.coalesce(context["id"], F.lit("")) != "", by_id).otherwise(by_text)
+        return F.transform(contexts, flag)
 
-    return F.transform(contexts, flag)
+    return tx.bind(gold_side, flags)
 
 
 def retrieval_scores(flags: Column, n_gold: Column, k_values=K_VALUES) -> dict[str, Column]:

@@ -37,7 +37,7 @@ def with_paper(questions: DataFrame, papers: DataFrame) -> DataFrame:
 def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
     """The last evaluation of every system, one row per response.
 
-    Files are ranked by their own timestamp, then name; only the small key columns
+    Files are ranked by the time that their own stamp means (ISO text or seconds), then name; only the small key columns
     take part in the ranking, the responses are joined back afterwards.
     """
     raw = (
@@ -45,7 +45,8 @@ def read_evaluations(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("file", F.input_file_name())
         .withColumn("system_name", F.coalesce("system.name", F.lit("unknown")))
     )
-    last = raw.groupBy("system_name").agg(F.max(F.struct("timestamp", "file")).alias("last"))
+    when = event_time(F.col("timestamp")).alias("at")
+    last = raw.groupBy("system_name").agg(F.max(F.struct(when, "file")).alias("last"))
     keep = last.select("system_name", F.col("last.file").alias("file"))
     rows = raw.join(keep, ["system_name", "file"])
     return rows.select(

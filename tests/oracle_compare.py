@@ -72,7 +72,8 @@ def main(argv):
     only = argv[1:]
     spark = build_session(
         "compare", "local[8]", **{"spark.sql.shuffle.partitions": "8",
-                                   "spark.driver.memory": "12g", "spark.ui.enabled": "false"}
+                                   "spark.driver.memory": "12g", "spark.ui.enabled": "false",
+                                   "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)

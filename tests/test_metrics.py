@@ -116,13 +116,19 @@ def test_dense_top_k_paths_agree_with_brute_force(spark):
         order = sorted((d, i) for i, d in enumerate(dist) if i != q)[:4]
         want[q] = [i for _, i in order]
     small = rt.dense_top_k(queries, df, 4, skip_self=True)
-    grid = rt.dense_top_k(queries, df, 4, skip_self=True, query_bytes=1000, cell_bytes=9000)
+    grid = rt.dense_top_k(queries, df, 4, skip_self=True, query_block=7, corpus_block=11)
     for result in (small, grid):
         got = {}
         for r in sorted(result.collect(), key=lambda r: r["rank"]):
             got.setdefault(r["query_id"], []).append(r["doc_id"])
         assert got == want
     assert rt.dense_top_k(queries.where("id < 0"), df, 4).count() == 0
+    named = lambda d: d.selectExpr("lpad(hex(id), 4, '0') AS id", "vector")
+    texts = rt.dense_top_k(named(queries), named(df), 4, skip_self=True)
+    got = {}
+    for r in sorted(texts.collect(), key=lambda r: r["rank"]):
+        got.setdefault(int(r["query_id"], 16), []).append(int(r["doc_id"], 16))
+    assert got == want
 
 
 def test_greedy_match(spark):

@@ -131,5 +131,5 @@ def test_concepts(spark):
     assert got["Graph Nets"]["type"] == "entity" and got["Graph Nets"]["count"] == 2
     assert [e["section"] for e in got["Graph Nets"]["examples"]] == ["Intro", "Intro"]
     assert "graph nets" not in got and got["the big plan"]["count"] == 4 and "Zed Zed" not in got
-    nested = cp.with_concepts(df, cp.concepts(df)).first()["concepts"]
+    nested = cp.with_concepts(df).first()["concepts"]
     assert nested[0]["type"] == "entity"
