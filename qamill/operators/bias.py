@@ -77,20 +77,18 @@ def cells(rows: DataFrame, field1: str, field2: str) -> DataFrame:
         "value1", "value2").agg(F.count(F.lit(1)).alias("n"))
 
 
-def contingency(rows: DataFrame, field1: str, field2: str) -> DataFrame:
-    """The contingency table with zeros, one row per pair of seen values.
+def contingency(rows: DataFrame, field1: str, field2: str, values2: list[str] | None = None) -> DataFrame:
+    """The contingency table, one row per cell.
 
-    The values of ``field2`` (a small taxonomy) ride along as one array.
+    Without ``values2`` the seen cells only. With it (the names of a taxonomy) every value of
+    ``field1`` also gets a cell, if need be of 0, for each of them. Nothing is collected per value.
     """
     full = cells(rows, field1, field2)
-    by_row = full.groupBy("value1").agg(
-        F.map_from_entries(F.collect_list(F.struct("value2", "n"))).alias("found"))
-    columns = full.agg(F.sort_array(F.collect_set("value2")).alias("all"))
-    return (
-        by_row.join(F.broadcast(columns))  # one row
-        .select("value1", "found", F.explode("all").alias("value2"))
-        .select("value1", "value2", F.coalesce(F.element_at("found", F.col("value2")), F.lit(0)).alias("n"))
-    )
+    if values2 is None:
+        return full
+    empty = full.select("value1").distinct().select(
+        "value1", F.explode(F.array(*[F.lit(v) for v in values2])).alias("value2"), F.lit(0).cast("long").alias("n"))
+    return full.unionByName(empty).groupBy("value1", "value2").agg(F.sum("n").alias("n"))
 
 
 def cramers_v(table: DataFrame, by: list[str] = ()) -> DataFrame:

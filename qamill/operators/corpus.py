@@ -10,6 +10,8 @@ from qamill.functions.rows import unnest
 from qamill.functions.picks import SCALE  # noqa: F401  (documented range of picks)
 from qamill.operators.ranking import hashed_rank
 
+SMALL_SIDE = 100_000  # strata up to which their two edges are broadcast
+
 # Extension groups of the format dispatch.
 FORMATS = {
     "text": ["txt", "md", "rst"],
@@ -127,16 +129,18 @@ def sentence_chunks(text: Column, size: int = 1000, overlap: int = 100) -> Colum
     )
 
 
-def chunk(documents: DataFrame, by: str = "chars", size: int = 1000, overlap: int = 100) -> DataFrame:
-    """One row per chunk: ``doc_id, chunk_ix, chunk_name, text``. No shuffle.
+def chunk(documents: DataFrame, by: str = "chars", size: int = 1000, overlap: int = 100,
+          keep: list[str] | None = None) -> DataFrame:
+    """One row per chunk: ``doc_id, chunk_ix, chunk_name, text`` and the columns ``keep``. No shuffle.
 
     Any ``by`` other than ``chars`` means sentences.
     """
+    keep = keep or []
     cut = char_chunks if by == "chars" else sentence_chunks
     name = F.format_string("%s_chunk_%03d", F.col("doc_id").cast("string"), F.col("chunk_ix"))
     return (
-        unnest(documents, cut(F.col("text"), size, overlap), ["doc_id"], "chunk_ix", "text")
-        .select("doc_id", "chunk_ix", name.alias("chunk_name"), "text")
+        unnest(documents, cut(F.col("text"), size, overlap), ["doc_id", *keep], "chunk_ix", "text")
+        .select("doc_id", "chunk_ix", name.alias("chunk_name"), "text", *keep)
     )
 
 
@@ -162,24 +166,29 @@ def assign_splits(
     Ids are ordered by their md5 with the seed. The first floor(n·train) are train;
     of the m left, the first floor(m·val/(val+test)) are val. A null stratum counts
     as ``unknown``. Every stratum is ranked in hash buckets, so one that holds most
-    rows is spread like the others.
+    rows is spread like the others. Only ids are ranked: what comes back are the two last
+    ids of train and val per stratum, and every row is compared with them where it lies.
+    These few rows are broadcast while there are at most ``SMALL_SIDE`` strata.
     """
     train, val, test = normalise_ratios(*ratios)
     of_rest = val / (val + test) if val + test > 0 else 0.0
-    pick = F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}")))
+    columns = documents.columns
     level = F.coalesce(F.col(stratum).cast("string"), F.lit("unknown")) if stratum else F.lit("all")
-    ranked = hashed_rank(
-        documents.withColumn("_stratum", level).withColumn("_pick", pick),
-        ["_stratum"], "_pick", id_column,
-    )
+    marked = documents.withColumn("_stratum", level).withColumn(
+        "_pick", F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f":{seed}"))))
+    ranked = hashed_rank(marked.select("_stratum", "_pick", F.col(id_column).alias("_id")), ["_stratum"], "_pick", "_id")
     n_train = F.floor(F.col("group_size") * F.lit(train))
     n_val = F.floor((F.col("group_size") - n_train) * F.lit(of_rest))
-    split = (
-        F.when(F.col("rank_ix") <= n_train, "train")
-        .when(F.col("rank_ix") <= n_train + n_val, "val")
-        .otherwise("test")
-    )
-    return ranked.withColumn("split", split).drop("_stratum", "_pick", "rank_ix", "group_size")
+    place = F.struct("_pick", "_id")
+    edges = ranked.groupBy(F.col("_stratum").alias("_level")).agg(
+        F.max(F.when(F.col("rank_ix") <= n_train, place)).alias("_train"),
+        F.max(F.when(F.col("rank_ix") <= n_train + n_val, place)).alias("_val"))
+    if stratum is None or edges.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE:
+        edges = F.broadcast(edges)
+    own = F.struct(F.col("_pick"), F.col(id_column).alias("_id"))
+    within = lambda edge: F.coalesce(own <= F.col(edge), F.lit(False))
+    split = F.when(within("_train"), "train").when(within("_val"), "val").otherwise("test")
+    return marked.join(edges, F.col("_stratum") == F.col("_level")).select(*columns, split.alias("split"))
 
 
 def split_sizes(splits: DataFrame, *by: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+RANGES = 1024  # of the bracket of a quantile
+
 
 def hashed_rank(
     df: DataFrame, keys: list[str], pick: str, tie: str, digits: int = 3
@@ -39,7 +41,7 @@ def exact_quantile(
     df: DataFrame, keys: list[str], value: str, q: float = 0.5, upper: bool = False,
     out: str = "quantile", accuracy: int = 10000,
 ) -> DataFrame:
-    """Exact quantile per group, in two passes.
+    """Exact quantile per group, in three passes.
 
     The first pass is a mergeable sketch whose rank error is at most n/accuracy; it
     brackets the wanted ranks between two values. The second pass counts rows below
@@ -62,12 +64,6 @@ def exact_quantile(
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     marked = rows.select(*keys, value).join(sketch, same).where(F.col(value) <= F.col("_hi"))
-    below = F.col(value) < F.col("_lo")
-    counts = marked.groupBy(*keys, F.when(~below, F.col(value)).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")
-    )
-    seen = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranked = counts.withColumn("_last", F.sum("_c").over(seen) - 1)
     if upper:
         at = F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
         part = F.lit(0.0)
@@ -76,9 +72,25 @@ def exact_quantile(
         exact = (F.col("_n") - 1) * F.lit(float(q))
         lo_at, hi_at = F.floor(exact), F.ceil(exact)
         part = exact - F.floor(exact)
-    held = lambda at: (F.col("_v").isNotNull()) & (at <= F.col("_last")) & (
-        at > F.col("_last") - F.col("_c")
-    )
+    # The bracket still grows with the group: cut it into ranges, and sort those only that hold a wanted rank.
+    number = F.col(value).cast("double")
+    low, high = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    cut = F.when(F.col(value) < F.col("_lo"), -1).when(high > low, F.floor((number - low) / (high - low) * RANGES)).otherwise(0)
+    marked = marked.withColumn("_range", cut.cast("int"))
+    ranges = marked.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_range"))
+    ranges = ranges.withColumn("_to", upto - 1).withColumn("_from", F.col("_to") - F.col("_c") + 1)
+    meets = lambda at: (at >= F.col("_from")) & (at <= F.col("_to"))
+    ranges = ranges.where(meets(lo_at) | meets(hi_at)).select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_range").alias("_r"), "_from")
+    held_range = F.col("_range") == F.col("_r")
+    for k in keys:
+        held_range = held_range & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    counts = marked.join(ranges, held_range).groupBy(*keys, "_range", F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"), F.max("_from").alias("_from"))
+    seen = W.partitionBy(*keys, "_range").orderBy("_v")
+    ranked = counts.withColumn("_last", F.sum("_c").over(seen) - 1 + F.col("_from"))
+    held = lambda at: (at <= F.col("_last")) & (at > F.col("_last") - F.col("_c"))
     picked = ranked.groupBy(*keys).agg(
         F.max(F.when(held(lo_at), F.col("_v"))).alias("_a"),
         F.max(F.when(held(hi_at), F.col("_v"))).alias("_b"),

@@ -1,5 +1,5 @@
-"""Documents to cleaned text, chunks and split chunks. One lazy plan; only the
-ranking of ids and the join of chunks with their split shuffle."""
+"""Documents to cleaned text and chunks that know their split. One lazy plan; only the ids
+that are ranked for the splits are shuffled, never a text."""
 
 from __future__ import annotations
 
@@ -26,12 +26,10 @@ class CorpusOptions:
 
 def build(documents: DataFrame, options: CorpusOptions = CorpusOptions()) -> tuple[DataFrame, DataFrame]:
     """Chunks and splits of ``(doc_id, text, …)``."""
-    cleaned = documents.withColumn("text", tx.clean(F.col("text"), options.drop_special))
-    chunks = co.chunk(cleaned, options.chunk_by, options.chunk_size, options.chunk_overlap)
-    # The split needs ids and the stratum only; texts are not shuffled for it.
-    keys = documents.select("doc_id", *([options.stratum] if options.stratum else []))
-    splits = co.assign_splits(keys, "doc_id", options.stratum, options.ratios, options.seed)
-    return chunks, splits
+    assign = lambda df: co.assign_splits(df, "doc_id", options.stratum, options.ratios, options.seed)
+    cleaned = assign(documents).withColumn("text", tx.clean(F.col("text"), options.drop_special))
+    chunks = co.chunk(cleaned, options.chunk_by, options.chunk_size, options.chunk_overlap, ["split"])
+    return chunks, assign(documents.select("doc_id", *([options.stratum] if options.stratum else [])))
 
 
 def write(documents: DataFrame, path: str, options: CorpusOptions = CorpusOptions(), mode: str = "error") -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qamill.operators import bias as bi
+from qamill.operators import catalogue as cat
 from qamill.plans.fixtures import cte, view
 
 QUERIES, ORACLES = {}, {}
@@ -76,12 +77,16 @@ def uneven_flags(spark, sf):
     return rounded(bi.uneven_flags(dist, threshold=0.95), "evenness", "dominant_share")
 
 
+NAMES = [*cat.TYPE_SHARES, "hypothetical"]  # the taxonomy and a type that no response has
+
+
 @query("contingency", f"""{R},
-a AS (SELECT DISTINCT paper_id AS value1 FROM v_responses), b AS (SELECT DISTINCT complexity AS value2 FROM v_responses),
-c AS (SELECT paper_id AS value1, complexity AS value2, count(*) AS n FROM v_responses WHERE score > 0.5 GROUP BY ALL)
-SELECT a.value1, b.value2, coalesce(n, 0) AS n FROM a CROSS JOIN b LEFT JOIN c ON c.value1 = a.value1 AND c.value2 = b.value2""")
+a AS (SELECT DISTINCT paper_id AS value1 FROM v_responses), b AS (SELECT unnest({NAMES!r}) AS value2),
+c AS (SELECT paper_id AS value1, query_type AS value2, count(*) AS n FROM v_responses GROUP BY ALL)
+SELECT coalesce(c.value1, a.value1) AS value1, coalesce(c.value2, b.value2) AS value2, CAST(coalesce(n, 0) AS BIGINT) AS n
+FROM (a CROSS JOIN b) FULL JOIN c ON c.value1 = a.value1 AND c.value2 = b.value2""")
 def contingency(spark, sf):
-    return bi.contingency(responses(spark, sf).where("score > 0.5"), "paper_id", "complexity")
+    return bi.contingency(responses(spark, sf), "paper_id", "query_type", NAMES)
 
 
 def _v_sql(a, b, src):

@@ -158,7 +158,7 @@ SELECT split, sum(ceil(length(text) / 900)) AS n_chunks, count(*) AS n_docs
 FROM s JOIN documents d ON s.doc_id = CAST(d.doc_id AS STRING) WHERE length(text) > 0 GROUP BY split""")
 def split_members(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    members = sinks.split_members(co.chunk(docs), co.assign_splits(docs.select("doc_id")))
+    members = co.chunk(co.assign_splits(docs), keep=["split"])
     return (members.groupBy("split", "doc_id").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("split").agg(F.sum("n").cast("double").alias("n_chunks"), F.count(F.lit(1)).alias("n_docs")))
 
@@ -253,7 +253,7 @@ FROM s JOIN c ON s.doc_id = c.doc_id WHERE length(text) > 0 GROUP BY split""")
 def corpus_build(spark, sf):
     """The whole corpus step: clean, chunk, stratified split, members by split."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
-    chunks, splits = build(docs, CorpusOptions(stratum="lang"))
+    chunks, _ = build(docs, CorpusOptions(stratum="lang"))
     step = F.least(F.length("text"), F.lit(900))
-    return sinks.split_members(chunks, splits).groupBy("split").agg(
+    return chunks.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum(step).alias("n_chars"))

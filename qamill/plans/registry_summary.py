@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qamill.operators import answers as an
+from qamill.operators import catalogue as cat
 from qamill.operators import summary as su
 from qamill.plans import evaluation
 from qamill.plans.fixtures import cte, table, view
@@ -222,11 +223,14 @@ def compare_systems(spark, sf):
     return rounded(su.compare_systems(metrics(spark, sf)), *SYSTEMS)
 
 
-@query("system_by_type", f"""{R} SELECT system, {', '.join(f"round(avg(CASE WHEN query_type = '{t}' THEN score END), 6) AS {t}" for t in ('factoid', 'causal'))}
+TYPES = list(cat.TYPE_SHARES)
+
+
+@query("system_by_type", f"""{R} SELECT system, {', '.join(f"round(avg(CASE WHEN query_type = '{t}' THEN score END), 6) AS {t}" for t in TYPES)}
 FROM v_responses WHERE success GROUP BY system""")
 def system_by_type(spark, sf):
-    out = su.system_by(su.scores_by(responses(spark, sf), "query_type"), "query_type", "average_score", ["factoid", "causal"])
-    return rounded(out, "factoid", "causal")
+    out = su.system_by(su.scores_by(responses(spark, sf), "query_type"), "query_type", "average_score", TYPES)
+    return rounded(out, *TYPES)
 
 
 DISPLAY = f"""{MX}, dx AS (SELECT system, concat(upper(category[1]), category[2:]) AS category, CASE metric WHEN 'precision@1' THEN 'Precision@1' WHEN 'precision@5' THEN 'Precision@5'
