@@ -26,6 +26,14 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
+def few(rows: DataFrame, most: int) -> list[dict]:
+    """Rows of a small table on the driver. The bound is checked, not trusted: beyond it this fails."""
+    found = rows.limit(most + 1).toArrow().to_pylist()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows of {rows.columns} for the driver")
+    return found
+
+
 def text_batches(
     batches: Iterator[pa.RecordBatch], rows: int = 256
 ) -> Iterator[pa.RecordBatch]:

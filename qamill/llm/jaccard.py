@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from qamill.llm.common import text_batches
+from qamill.llm.common import few, text_batches
 from qamill.llm.components import components
 from qamill.session import materialise
 
@@ -150,7 +150,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "t long, c long")
     top = counts.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT)
-    rows = top.orderBy(F.desc("c"), "t").limit(HOT_SHINGLES).collect()
+    rows = few(top.orderBy(F.desc("c"), "t").limit(HOT_SHINGLES), HOT_SHINGLES)
     return np.array([r["t"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
 
 

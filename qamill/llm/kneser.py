@@ -26,16 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qamill.llm.common import WORD
+from qamill.llm.common import WORD, few
 from qamill.session import materialise
 
 WORD_SHARE = 0.03     # of the trusted documents of a language a vocabulary word is in
-NGRAM_SHARE = 5e-7    # of all trusted words an n-gram of the finished model makes up
+NGRAM_SHARE = 1e-6    # of all trusted words an n-gram of the finished model makes up
 PRIOR = 25.0          # words at the trusted mean that every document is given
 QUANTILE = 0.99       # of the trusted scores of a language that is kept
 KEPT_BACK = 5         # one in so many trusted documents sets the levels and is not trained on
 SMALL_SIDE = 4 << 20  # rows of labels up to which they are broadcast (16 bytes each)
 
+MOST_LANGS = 10_000   # language labels; more of them are an error in the table
+MOST_WORDS = 2_000_000  # vocabulary words of all languages, see WORD_SHARE
+
 BITS = 21
 EDGE = 0              # before the first and after the last word
 SHAPES = 8            # ids 1 to 8; vocabulary words follow
@@ -100,8 +103,8 @@ def _vocabulary(trusted: DataFrame) -> tuple[dict[tuple[str, str], int], dict[st
     common = F.col("n") >= F.greatest(F.lit(5), F.col("docs") * WORD_SHARE)
     marked = materialise(found.select("lang", F.when(common, F.col("word")).alias("word")).groupBy("lang", "word").agg(
         F.count(F.lit(1)).alias("n")), "vocabulary")
-    chosen = marked.where("word IS NOT NULL").orderBy("lang", "word").collect()
-    rare = {r["lang"]: math.log(max(1, r["n"])) for r in marked.where("word IS NULL").collect()}
+    chosen = few(marked.where("word IS NOT NULL").orderBy("lang", "word"), MOST_WORDS)
+    rare = {r["lang"]: math.log(max(1, r["n"])) for r in few(marked.where("word IS NULL"), MOST_LANGS)}
     numbers: dict[tuple[str, str], int] = {}
     per: Counter = Counter()
     for row in chosen:
@@ -157,11 +160,12 @@ def _count_trigrams(trusted: DataFrame, shared) -> DataFrame:
     return found.groupBy("lang", "key").agg(F.sum("c").alias("c"))
 
 
-def _discounted(counts: DataFrame, n: int) -> DataFrame:
-    """(lang, h, w, c) -> with the discounted share ``a`` and the context's weight ``g`` for the lower order.
+def _discounted(counts: DataFrame, least: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(lang, h, w, c) -> rows of counts from ``least`` on with their discounted share ``a``; contexts.
 
-    Modified Kneser-Ney: three discounts from the counts of counts of the language; where these
-    are too few to tell, one half.
+    A context (lang, h) comes with its total ``c`` and its weight ``g`` for the lower order; both
+    count all n-grams, also the rare ones. Modified Kneser-Ney: three discounts from the counts of
+    counts of the language; where these are too few to tell, one half.
     """
     of = lambda k: F.sum(F.when(F.col("c") == k, 1.0).otherwise(0.0))
     found = counts.groupBy("lang").agg(*[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
@@ -172,10 +176,10 @@ def _discounted(counts: DataFrame, n: int) -> DataFrame:
     discounts = found.select("lang", *[d(k).alias(f"d{k}") for k in (1, 2, 3)])
     cut = lambda c: F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
     joined = counts.join(F.broadcast(discounts), "lang").withColumn("_d", cut(F.col("c")))
-    contexts = joined.groupBy("lang", "h").agg(F.sum("c").alias("_t"), F.sum("_d").alias("_g"))
-    full = joined.join(contexts, ["lang", "h"])
-    return full.select("lang", "h", "w", "c", ((F.col("c") - F.col("_d")) / F.col("_t")).alias("a"),
-                       (F.col("_g") / F.col("_t")).alias("g"))
+    contexts = joined.groupBy("lang", "h").agg(F.sum("c").alias("t"), F.sum("_d").alias("_g"))
+    contexts = contexts.select("lang", "h", "t", (F.col("_g") / F.col("t")).alias("g"))
+    full = joined.where(F.col("c") >= least).join(contexts, ["lang", "h"])
+    return full.select("lang", "h", "w", "c", ((F.col("c") - F.col("_d")) / F.col("t")).alias("a"), "g"), contexts
 
 
 class Model:
@@ -220,35 +224,37 @@ def train(trusted: DataFrame) -> Model:
     pairs = tri.groupBy("lang", key.bitwiseAND(F.lit(pair)).alias("key")).agg(F.count(F.lit(1)).alias("c"))
     singles = pairs.groupBy("lang", key.bitwiseAND(F.lit(low)).alias("w")).agg(F.count(F.lit(1)).alias("c"))
     split = lambda df: df.select("lang", F.shiftright(key, BITS).alias("h"), key.bitwiseAND(F.lit(low)).alias("w"), "c")
-    one = _discounted(singles.select("lang", F.lit(0).cast("long").alias("h"), "w", "c"), 1)
-    types = singles.groupBy("lang").agg(F.count(F.lit(1)).alias("types"))
-    one = one.join(F.broadcast(types), "lang").select("lang", "w", (F.col("a") + F.col("g") / (F.col("types") + 1)).alias("p1"))
-    two = _discounted(split(pairs), 2).join(one, ["lang", "w"]).select(
-        "lang", "h", "w", "c", "g", (F.col("a") + F.col("g") * F.col("p1")).alias("p2"))
-    two = materialise(two, "bigrams")
-    low_part = F.col("h").bitwiseAND(F.lit(low))
-    three = _discounted(split(tri), 3).withColumn("h2", low_part).join(
-        two.select("lang", F.col("h").alias("h2"), "w", "p2"), ["lang", "h2", "w"]).select(
-        "lang", "h", "w", "c", "g", (F.col("a") + F.col("g") * F.col("p2")).alias("p3"))
-    three = materialise(three, "trigram-probabilities")
     total = tri.agg(F.sum("c")).first()[0] or 0
     least = max(1.0, NGRAM_SHARE * total)
+    one, _ = _discounted(singles.select("lang", F.lit(0).cast("long").alias("h"), "w", "c"))
+    types = singles.groupBy("lang").agg(F.count(F.lit(1)).alias("types"))
+    one = one.join(F.broadcast(types), "lang").select(
+        "lang", "w", (F.col("a") + F.col("g") / (F.col("types") + 1)).alias("p1"))
+    two, ends = _discounted(split(pairs))
+    two = materialise(two.join(one, ["lang", "w"]).select(
+        "lang", "h", "w", "c", (F.col("a") + F.col("g") * F.col("p1")).alias("p2")), "bigrams")
+    three, histories = _discounted(split(tri), least)
+    three = three.withColumn("h2", F.col("h").bitwiseAND(F.lit(low))).join(
+        two.select("lang", F.col("h").alias("h2"), "w", "p2"), ["lang", "h2", "w"]).select(
+        "lang", "h", "w", (F.col("a") + F.col("g") * F.col("p2")).alias("p3"))
     code = F.shiftleft(F.col("h"), BITS).bitwiseOR(F.col("w"))
-    # contexts kept are those with a kept n-gram or enough words of their own: at most 1 / share each
-    context = lambda df, name: df.groupBy("lang", "h").agg(F.first("g").alias("v"), F.sum("c").alias("c")).where(
-        F.col("c") >= least).select("lang", F.lit(name).alias("t"), F.col("h").alias("k"), "v")
-    parts = [one.select("lang", F.lit(0).alias("t"), F.col("w").alias("k"), F.col("p1").alias("v")),
-             two.where(F.col("c") >= least).select("lang", F.lit(1).alias("t"), code.alias("k"), F.col("p2").alias("v")),
-             three.where(F.col("c") >= least).select("lang", F.lit(2).alias("t"), code.alias("k"), F.col("p3").alias("v")),
-             context(two, 3), context(three, 4)]
-    whole = parts[0]
-    for part in parts[1:]:
+    row = lambda df, t, k, v: df.select("lang", F.lit(t).alias("t"), k.alias("k"), F.col(v).cast("float").alias("v"))
+    # contexts with fewer words than a kept n-gram go by the lower order alone
+    whole = row(one, 0, F.col("w"), "p1")
+    for part in (row(two.where(F.col("c") >= least), 1, code, "p2"), row(three, 2, code, "p3"),
+                 row(ends.where(F.col("t") >= least), 3, F.col("h"), "g"),
+                 row(histories.where(F.col("t") >= least), 4, F.col("h"), "g")):
         whole = whole.unionByName(part)
-    found = whole.toPandas().sort_values(["lang", "t", "k"])
+    found = whole.toArrow()
+    langs = found["lang"].to_numpy()
+    kinds, keys, values = (found[c].to_numpy() for c in ("t", "k", "v"))
     tables = {}
-    for lang, rows in found.groupby("lang"):
-        tables[lang] = [(g["k"].to_numpy(np.int64), g["v"].to_numpy(np.float32))
-                        for g in (rows[rows["t"] == t] for t in range(5))]
+    for lang in sorted(set(langs)):
+        tables[lang] = []
+        for t in range(5):
+            at = np.nonzero((langs == lang) & (kinds == t))[0]
+            at = at[np.argsort(keys[at])]
+            tables[lang].append((keys[at], values[at]))
     return Model(numbers, rare, tables)
 
 
@@ -288,10 +294,10 @@ def _decide(docs: DataFrame, trusted_ids: DataFrame, quantile: float) -> DataFra
     back = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(KEPT_BACK)) == 0
     model = train(trusted.where(~back))
     costs = materialise(score(trusted.where(back), model).select("lang", "n", "cost"), "trusted-costs")
-    mean = _by_lang({r["lang"]: r["m"] for r in costs.groupBy("lang").agg(
-        (F.sum("cost") / F.sum("n")).alias("m")).collect()})
-    level = _by_lang({r["lang"]: r["q"] for r in costs.groupBy("lang").agg(
-        F.percentile_approx(_drawn(mean), quantile, 10000).alias("q")).collect()})
+    mean = _by_lang({r["lang"]: r["m"] for r in few(costs.groupBy("lang").agg(
+        (F.sum("cost") / F.sum("n")).alias("m")), MOST_LANGS)})
+    level = _by_lang({r["lang"]: r["q"] for r in few(costs.groupBy("lang").agg(
+        F.percentile_approx(_drawn(mean), quantile, 10000).alias("q")), MOST_LANGS)})
     scored = score(rows, model).withColumn("score", _drawn(mean))
     keep = some & F.coalesce(F.col("score") <= level, F.lit(True))
     return scored.select("doc", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "score",

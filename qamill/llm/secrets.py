@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qamill.llm.common import few
+
 #: The base kinds in order. assign: its second group has 6 characters or more.
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -202,7 +204,7 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, li
     order = W.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
     kept = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
     labelled: dict[str, list[str]] = {}
-    for row in kept.orderBy("kind", "_n").collect():
+    for row in few(kept.orderBy("kind", "_n"), sample * len(KINDS)):
         labelled.setdefault(row["kind"], []).append(row["value"])
     ordinary = labelled.pop("", [])
     return labelled, ordinary
