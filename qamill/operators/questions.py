@@ -122,13 +122,15 @@ def template_slots(template: Column) -> Column:
     return F.regexp_extract_all(template, F.lit(r"\{([^}]+)\}"), F.lit(1))
 
 
-def _templates(templates: dict[str, list[str]], variants: int) -> Column:
-    """All templates and variants as one constant array."""
+def _templates(templates: dict[str, list[str]], variants: int, first: int = 0) -> Column:
+    """All templates and the variants from ``first`` up to ``variants`` as one constant array.
+
+    A template without slots has only its variant 0."""
     rows = [
         {"query_type": t, "template_ix": i, "template": text, "variant": v,
          "slots": re.findall(r"\{([^}]+)\}", text)}
         for t, items in templates.items() for i, text in enumerate(items)
-        for v in range(variants if "{" in text else 1)
+        for v in range(first, variants if "{" in text else 1)
     ]
     return F.from_json(F.lit(json.dumps(rows)), TEMPLATE_TYPE)
 
@@ -170,7 +172,7 @@ def _slot_value(slot: Column, seed: int, key: tuple) -> Column:
 
 
 def instantiate(papers: DataFrame, templates: dict[str, list[str]] | None = None, variants: int = 2,
-                seed: int = 42) -> DataFrame:
+                seed: int = 42, first: int = 0) -> DataFrame:
     """Q9: every template, ``variants`` times with slots, filled from the paper's parts.
 
     ``papers`` comes from ``components``. Filling happens in the row; the parts of the
@@ -188,7 +190,7 @@ def instantiate(papers: DataFrame, templates: dict[str, list[str]] | None = None
             F.map_from_entries(F.array_distinct(v)).alias("template_slots"),
             draw(seed, *key).alias("pick")))
 
-    filled = F.transform(_templates(templates or cat.TEMPLATES, variants), fill)
+    filled = F.transform(_templates(templates or cat.TEMPLATES, variants, first), fill)
     return unnest(papers, filled, ["paper_id"]).select("paper_id", "item.*")
 
 
@@ -197,14 +199,20 @@ def is_valid(question: Column) -> Column:
     return (~question.rlike(r"\[[\p{L}\p{N}_]+\]")) & (F.length(question) >= 10) & question.endswith("?")
 
 
-def distinct_questions(candidates: DataFrame) -> DataFrame:
-    """Q12: one row per question text over all papers, the one with the lowest pick.
+def _same(scope: str) -> list[str]:
+    """What two duplicates share: the text in a ``set``, paper and text in a ``paper``."""
+    return {"set": ["question"], "paper": ["paper_id", "question"]}[scope]
+
+
+def distinct_questions(candidates: DataFrame, scope: str = "set") -> DataFrame:
+    """Q12: one row per question text over all papers (or per paper), the one with the lowest pick.
 
     A text that every paper yields is reduced inside each task before the shuffle.
     """
-    rest = [c for c in candidates.columns if c not in ("question", "pick", "paper_id")]
-    best = F.min_by(F.struct("paper_id", *rest, "pick"), F.struct("pick", "paper_id")).alias("b")
-    return candidates.groupBy("question").agg(best).select("question", "b.*")
+    keys = _same(scope)
+    rest = [c for c in candidates.columns if c not in ("question", "pick", *keys)]
+    best = F.min_by(F.struct(*rest, "pick"), F.struct("pick", "paper_id")).alias("b")
+    return candidates.groupBy(*keys).agg(best).select(*keys, "b.*")
 
 
 def complexity(question: Column, query_type: Column, seed: int = 42) -> Column:
@@ -286,23 +294,49 @@ def seed_questions(candidates: DataFrame, per_type: int = 3) -> DataFrame:
 
 
 def candidates(papers: DataFrame, templates: dict[str, list[str]] | None = None, variants: int = 2,
-               seed: int = 42) -> DataFrame:
+               seed: int = 42, first: int = 0, scope: str = "set") -> DataFrame:
     """Valid, distinct candidates of all papers (``papers`` with sections and concepts)."""
-    filled = instantiate(components(papers), templates, variants, seed)
-    return distinct_questions(filled.where(is_valid(F.col("question"))))
+    filled = instantiate(components(papers), templates, variants, seed, first)
+    return distinct_questions(filled.where(is_valid(F.col("question"))), scope)
+
+
+def shortfall(questions: DataFrame, papers: DataFrame, n: int) -> DataFrame:
+    """(paper_id, found, missing) of the papers with fewer than ``n`` questions."""
+    counts = questions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("found"))
+    found = F.coalesce("found", F.lit(0)).cast("long")
+    return papers.select("paper_id").join(counts, "paper_id", "left").where(found < n).select(
+        "paper_id", found.alias("found"), (F.lit(n) - found).alias("missing"))
 
 
 def generate(papers: DataFrame, n: int = 20, templates: dict[str, list[str]] | None = None,
-             seed: int = 42, store=lambda df, name: df) -> DataFrame:
+             seed: int = 42, store=lambda df, name: df, scope: str = "set", refills: int = 2) -> DataFrame:
     """Q16 with contexts: the question table of a set of papers.
 
-    The selection reads the candidates more than once; ``store`` (such as
+    Papers that come short of ``n``, since other papers (``scope`` set) or their own templates
+    gave the same texts, draw as many further variants again, twice at most by default
+    (``refills``), or until these bring nothing new; ``shortfall`` lists what is still missing. The
+    selection reads the candidates more than once; ``store`` (such as
     ``qamill.session.materialise``) writes them once.
     """
     smallest = min(len(v) for v in (templates or cat.TEMPLATES).values())
     variants = max(2, -(-n // max(smallest, 1)))
-    found = store(candidates(papers, templates, variants, seed), "candidates")
-    return with_contexts(annotate(select_questions(found, n, seed), seed), papers)
+    known = store(candidates(papers, templates, variants, seed, scope=scope), "candidates")
+    chosen = store(select_questions(known, n, seed), "chosen") if refills else select_questions(known, n, seed)
+    for _ in range(refills):
+        short = store(shortfall(chosen, papers, n).select("paper_id"), "short")
+        if not short.limit(1).count():
+            break
+        again = papers.join(short, "paper_id", "left_semi")
+        more = candidates(again, templates, 2 * variants, seed, variants, scope)
+        more = store(more.join(known.select(*_same(scope)), _same(scope), "left_anti"), "candidates")
+        if not more.limit(1).count():
+            break
+        variants *= 2
+        known = known.unionByName(more)
+        full = chosen.join(short, "paper_id", "left_anti")
+        redrawn = select_questions(known.join(short, "paper_id", "left_semi"), n, seed)
+        chosen = store(full.unionByName(redrawn.select(*full.columns)), "chosen")
+    return with_contexts(annotate(chosen, seed), papers)
 
 
 # Contexts -----------------------------------------------------------------------------
