@@ -177,8 +177,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         return pd.DataFrame(out, columns=["at", "n"])
 
     rows = picked.select("lang", "doc_id", "h", F.pandas_udf(count, schema)(F.col("text")).alias("c")).select(
-        "lang", "doc_id", "h", "c.at", "c.n").toPandas().sort_values(["lang", "doc_id", "h"])
-    return Model([(r.lang, np.asarray(r.at), np.asarray(r.n, dtype=float)) for r in rows.itertuples() if len(r.at)])
+        "lang", "doc_id", "h", "c.at", "c.n").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("h", "ascending")])
+    lists = lambda c: [np.asarray(x.values) for x in rows[c]]
+    return Model([(lang, at, n.astype(float)) for lang, at, n in zip(
+        rows["lang"].to_pylist(), lists("at"), lists("n")) if len(at)])
 
 
 PREDICTED = T.StructType([
