@@ -12,10 +12,11 @@ from qamill import schemas
 from qamill.functions import text as tx
 
 
-def read_questions(spark: SparkSession, path: str, only_gold: bool = False) -> DataFrame:
-    """Questions from JSON files that hold a list or a single object."""
+def read_questions(spark: SparkSession, path: str, only_gold: bool = False, lines: bool = False) -> DataFrame:
+    """Questions from JSON files that hold a list or a single object, or with ``lines`` one
+    object per line, as ``sinks.write_json`` leaves them."""
     rows = (
-        spark.read.schema(schemas.QUESTION).option("multiLine", True)
+        spark.read.schema(schemas.QUESTION).option("multiLine", not lines)
         .option("recursiveFileLookup", True).json(path)
         .withColumn("source", F.input_file_name())
     )
