@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of characters that are not ASCII white space.
@@ -26,6 +27,20 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
+def first_per_key(rows: DataFrame, key: str, order: list[str | Column], n: int, parts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each key in hashed order, then by ``order``.
+
+    A hot key is cut into parts by the hash of the first ordering column; at most ``parts * n``
+    rows of a key meet in one task.
+    """
+    h = F.xxhash64(order[0])
+    cut = rows.withColumn("_h", h).withColumn("_part", F.pmod("_h", F.lit(parts)))
+    near = cut.withColumn("_n", F.row_number().over(W.partitionBy(key, "_part").orderBy("_h", *order)))
+    last = W.partitionBy(key).orderBy("_h", *order)
+    kept = near.where(F.col("_n") <= n).withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= n)
+    return kept.select(*rows.columns)
+
+
 def few(rows: DataFrame, most: int) -> list[dict]:
     """Rows of a small table on the driver. The bound is checked, not trusted: beyond it this fails."""
     found = rows.limit(most + 1).toArrow().to_pylist()

@@ -56,9 +56,23 @@ def shape(word: str) -> int:
     return 7 if any(c.isalpha() for c in word) else 8
 
 
-def words(text: str | None) -> list[str]:
+def words(text: str | None) -> list[bytes]:
     """Split at ASCII white space."""
-    return [w.decode() for w in text.encode().split()] if text else []
+    return text.encode().split() if text else []
+
+
+class Codes(dict):
+    """Number of every word: the vocabulary's own, else its shape, remembered for the first many words."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__({w.encode(): n for w, n in vocabulary.items()})
+        self.room = len(self) + 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        number = shape(word.decode())
+        if len(self) < self.room and len(word) < 64:
+            self[word] = number
+        return number
 
 
 def _long(values) -> pa.Array:
@@ -86,7 +100,7 @@ def _vocabulary(trusted: DataFrame) -> tuple[dict[tuple[str, str], int], dict[st
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), _long(list(counts.values()))],
+            [pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]).cast(pa.string()), _long(list(counts.values()))],
             names=["lang", "word", "n"])
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
@@ -113,11 +127,9 @@ def _vocabulary(trusted: DataFrame) -> tuple[dict[tuple[str, str], int], dict[st
     return numbers, rare
 
 
-def _codes(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
-    """Numbers of the words of a text between two edges on either side."""
-    known = vocabulary.get
-    found = [known(w) or shape(w) for w in words(text)]
-    return np.array([EDGE, EDGE, *found, EDGE], dtype=np.int64)
+def _codes(text: str | None, codes: Codes) -> np.ndarray:
+    """Numbers of the words of a text after two edges and before one."""
+    return np.array([EDGE, EDGE, *[codes[w] for w in words(text)], EDGE], dtype=np.int64)
 
 
 def _keys(codes: np.ndarray) -> np.ndarray:
@@ -136,7 +148,8 @@ def _count_trigrams(trusted: DataFrame, shared) -> DataFrame:
     """(lang, key, c), counted in every task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _by_language(shared.value)
+        tables = {lang: Codes(words_) for lang, words_ in _by_language(shared.value).items()}
+        none = Codes({})
         held: dict[str, list[np.ndarray]] = {}
         size = 0
 
@@ -148,7 +161,7 @@ def _count_trigrams(trusted: DataFrame, shared) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                keys = _keys(_codes(text, tables.get(lang, {})))
+                keys = _keys(_codes(text, tables.get(lang, none)))
                 held.setdefault(lang, []).append(keys)
                 size += len(keys)
                 if size > 4_000_000:
@@ -187,6 +200,7 @@ class Model:
 
     def __init__(self, numbers: dict, rare: dict, tables: dict):
         self.vocabulary, self.rare, self.tables = _by_language(numbers), rare, tables
+        self.codes: dict[str, Codes] = {}
 
     @staticmethod
     def _find(table, keys: np.ndarray, missing: float) -> np.ndarray:
@@ -200,14 +214,16 @@ class Model:
         """(sum of -log p, words) of a text; None for a language without trusted text."""
         if lang not in self.tables:
             return None
-        codes = _codes(text, self.vocabulary.get(lang, {}))
+        if lang not in self.codes:
+            self.codes[lang] = Codes(self.vocabulary.get(lang, {}))
+        codes = _codes(text, self.codes[lang])
         uni, bi, tri, weight2, weight3 = self.tables[lang]
         low = (1 << BITS) - 1
         keys = _keys(codes)
         pairs = keys & ((1 << 2 * BITS) - 1)
-        p = self._find(uni, keys & low, 1e-7)
+        p = uni[keys & low]
         seen2 = self._find(bi, pairs, -1.0)
-        p = np.where(seen2 >= 0, seen2, self._find(weight2, pairs >> BITS, 1.0) * p)
+        p = np.where(seen2 >= 0, seen2, weight2[pairs >> BITS] * p)
         seen3 = self._find(tri, keys, -1.0)
         p = np.where(seen3 >= 0, seen3, self._find(weight3, keys >> BITS, 1.0) * p)
         others = ((codes[2:] > EDGE) & (codes[2:] <= SHAPES)).sum()
@@ -248,13 +264,19 @@ def train(trusted: DataFrame) -> Model:
     found = whole.toArrow()
     langs = found["lang"].to_numpy()
     kinds, keys, values = (found[c].to_numpy() for c in ("t", "k", "v"))
-    tables = {}
+    tables, per = {}, Counter(lang for lang, _ in numbers)
     for lang in sorted(set(langs)):
         tables[lang] = []
         for t in range(5):
             at = np.nonzero((langs == lang) & (kinds == t))[0]
             at = at[np.argsort(keys[at])]
-            tables[lang].append((keys[at], values[at]))
+            if t in (0, 3):  # by one word: a plain array over all numbers
+                missing = 1e-7 if t == 0 else 1.0
+                dense = np.full(SHAPES + 1 + per.get(lang, 0), missing, dtype=np.float32)
+                dense[keys[at]] = values[at]
+                tables[lang].append(dense)
+            else:
+                tables[lang].append((keys[at], values[at]))
     return Model(numbers, rare, tables)
 
 

@@ -13,10 +13,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from qamill.llm.common import first_per_key
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 DIMENSION = 16
@@ -161,10 +162,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # the ids are chosen first, so that no other text is moved
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-    chosen = usable.select("doc_id", "lang", F.xxhash64("text").alias("h")).withColumn(
-        "_n", F.row_number().over(order))
-    chosen = F.broadcast(chosen.where(F.col("_n") <= sample).select("doc_id", "h").distinct())
+    chosen = first_per_key(usable.select("doc_id", "lang", F.xxhash64("text").alias("h")), "lang", ["doc_id", "h"], sample)
+    chosen = F.broadcast(chosen.select("doc_id", "h").distinct())
     picked = usable.withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "h"], "left_semi")
     schema = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
 

@@ -15,11 +15,10 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qamill.llm.common import few
+from qamill.llm.common import few, first_per_key
 
 #: The base kinds in order. assign: its second group has 6 characters or more.
 ASSIGN = re.compile(
@@ -201,10 +200,9 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, li
         return pd.Series(out)
 
     found = docs.select(F.explode(F.pandas_udf(values, schema)(F.col("text"))).alias("v")).select("v.*").distinct()
-    order = W.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    kept = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
+    kept = first_per_key(found, "kind", ["value"], sample)
     labelled: dict[str, list[str]] = {}
-    for row in few(kept.orderBy("kind", "_n"), sample * len(KINDS)):
+    for row in few(kept.orderBy("kind", "value"), sample * len(KINDS)):
         labelled.setdefault(row["kind"], []).append(row["value"])
     ordinary = labelled.pop("", [])
     return labelled, ordinary

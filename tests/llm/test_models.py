@@ -57,7 +57,7 @@ def plain_model(texts, numbers):
     """Interpolated modified Kneser-Ney by dictionaries, from the definition."""
     tri = Counter()
     for text in texts:
-        tri.update(zip(*[kneser._codes(text, numbers).tolist()[i:] for i in range(3)]))
+        tri.update(zip(*[kneser._codes(text, kneser.Codes(numbers)).tolist()[i:] for i in range(3)]))
     bi, uni = Counter(), Counter()
     for _, b, c in tri:
         bi[b, c] += 1
@@ -98,7 +98,7 @@ def test_costs_equal_the_definition(spark):
     assert len(numbers) > 10
     p, seen = plain_model(texts, numbers)
     for text in [prose(100 + i, 30) for i in range(10)]:
-        codes = kneser._codes(text, numbers).tolist()
+        codes = kneser._codes(text, kneser.Codes(numbers)).tolist()
         want = sum(-math.log(p(tuple(codes[i:i + 3])) if codes[i + 2] in seen else 1e-7) for i in range(len(codes) - 2)
                    if codes[i + 2] in seen)
         others = sum(1 for c in codes[2:] if 0 < c <= kneser.SHAPES)
