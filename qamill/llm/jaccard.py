@@ -7,8 +7,9 @@ principle two sets with J >= 0.8 share one of the first 0.2 n + 1 shingles of bo
 of all shingles. Shingles that are frequent over the whole table come last in that order; this
 only decides how large the cells are, not which links are found.
 
-Every cell has a pivot, and the exact distance of each member to it is computed. Members within
-0.2 are linked to the pivot; linked members of one component need no more comparison among
+Every cell has a pivot, and the exact distance to it is computed of each member that sizes, places
+of the shingle and a contracted sketch (whose distance never exceeds that of the sets) leave near
+it. Members within 0.2 are linked to the pivot; linked members of one component need no more comparison among
 themselves, and a cell all of whose members are in one component is done. The others are joined
 again with another pivot; what then is left is joined pair by pair within windows: sizes within
 0.8, enough shingles behind the common one, and distances to the same pivots that differ by at
@@ -71,8 +72,11 @@ def shingle_set(content: bytes) -> np.ndarray:
     """Sorted 64-bit hashes of the different shingles of a normal text; with few words, of the whole."""
     if not content:
         return np.zeros(0, dtype=np.uint64)
-    if content.count(b" ") < WORDS - 1:
+    gaps = content.count(b" ")
+    if gaps < WORDS - 1:
         pieces = [(content, None)]
+    elif gaps <= STEP:
+        pieces = [(content, WORDS)]
     else:
         listed = content.split()
         pieces = [(b" ".join(listed[s:s + STEP + WORDS - 1]), WORDS)
@@ -86,11 +90,24 @@ def shingle_set(content: bytes) -> np.ndarray:
         if words is None:
             starts, ends = np.array([0]), np.array([len(letters)])
         else:
-            gaps = np.nonzero(letters == 32)[0]
-            starts = np.concatenate([[0], gaps + 1])[:len(gaps) + 2 - words]
-            ends = np.concatenate([gaps, [len(letters)]])[words - 1:]
-        out.append(_mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64)))
-    return np.unique(np.concatenate(out))
+            spaces = np.flatnonzero(letters == 32)
+            starts = np.concatenate([[0], spaces + 1])[:len(spaces) + 2 - words]
+            ends = np.concatenate([spaces, [len(letters)]])[words - 1:]
+        out.append((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+    tokens = _mix(np.concatenate(out) if len(out) > 1 else out[0])
+    tokens.sort()
+    fresh = np.ones(len(tokens), dtype=bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=fresh[1:])
+    return tokens[fresh]
+
+
+SKETCH = 64  # counts of the shingles by the last six bits of their hash
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """A contraction: two sketches differ by at most as much as their sets do, in the sum of absolute
+    differences against the size of the symmetric difference."""
+    return np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -106,25 +123,13 @@ def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield shingle_set(normal(text))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, n): key and size of every document's set; documents without words have n = 0."""
-
-    def run(batches):
-        for batch in text_batches(batches):
-            sets = list(_texts(batch))
-            yield pa.RecordBatch.from_arrays([
-                batch["doc_id"], pa.array([set_key(s) for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "k", "n"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, k long, n long")
-
-
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """The most frequent shingles, rarest first, counted over all documents.
+def survey(docs: DataFrame) -> DataFrame:
+    """One scan that hashes every text, with two kinds of rows.
 
-    Every task counts its documents in blocks and leaves out what it met once, or what is not
-    among the PER_TASK most frequent of a block (lossy counting); the rest is summed up.
+    For every document (doc_id, h, k, n, sk): hash of the raw text, key and size of its set (n = 0
+    without words), sketch. And (t, c): shingles that are frequent in a block of a task, to be summed
+    up. A block leaves out what it met once, or what is not among its PER_TASK most frequent (lossy
+    counting): this only orders shingles.
     """
 
     def run(batches):
@@ -136,19 +141,34 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             if len(found) > PER_TASK:
                 top = np.argpartition(-n, PER_TASK)[:PER_TASK]
                 found, n = found[top], n[top]
-            return pa.RecordBatch.from_arrays([_signed(found), pa.array(n.astype(np.int64))], names=["t", "c"])
+            none = lambda kind: pa.nulls(len(found), kind)
+            return pa.RecordBatch.from_arrays(
+                [none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary()),
+                 _signed(found), pa.array(n.astype(np.int64))], names=names)
 
+        names = ["doc_id", "h", "k", "n", "sk", "t", "c"]
         for batch in text_batches(batches):
-            for tokens in _texts(batch):
-                held.append(tokens)
-                size += len(tokens)
-                if size > 4_000_000:
-                    yield tally()
-                    held, size = [], 0
+            sets = list(_texts(batch))
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["h"], pa.array([set_key(s) for s in sets], pa.int64()),
+                 pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([sketch(s).tobytes() for s in sets], pa.binary()), none, none], names=names)
+            held += sets
+            size += sum(map(len, sets))
+            if size > 4_000_000:
+                yield tally()
+                held, size = [], 0
         if held:
             yield tally()
 
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "t long, c long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(
+        run, "doc_id long, h long, k long, n int, sk binary, t long, c long")
+
+
+def frequent_shingles(counts: DataFrame) -> np.ndarray:
+    """The most frequent shingles of (t, c), rarest first."""
     top = counts.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT)
     rows = few(top.orderBy(F.desc("c"), "t").limit(HOT_SHINGLES), HOT_SHINGLES)
     return np.array([r["t"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
@@ -197,29 +217,67 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         run, "t long, hot boolean, k long, n int, i int")
 
 
+def near_enough(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Pairs whose sizes and sketches allow J >= 0.8, with the hashes of one text of either side.
+
+    With J >= 0.8 the symmetric difference is at most a ninth of the sizes' sum, and sketches
+    differ by no more than it. ``kinds`` (k, n, h, sk) has one small row per class.
+    """
+    of = lambda side: kinds.select(*[F.col(c).alias(c if c == "k" else f"{c}{side}") for c in ("k", "n", "h", "sk")])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.int32).reshape(-1, SKETCH) for c in ("ska", "skb"))
+            apart = np.abs(one - two).sum(axis=1, dtype=np.int64)
+            both = batch["na"].to_numpy().astype(np.int64) + batch["nb"].to_numpy()
+            yield batch.select(["a", "b", "ha", "hb"]).filter(pa.array(9 * apart <= both))
+
+    wide = pairs.join(of("a").withColumnRenamed("k", "a"), "a").join(of("b").withColumnRenamed("k", "b"), "b")
+    wide = wide.where("5L * na >= 4L * nb AND 5L * nb >= 4L * na")
+    return wide.select("a", "b", "ha", "hb", "na", "nb", "ska", "skb").mapInArrow(run, "a long, b long, ha long, hb long")
+
+
+FILTER_BITS = 24
+
+
+def _bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit per residue of the keys, made in Spark: 2 MB whatever the data; it only saves work."""
+    place = F.pmod(column, F.lit(1 << FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int"))
+    words = keys.select(F.floor(place / 32).cast("int").alias("w"), bit.alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 5, dtype=np.uint32)
+    bits[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
+    return bits
+
+
 def distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) -> (a, b, inter, total): sizes of the intersection and the union of the whole sets.
+    """(a, b, ha, hb) -> (a, b, inter, total): sizes of the intersection and the union of the whole sets.
 
-    Texts travel compressed and only once per pair; those of classes in no pair stay out.
+    Only texts that a pair needs are moved, once and compressed, and once more per pair.
     """
+    needed = pairs.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_filter(needed, "h"))
 
     def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze, bits = zstandard.ZstdCompressor(level=3), shared.value
         seen: set[int] = set()
         for batch in text_batches(batches):
+            place = batch["h"].to_numpy() % (1 << FILTER_BITS)
+            wanted = (bits[place >> 5] >> (place & 31).astype(np.uint32)) & 1
             keys, bodies = [], []
-            for text in batch["text"].to_pylist():
-                content = normal(text)
-                if not content:
-                    continue
-                key = set_key(shingle_set(content))
+            for i in np.flatnonzero(wanted):
+                key = batch["h"][i].as_py()
                 if key not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(key)
                     keys.append(key)
-                    bodies.append(squeeze.compress(content))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], names=["k", "z"])
+                    bodies.append(squeeze.compress(normal(batch["text"][i].as_py())))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], names=["h", "z"])
 
     def compare(batches):
         open_ = zstandard.ZstdDecompressor()
@@ -237,31 +295,32 @@ def distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 [batch["a"], batch["b"], pa.array(inter, pa.int32()), pa.array(total, pa.int32())],
                 names=["a", "b", "inter", "total"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    bodies = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(pack, "k long, z binary")
-    bodies = materialise(bodies.join(needed, "k", "left_semi").groupBy("k").agg(F.min("z").alias("z")), "bodies")
-    left = pairs.join(bodies.select(F.col("k").alias("a"), F.col("z").alias("za")), "a")
-    both = left.join(bodies.select(F.col("k").alias("b"), F.col("z").alias("zb")), "b")
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    bodies = texts.where("text IS NOT NULL").mapInArrow(pack, "h long, z binary")
+    bodies = materialise(bodies.join(needed, "h", "left_semi").groupBy("h").agg(F.min("z").alias("z")), "bodies")
+    left = pairs.select("a", "b", "ha", "hb").join(bodies.select(F.col("h").alias("ha"), F.col("z").alias("za")), "ha")
+    both = left.join(bodies.select(F.col("h").alias("hb"), F.col("z").alias("zb")), "hb")
     return both.select("a", "b", "za", "zb").mapInArrow(compare, "a long, b long, inter int, total int")
 
 
 LINKED = "100 * CAST(inter AS BIGINT) >= 80 * CAST(total AS BIGINT)"
 
 
-def _may_link(x: str, y: str) -> Column:
-    """Sizes and places of the common shingle that allow J >= 0.8 if it is the first common one."""
-    nx, ny, ix, iy = (F.col(f"{s}.{c}").cast("long") for c in ("n", "i") for s in (x, y))
-    rest = F.least(nx - ix, ny - iy)
-    return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (9 * rest >= 4 * (nx + ny))
+def _places_allow(nx: Column, ix: Column, ny: Column, iy: Column) -> Column:
+    """Sizes and places of a common shingle that allow J >= 0.8 if it is the first common one."""
+    nx, ix, ny, iy = (c.cast("long") for c in (nx, ix, ny, iy))
+    return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (9 * F.least(nx - ix, ny - iy) >= 4 * (nx + ny))
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Rows of cells with at least two classes, with the pivot ``p`` of their part of the cell."""
+    """Rows of cells with at least two classes, with the pivot of their part of the cell: ``p``, and
+    its size and place ``pn``, ``pi``."""
     part = F.when(F.col("hot"), F.pmod("k", F.lit(CELLS))).otherwise(0).cast("int")
-    cut = rows.withColumn("s", part)
     cell = W.partitionBy("t", "s")
-    marked = cut.withColumn("p", F.min("k").over(cell)).withColumn("m", F.max("k").over(cell))
-    return marked.where("p <> m OR hot").drop("m")
+    marked = rows.withColumn("s", part).withColumn("_p", F.min(F.struct("k", "n", "i")).over(cell)).withColumn(
+        "m", F.max("k").over(cell))
+    return marked.where("_p.k <> m OR hot").select(
+        *rows.columns, F.col("_p.k").alias("p"), F.col("_p.n").alias("pn"), F.col("_p.i").alias("pi"))
 
 
 def _pivots_of_hot(cells: DataFrame) -> DataFrame:
@@ -278,37 +337,41 @@ def join(docs: DataFrame) -> DataFrame:
     it has; copies are never expanded into pairs. Rows without an id keep a null component unless
     a row of their component has one. An empty table gives no rows; other columns are ignored.
     """
-    sets = materialise(classes(docs), "sets")
-    cells = materialise(_cells(prefixes(docs, frequent_shingles(docs))), "cells")
-    pairs = cells.where("k <> p").select(F.col("k").alias("a"), F.col("p").alias("b"))
-    pairs = materialise(pairs.unionByName(_pivots_of_hot(cells)).distinct(), "pairs")
+    seen = materialise(survey(docs), "survey")
+    sets = seen.where("t IS NULL").select("doc_id", "k", "n")
+    kinds = materialise(seen.where("t IS NULL AND n > 0").groupBy("k").agg(
+        F.min(F.struct("h", "n", "sk")).alias("r")).select("k", "r.n", "r.h", "r.sk"), "kinds")
+    hot = frequent_shingles(seen.where("t IS NOT NULL").select("t", "c"))
+    cells = materialise(_cells(prefixes(docs, hot)), "cells")
+    allowed = _places_allow(F.col("n"), F.col("i"), F.col("pn"), F.col("pi"))
+    pairs = cells.where((F.col("k") != F.col("p")) & allowed).select(F.col("k").alias("a"), F.col("p").alias("b"))
+    pairs = materialise(near_enough(pairs.unionByName(_pivots_of_hot(cells)).distinct(), kinds), "pairs")
     known = materialise(distances(pairs, docs), "distances")
     links = known.where(LINKED).select("a", "b")
     labels = components(links)
-    # distance of each member to the pivots of its cell; -1 to itself
+    # distance of each member to the pivots of its cell, where it is known
     far = lambda df, name: df.select(F.col("a").alias("k"), F.col("b").alias("p"),
                                      (1 - F.col("inter") / F.col("total")).alias(name))
-    active = cells.join(far(known, "d1"), ["k", "p"], "left").withColumnRenamed("p", "p1").withColumn(
-        "d1", F.when(F.col("k") == F.col("p1"), 0.0).otherwise(F.col("d1")))
-    active = _active(active, labels)
+    own = lambda p, d: F.when(F.col("k") == F.col(p), 0.0).otherwise(F.col(d))
+    active = _active(cells.drop("pn", "pi"), labels).join(far(known, "d1"), ["k", "p"], "left")
+    active = active.withColumnRenamed("p", "p1").withColumn("d1", own("p1", "d1"))
+    # second pivot: the largest class of the cell that is still open
+    cell = W.partitionBy("t", F.when(F.col("hot"), F.pmod("k", F.lit(CELLS))).otherwise(0))
+    active = materialise(active.withColumn("q", F.max(F.struct("k", "n", "i")).over(cell)).select(
+        *active.columns, F.col("q.k").alias("p2"), F.col("q.n").alias("pn"), F.col("q.i").alias("pi")), "open-cells")
     if active.limit(1).count():
-        # second pivot: the largest class of the cell that is still open
-        cell = W.partitionBy("t", F.when(F.col("hot"), F.pmod("k", F.lit(CELLS))).otherwise(0))
-        active = materialise(active.withColumn("p2", F.max("k").over(cell)), "open-cells")
-        more = active.where("k <> p2").select(F.col("k").alias("a"), F.col("p2").alias("b")).distinct()
-        more = materialise(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        second = materialise(distances(more, docs), "distances").unionByName(known)
+        more = active.where((F.col("k") != F.col("p2")) & allowed).select(F.col("k").alias("a"), F.col("p2").alias("b"))
+        more = more.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        second = materialise(distances(materialise(near_enough(more, kinds), "pairs"), docs), "distances").unionByName(known)
         links = second.where(LINKED).select("a", "b")
         labels = components(links)
-        both = active.drop("label").join(
-            far(second, "d2").withColumnRenamed("p", "p2"), ["k", "p2"], "left").withColumn(
-            "d2", F.when(F.col("k") == F.col("p2"), 0.0).otherwise(F.col("d2")))
-        rest = _window_pairs(_active(both, labels))
-        rest = materialise(rest.join(second.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        both = _active(active.drop("label", "pn", "pi"), labels).join(
+            far(second, "d2").withColumnRenamed("p", "p2"), ["k", "p2"], "left").withColumn("d2", own("p2", "d2"))
+        rest = _window_pairs(both).join(second.select("a", "b"), ["a", "b"], "left_anti")
+        rest = materialise(near_enough(rest, kinds), "pairs")
         if rest.limit(1).count():
             third = materialise(distances(rest, docs), "distances")
-            links = links.unionByName(third.where(LINKED).select("a", "b"))
-            labels = components(links)
+            labels = components(links.unionByName(third.where(LINKED).select("a", "b")))
     labels = labels.select(F.col("k").alias("_k"), "label")
     named = sets.join(labels, F.col("k") == F.col("_k"), "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("c"))
@@ -343,7 +406,8 @@ def _window_pairs(rows: DataFrame) -> DataFrame:
         known = (F.col(f"x.{p}") == F.col(f"y.{p}")) & F.col(f"x.{d}").isNotNull() & F.col(f"y.{d}").isNotNull()
         near = near & (~F.coalesce(known, F.lit(False)) | (F.abs(F.col(f"x.{d}") - F.col(f"y.{d}")) <= 0.2 + 1e-9))
     pairs = low.join(high, (F.col("x.t") == F.col("y.t")) & (F.col("x.at") == F.col("y.at")) & same_step
-                     & (F.col("x.label") != F.col("y.label")) & _may_link("x", "y") & near)
+                     & (F.col("x.label") != F.col("y.label")) & near
+                     & _places_allow(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i")))
     return pairs.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
 
 

@@ -109,12 +109,22 @@ def test_one_large_group_makes_no_pairs(spark):
     base = " ".join(f"x{i}" for i in range(100))
     rows = [(i, base if i < 300 else edited(base, rng, 1)) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    cells = jaccard._cells(jaccard.prefixes(df, jaccard.frequent_shingles(df)))
+    counts = jaccard.survey(df).where("t IS NOT NULL").select("t", "c")
+    cells = jaccard._cells(jaccard.prefixes(df, jaccard.frequent_shingles(counts)))
     pairs = cells.where("k <> p").select("k", "p").distinct().count()
     assert pairs < 301 * 8
     assert {r[2] for r in joined(df)} == {0}
 
 
+def test_sketches_never_exceed_the_sets_difference():
+    rng = random.Random(6)
+    for _ in range(50):
+        text = prose(rng.randrange(1000), rng.randint(5, 200))
+        one, two = (jaccard.shingle_set(jaccard.normal(t)) for t in (text, edited(text, rng, 5)))
+        apart = abs(jaccard.sketch(one) - jaccard.sketch(two)).sum()
+        assert apart <= len(set(one.tolist()) ^ set(two.tolist()))
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
     got = {r["k"]: r["label"] for r in rows_of(components(spark.createDataFrame(links, "a long, b long")))}
