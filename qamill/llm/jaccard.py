@@ -19,6 +19,7 @@ most 0.2 (triangle inequality). An exact comparison of the whole sets decides ev
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from qamill.llm.common import few, text_batches
+from qamill.llm.common import text_batches
 from qamill.llm.components import components
 from qamill.session import materialise
 
 WORDS = 5
 HOT = 24              # count from which a shingle is put last in the order
-HOT_SHINGLES = 65536  # the most frequent ones, of which the order knows (8 bytes each)
-PER_TASK = 20_000     # shingles that a block of a task proposes as frequent
+HOT_SHINGLES = 1 << 19  # the most frequent ones, of which the order knows (8 bytes each)
+PER_TASK = 200_000    # shingles that a block of a task proposes as frequent
 CELLS = 64            # parts into which the cell of a frequent shingle is split for its first pivots
 STEP = 100_000        # words hashed at a time
 
@@ -101,13 +102,14 @@ def shingle_set(content: bytes) -> np.ndarray:
     return tokens[fresh]
 
 
-SKETCH = 64  # counts of the shingles by the last six bits of their hash
+SKETCH, FINE = 64, 1024  # parts of a sketch: counts of the shingles by the last bits of their hash
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
+def sketch(tokens: np.ndarray, parts: int = SKETCH) -> np.ndarray:
     """A contraction: two sketches differ by at most as much as their sets do, in the sum of absolute
-    differences against the size of the symmetric difference."""
-    return np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32)
+    differences against the size of the symmetric difference. Counts stop at 255."""
+    counts = np.bincount((tokens & np.uint64(parts - 1)).astype(np.int64), minlength=parts)
+    return np.minimum(counts, 255).astype(np.uint8)
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -126,8 +128,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 def survey(docs: DataFrame) -> DataFrame:
     """One scan that hashes every text, with two kinds of rows.
 
-    For every document (doc_id, h, k, n, sk): hash of the raw text, key and size of its set (n = 0
-    without words), sketch. And (t, c): shingles that are frequent in a block of a task, to be summed
+    For every document (doc_id, h, k, n, fine, sk): hash of the raw text, key and size of its set (n = 0
+    without words), a fine sketch (compressed) and a short one. And (t, c): shingles that are frequent in a block of a task, to be summed
     up. A block leaves out what it met once, or what is not among its PER_TASK most frequent (lossy
     counting): this only orders shingles.
     """
@@ -143,16 +145,17 @@ def survey(docs: DataFrame) -> DataFrame:
                 found, n = found[top], n[top]
             none = lambda kind: pa.nulls(len(found), kind)
             return pa.RecordBatch.from_arrays(
-                [none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary()),
+                [none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary()), none(pa.binary()),
                  _signed(found), pa.array(n.astype(np.int64))], names=names)
 
-        names = ["doc_id", "h", "k", "n", "sk", "t", "c"]
+        names = ["doc_id", "h", "k", "n", "fine", "sk", "t", "c"]
         for batch in text_batches(batches):
             sets = list(_texts(batch))
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["h"], pa.array([set_key(s) for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([zlib.compress(sketch(s, FINE).tobytes(), 1) for s in sets], pa.binary()),
                  pa.array([sketch(s).tobytes() for s in sets], pa.binary()), none, none], names=names)
             held += sets
             size += sum(map(len, sets))
@@ -164,14 +167,14 @@ def survey(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.withColumn("h", F.xxhash64("text")).mapInArrow(
-        run, "doc_id long, h long, k long, n int, sk binary, t long, c long")
+        run, "doc_id long, h long, k long, n int, fine binary, sk binary, t long, c long")
 
 
 def frequent_shingles(counts: DataFrame) -> np.ndarray:
     """The most frequent shingles of (t, c), rarest first."""
     top = counts.groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT)
-    rows = few(top.orderBy(F.desc("c"), "t").limit(HOT_SHINGLES), HOT_SHINGLES)
-    return np.array([r["t"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+    rows = top.orderBy(F.desc("c"), "t").limit(HOT_SHINGLES).toArrow()
+    return np.ascontiguousarray(rows["t"].to_numpy()[::-1], dtype=np.int64).view(np.uint64)
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -221,22 +224,32 @@ def near_enough(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
     """Pairs whose sizes and sketches allow J >= 0.8, with the hashes of one text of either side.
 
     With J >= 0.8 the symmetric difference is at most a ninth of the sizes' sum, and sketches
-    differ by no more than it. ``kinds`` (k, n, h, sk) has one small row per class.
+    differ by no more than it. Short sketches go first, then fine ones, which leave little but
+    pairs that are linked. ``kinds`` has one row per class.
     """
-    of = lambda side: kinds.select(*[F.col(c).alias(c if c == "k" else f"{c}{side}") for c in ("k", "n", "h", "sk")])
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), dtype=np.int32).reshape(-1, SKETCH) for c in ("ska", "skb"))
-            apart = np.abs(one - two).sum(axis=1, dtype=np.int64)
-            both = batch["na"].to_numpy().astype(np.int64) + batch["nb"].to_numpy()
-            yield batch.select(["a", "b", "ha", "hb"]).filter(pa.array(9 * apart <= both))
-
-    wide = pairs.join(of("a").withColumnRenamed("k", "a"), "a").join(of("b").withColumnRenamed("k", "b"), "b")
-    wide = wide.where("5L * na >= 4L * nb AND 5L * nb >= 4L * na")
-    return wide.select("a", "b", "ha", "hb", "na", "nb", "ska", "skb").mapInArrow(run, "a long, b long, ha long, hb long")
+    def close(column: str, parts: int, unpack, keep: list[str]):
+        def run(batches):
+            for whole in batches:
+                for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                    one, two = (np.frombuffer(b"".join(map(unpack, batch[column + x].to_pylist())), dtype=np.uint8).reshape(
+                        -1, parts).astype(np.int16) for x in "ab")
+                    apart = np.abs(one - two).sum(axis=1, dtype=np.int64)
+                    both = batch["na"].to_numpy().astype(np.int64) + batch["nb"].to_numpy()
+                    yield batch.select(keep).filter(pa.array(9 * apart <= both))
+        return run
+
+    def wide(rows: DataFrame, column: str, more: list[str]) -> DataFrame:
+        for x, end in (("a", "a"), ("b", "b")):
+            side = kinds.select(F.col("k").alias(end), *[F.col(c).alias(c + x) for c in (column, *more)])
+            rows = rows.join(side, end)
+        return rows
+
+    rough = wide(pairs, "sk", ["n", "h"]).where("5L * na >= 4L * nb AND 5L * nb >= 4L * na").select(
+        "a", "b", "ha", "hb", "na", "nb", "ska", "skb").mapInArrow(
+        close("sk", SKETCH, bytes, ["a", "b", "ha", "hb", "na", "nb"]), "a long, b long, ha long, hb long, na int, nb int")
+    return wide(rough, "fine", []).select("a", "b", "ha", "hb", "na", "nb", "finea", "fineb").mapInArrow(
+        close("fine", FINE, zlib.decompress, ["a", "b", "ha", "hb"]), "a long, b long, ha long, hb long")
 
 
 FILTER_BITS = 24
@@ -340,7 +353,7 @@ def join(docs: DataFrame) -> DataFrame:
     seen = materialise(survey(docs), "survey")
     sets = seen.where("t IS NULL").select("doc_id", "k", "n")
     kinds = materialise(seen.where("t IS NULL AND n > 0").groupBy("k").agg(
-        F.min(F.struct("h", "n", "sk")).alias("r")).select("k", "r.n", "r.h", "r.sk"), "kinds")
+        F.min(F.struct("h", "n", "sk", "fine")).alias("r")).select("k", "r.n", "r.h", "r.sk", "r.fine"), "kinds")
     hot = frequent_shingles(seen.where("t IS NOT NULL").select("t", "c"))
     cells = materialise(_cells(prefixes(docs, hot)), "cells")
     allowed = _places_allow(F.col("n"), F.col("i"), F.col("pn"), F.col("pi"))
