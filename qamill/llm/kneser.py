@@ -1,12 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Per language, words found in at least a share of the trusted documents form the vocabulary; any
-other word is replaced by its shape, and costs besides the logarithm of the number of such words.
-A share bounds the vocabulary: with d different words in a mean document and a share s, at most
-d / s words reach it, however large the corpus. Counts of trigrams, continuation counts, counts of
-counts, discounts and context weights are aggregations and joins over tables sharded by their
-keys. The finished probabilities (n-grams below a share of all trusted words are left to their
-lower order, so that at most 1 / share remain) are sent to the tasks that score documents.
+Every word of trusted text is in the vocabulary of its language; only words that trusted text never
+has are unknown, and share what the discounts leave at the lowest order. All n-grams are kept. The
+model is one table sharded by n-gram: counts of trigrams, continuation counts, totals and weights of
+contexts, all from aggregations. Nothing of it but a row per language reaches the driver.
+
+Documents are dealt out in chunks. The different n-grams of each chunk are joined with the model,
+what is found goes back to the chunk, and the costs of its documents are added up there. N-grams go
+by 64-bit hashes of their words; among a thousand million of them two meet with a chance of 3 %.
 
 A document's score is the mean cost of its words, drawn a little towards the trusted mean of its
 language so that a few words prove nothing. It is kept up to a quantile of the scores of the
@@ -15,13 +16,12 @@ trusted documents of its language that were not trained on.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,31 +29,16 @@ from pyspark.sql import types as T
 from qamill.llm.common import WORD, few
 from qamill.session import materialise
 
-WORD_SHARE = 0.03     # of the trusted documents of a language a vocabulary word is in
-NGRAM_SHARE = 1e-6    # of all trusted words an n-gram of the finished model makes up
 PRIOR = 25.0          # words at the trusted mean that every document is given
 QUANTILE = 0.99       # of the trusted scores of a language that is kept
 KEPT_BACK = 5         # one in so many trusted documents sets the levels and is not trained on
 SMALL_SIDE = 4 << 20  # rows of labels up to which they are broadcast (16 bytes each)
+CHUNK = 4_000_000     # characters of text whose n-grams are looked up together
 
 MOST_LANGS = 10_000   # language labels; more of them are an error in the table
-MOST_WORDS = 2_000_000  # vocabulary words of all languages, see WORD_SHARE
 
-BITS = 21
 EDGE = 0              # before the first and after the last word
-SHAPES = 8            # ids 1 to 8; vocabulary words follow
-
-
-def shape(word: str) -> int:
-    """1 lower, 2 title, 3 upper, 4 lower with a mark behind, 5 title so, 6 with digits, 7 mixed, 8 other."""
-    if word.isalpha():
-        return 1 if word.islower() else 2 if word.istitle() else 3 if word.isupper() else 7
-    if word[:-1].isalpha() and word[-1] in ".,;:?!":
-        head = word[:-1]
-        return 4 if head.islower() else 5 if head.istitle() else 7
-    if any(c.isdigit() for c in word):
-        return 6
-    return 7 if any(c.isalpha() for c in word) else 8
+SHAPES = 0            # classes of words outside the vocabulary: none are needed
 
 
 def words(text: str | None) -> list[bytes]:
@@ -61,22 +46,93 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
+def number(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
 class Codes(dict):
-    """Number of every word: the vocabulary's own, else its shape, remembered for the first many words."""
+    """Number of every word, remembered for the first many words."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__({w.encode(): n for w, n in vocabulary.items()})
+    def __init__(self, vocabulary: dict[str, int] | None = None):
+        super().__init__({w.encode(): n for w, n in (vocabulary or {}).items()})
         self.room = len(self) + 500_000
 
     def __missing__(self, word: bytes) -> int:
-        number = shape(word.decode())
+        found = number(word)
         if len(self) < self.room and len(word) < 64:
-            self[word] = number
-        return number
+            self[word] = found
+        return found
+
+
+def _codes(text: str | None, codes: Codes) -> np.ndarray:
+    """Numbers of the words of a text after two edges and before one."""
+    return np.array([EDGE, EDGE, *[codes[w] for w in words(text)], EDGE], dtype=np.int64)
 
 
-def _long(values) -> pa.Array:
-    return pa.array(values, type=pa.int64())
+_P = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                             0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _hashed(values: np.ndarray, seeds) -> np.ndarray:
+    """What Spark's xxhash64 makes of longs after columns that gave ``seeds``."""
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    x = np.atleast_1d(values).astype(np.int64).view(np.uint64)
+    h = np.atleast_1d(np.asarray(seeds)).astype(np.int64).view(np.uint64) + _P[4] + np.uint64(8)
+    h = turn(h ^ (turn(x * _P[1], 31) * _P[0]), 27) * _P[0] + _P[3]
+    h = (h ^ (h >> np.uint64(33))) * _P[1]
+    h = (h ^ (h >> np.uint64(29))) * _P[2]
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+class Grams:
+    """The n-grams of many texts: keys of orders 1 to 3 at every position, and where a trigram ends."""
+
+    def __init__(self, langs: list[str], texts: list[str | None], codes: Codes):
+        parts = [_codes(text, codes) for text in texts]
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        self.codes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        self.row = np.repeat(np.arange(len(parts)), sizes)
+        numbers = {lang: number(lang.encode()) for lang in set(langs)}
+        self.lang = np.array([numbers[lang] for lang in langs], dtype=np.int64)[self.row]
+        ends = np.ones(len(self.codes), dtype=bool)
+        first = np.cumsum(sizes) - sizes
+        ends[first] = ends[first + 1] = False
+        self.ends = np.nonzero(ends)[0]
+        self.words = sizes - 3
+        # a key that reaches over the start of a text is made but never asked for
+        self.one = _hashed(self.codes, _hashed(self.lang, 42))
+        self.two = _hashed(self.codes, np.roll(self.one, 1))
+        self.three = _hashed(self.codes, np.roll(self.two, 1))
+
+    def wanted(self) -> np.ndarray:
+        """Different keys of all orders that the costs depend on."""
+        at = self.ends
+        return np.unique(np.concatenate([np.unique(k) for k in (
+            self.one[at], self.one[at - 1], self.two[at], self.two[at - 1], self.three[at])]))
+
+    def costs(self, keys, a, t, g, facts: dict[int, tuple[float, float]]) -> np.ndarray:
+        """Sum of -log p per text, from model rows in the order of their ``keys``; NaN without a model."""
+
+        def find(wanted, *columns):
+            if not len(keys):
+                return [np.zeros(len(wanted)) for _ in columns]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            known = keys[at] == wanted
+            return [np.where(known, c[at], 0.0) for c in columns]
+
+        def lower(gram, total, weight, p):
+            seen = total > 0
+            return np.where(seen, gram / np.where(seen, total, 1.0) + weight * p, p)
+
+        at = self.ends
+        out = np.zeros(len(self.words))
+        langs, which = np.unique(self.lang[at], return_inverse=True)
+        total, rest = np.array([facts.get(int(x), (np.nan, np.nan)) for x in langs]).reshape(-1, 2)[which].T
+        p = find(self.one[at], a)[0] / total + rest
+        p = lower(*find(self.two[at], a), *find(self.one[at - 1], t, g), p)
+        p = lower(*find(self.three[at], a), *find(self.two[at - 1], t, g), p)
+        np.add.at(out, self.row[at], -np.log(p))
+        return out
 
 
 # What is broadcast by language has one row per language label.
@@ -94,205 +150,161 @@ def _trusted(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
-def _vocabulary(trusted: DataFrame) -> tuple[dict[tuple[str, str], int], dict[str, float]]:
-    """Number of each (language, word) of the vocabulary; log of the count of other words per language."""
+def _count_trigrams(trusted: DataFrame) -> DataFrame:
+    """(l, a, b, c, n) with the numbers of language and words, counted in every task before the shuffle."""
+    names = ["l", "a", "b", "c", "n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, langs, texts, size = Codes(), [], [], 0
+
+        def out() -> pa.RecordBatch:
+            grams = Grams(langs, texts, codes)
+            at = grams.ends
+            _, first, n = np.unique(grams.three[at], return_index=True, return_counts=True)
+            at = at[first]
+            columns = [grams.lang[at], grams.codes[at - 2], grams.codes[at - 1], grams.codes[at], n]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]).cast(pa.string()), _long(list(counts.values()))],
-            names=["lang", "word", "n"])
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                counts.update({(lang, w) for w in words(text)})
-                if len(counts) > 500_000:
+                langs.append(lang)
+                texts.append(text)
+                size += len(text)
+                if size > 2 * CHUNK:
                     yield out()
-                    counts.clear()
-        if counts:
+                    langs, texts, size = [], [], 0
+        if langs:
             yield out()
 
-    sizes = trusted.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    found = trusted.select("lang", "text").mapInArrow(tally, "lang string, word string, n long")
-    found = found.groupBy("lang", "word").agg(F.sum("n").alias("n")).join(F.broadcast(sizes), "lang")
-    common = F.col("n") >= F.greatest(F.lit(5), F.col("docs") * WORD_SHARE)
-    marked = materialise(found.select("lang", F.when(common, F.col("word")).alias("word")).groupBy("lang", "word").agg(
-        F.count(F.lit(1)).alias("n")), "vocabulary")
-    chosen = few(marked.where("word IS NOT NULL").orderBy("lang", "word"), MOST_WORDS)
-    rare = {r["lang"]: math.log(max(1, r["n"])) for r in few(marked.where("word IS NULL"), MOST_LANGS)}
-    numbers: dict[tuple[str, str], int] = {}
-    per: Counter = Counter()
-    for row in chosen:
-        per[row["lang"]] += 1
-        numbers[row["lang"], row["word"]] = SHAPES + per[row["lang"]]
-    return numbers, rare
-
-
-def _codes(text: str | None, codes: Codes) -> np.ndarray:
-    """Numbers of the words of a text after two edges and before one."""
-    return np.array([EDGE, EDGE, *[codes[w] for w in words(text)], EDGE], dtype=np.int64)
-
+    found = trusted.select("lang", "text").mapInArrow(count, ", ".join(f"{c} long" for c in names))
+    return found.groupBy(*names[:4]).agg(F.sum("n").alias("n"))
 
-def _keys(codes: np.ndarray) -> np.ndarray:
-    """Trigrams as one number each."""
-    return (codes[:-2] << 2 * BITS) | (codes[1:-1] << BITS) | codes[2:]
 
+def _discounts(counts: DataFrame, order: int) -> DataFrame:
+    """l and three discounts from the counts of counts ``n`` of the language.
 
-def _by_language(numbers: dict[tuple[str, str], int]) -> dict[str, dict[str, int]]:
-    out: dict[str, dict[str, int]] = {}
-    for (lang, word), number in numbers.items():
-        out.setdefault(lang, {})[word] = number
-    return out
+    Where these are too few to tell, one half.
+    """
+    of = lambda k: F.sum(F.when(F.col("n") == k, 1.0).otherwise(0.0))
+    found = counts.groupBy("l").agg(*[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    fine = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
+    d = lambda k: F.when(fine, F.greatest(F.lit(0.1), F.least(
+        F.lit(float(k)), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(0.5)
+    return found.select("l", *[d(k).alias(f"d{order}{k}") for k in (1, 2, 3)])
 
 
-def _count_trigrams(trusted: DataFrame, shared) -> DataFrame:
-    """(lang, key, c), counted in every task before the shuffle."""
+def _cut(order: int) -> Column:
+    """The discount of a count ``n``."""
+    d = lambda k: F.col(f"d{order}{k}")
+    return F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d(1)).when(F.col("n") == 2, d(2)).otherwise(d(3))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {lang: Codes(words_) for lang, words_ in _by_language(shared.value).items()}
-        none = Codes({})
-        held: dict[str, list[np.ndarray]] = {}
-        size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), _long(keys), _long(n)], names=["lang", "key", "c"])
+def _as_context(n: Column) -> list[Column]:
+    """Total and numbers of n-grams by count, of the context of an n-gram found ``n`` times."""
+    return [n.alias("t"), *[F.when(x, 1).otherwise(0).cast("long").alias(f"x{k}") for k, x in (
+        (1, n == 1), (2, n == 2), (3, n > 2))]]
 
-        for batch in batches:
-            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                keys = _keys(_codes(text, tables.get(lang, none)))
-                held.setdefault(lang, []).append(keys)
-                size += len(keys)
-                if size > 4_000_000:
-                    yield from out()
-                    held, size = {}, 0
-        yield from out()
 
-    found = trusted.select("lang", "text").mapInArrow(count, "lang string, key long, c long")
-    return found.groupBy("lang", "key").agg(F.sum("c").alias("c"))
+def _levels(rows: DataFrame, context: list[str], gram: list[str], names: list[str], n: Column) -> DataFrame:
+    """The lower order: every row adds to its context, and counts one for the gram it continues."""
+    zero = F.lit(0).cast("long")
+    keys = lambda columns: [F.col(c).alias(k) for c, k in zip(columns, names)]
+    both = F.array(F.struct(*keys(context), zero.alias("n"), *_as_context(n)),
+                   F.struct(*keys(gram), F.lit(1).cast("long").alias("n"), *_as_context(zero)))
+    spread = rows.select("l", F.explode(both).alias("r")).select("l", "r.*")
+    return spread.groupBy("l", *names).agg(*[F.sum(c).alias(c) for c in ("n", "t", "x1", "x2", "x3")])
 
 
-def _discounted(counts: DataFrame, least: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(lang, h, w, c) -> rows of counts from ``least`` on with their discounted share ``a``; contexts.
+class Model:
+    """Model rows (key, a, t, g) as a table; per language (total, rest) of the lowest order.
 
-    A context (lang, h) comes with its total ``c`` and its weight ``g`` for the lower order; both
-    count all n-grams, also the rare ones. Modified Kneser-Ney: three discounts from the counts of
-    counts of the language; where these are too few to tell, one half.
+    ``a`` is the discounted count of an n-gram, ``t`` and ``g`` the total of a context and its weight
+    for the lower order.
     """
-    of = lambda k: F.sum(F.when(F.col("c") == k, 1.0).otherwise(0.0))
-    found = counts.groupBy("lang").agg(*[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    fine = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    d = lambda k: F.when(fine, F.greatest(F.lit(0.1), F.least(
-        F.lit(float(k)), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(0.5)
-    discounts = found.select("lang", *[d(k).alias(f"d{k}") for k in (1, 2, 3)])
-    cut = lambda c: F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-    joined = counts.join(F.broadcast(discounts), "lang").withColumn("_d", cut(F.col("c")))
-    contexts = joined.groupBy("lang", "h").agg(F.sum("c").alias("t"), F.sum("_d").alias("_g"))
-    contexts = contexts.select("lang", "h", "t", (F.col("_g") / F.col("t")).alias("g"))
-    full = joined.where(F.col("c") >= least).join(contexts, ["lang", "h"])
-    return full.select("lang", "h", "w", "c", ((F.col("c") - F.col("_d")) / F.col("t")).alias("a"), "g"), contexts
 
+    rare: dict[str, float] = {}
 
-class Model:
-    """Sorted tables per language: probabilities of n-grams and lower-order weights of contexts."""
-
-    def __init__(self, numbers: dict, rare: dict, tables: dict):
-        self.vocabulary, self.rare, self.tables = _by_language(numbers), rare, tables
-        self.codes: dict[str, Codes] = {}
+    def __init__(self, table: DataFrame, facts: dict[int, tuple[float, float]], trusted: DataFrame):
+        self.table, self.facts, self.trusted = table, facts, trusted
+        self._local = None
 
-    @staticmethod
-    def _find(table, keys: np.ndarray, missing: float) -> np.ndarray:
-        names, values = table
-        if not len(names):
-            return np.full(len(keys), missing)
-        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        return np.where(names[at] == keys, values[at], missing)
+    @property
+    def vocabulary(self) -> dict[str, dict[str, int]]:
+        """Words by language with their numbers, read to the driver: for small models only."""
+        out: dict[str, dict[str, int]] = {}
+        for row in self.trusted.select("lang", "text").toLocalIterator():
+            out.setdefault(row["lang"], {}).update((w.decode(), number(w)) for w in words(row["text"]))
+        return out
 
     def cost(self, lang: str, text: str | None) -> tuple[float, int] | None:
-        """(sum of -log p, words) of a text; None for a language without trusted text."""
-        if lang not in self.tables:
+        """(sum of -log p, words) of a text by a model read to the driver: for small models only."""
+        grams = Grams([lang], [text], Codes())
+        if int(grams.lang[0]) not in self.facts:
             return None
-        if lang not in self.codes:
-            self.codes[lang] = Codes(self.vocabulary.get(lang, {}))
-        codes = _codes(text, self.codes[lang])
-        uni, bi, tri, weight2, weight3 = self.tables[lang]
-        low = (1 << BITS) - 1
-        keys = _keys(codes)
-        pairs = keys & ((1 << 2 * BITS) - 1)
-        p = uni[keys & low]
-        seen2 = self._find(bi, pairs, -1.0)
-        p = np.where(seen2 >= 0, seen2, weight2[pairs >> BITS] * p)
-        seen3 = self._find(tri, keys, -1.0)
-        p = np.where(seen3 >= 0, seen3, self._find(weight3, keys >> BITS, 1.0) * p)
-        others = ((codes[2:] > EDGE) & (codes[2:] <= SHAPES)).sum()
-        return float(-np.log(np.maximum(p, 1e-12)).sum() + others * self.rare.get(lang, 0.0)), len(codes) - 3
+        if self._local is None:
+            found = self.table.orderBy("key").toArrow()
+            self._local = [found[c].to_numpy() for c in ("key", "a", "t", "g")]
+        return float(grams.costs(*self._local, self.facts)[0]), int(grams.words[0])
 
 
 def train(trusted: DataFrame) -> Model:
     """A model of trusted (lang, text) rows; languages are never mixed."""
-    numbers, rare = _vocabulary(trusted)
-    shared = trusted.sparkSession.sparkContext.broadcast(numbers)
-    low, pair = (1 << BITS) - 1, (1 << 2 * BITS) - 1
-    key = F.col("key")
-    tri = materialise(_count_trigrams(trusted, shared), "trigrams")
-    pairs = tri.groupBy("lang", key.bitwiseAND(F.lit(pair)).alias("key")).agg(F.count(F.lit(1)).alias("c"))
-    singles = pairs.groupBy("lang", key.bitwiseAND(F.lit(low)).alias("w")).agg(F.count(F.lit(1)).alias("c"))
-    split = lambda df: df.select("lang", F.shiftright(key, BITS).alias("h"), key.bitwiseAND(F.lit(low)).alias("w"), "c")
-    total = tri.agg(F.sum("c")).first()[0] or 0
-    least = max(1.0, NGRAM_SHARE * total)
-    one, _ = _discounted(singles.select("lang", F.lit(0).cast("long").alias("h"), "w", "c"))
-    types = singles.groupBy("lang").agg(F.count(F.lit(1)).alias("types"))
-    one = one.join(F.broadcast(types), "lang").select(
-        "lang", "w", (F.col("a") + F.col("g") / (F.col("types") + 1)).alias("p1"))
-    two, ends = _discounted(split(pairs))
-    two = materialise(two.join(one, ["lang", "w"]).select(
-        "lang", "h", "w", "c", (F.col("a") + F.col("g") * F.col("p1")).alias("p2")), "bigrams")
-    three, histories = _discounted(split(tri), least)
-    three = three.withColumn("h2", F.col("h").bitwiseAND(F.lit(low))).join(
-        two.select("lang", F.col("h").alias("h2"), "w", "p2"), ["lang", "h2", "w"]).select(
-        "lang", "h", "w", (F.col("a") + F.col("g") * F.col("p2")).alias("p3"))
-    code = F.shiftleft(F.col("h"), BITS).bitwiseOR(F.col("w"))
-    row = lambda df, t, k, v: df.select("lang", F.lit(t).alias("t"), k.alias("k"), F.col(v).cast("float").alias("v"))
-    # contexts with fewer words than a kept n-gram go by the lower order alone
-    whole = row(one, 0, F.col("w"), "p1")
-    for part in (row(two.where(F.col("c") >= least), 1, code, "p2"), row(three, 2, code, "p3"),
-                 row(ends.where(F.col("t") >= least), 3, F.col("h"), "g"),
-                 row(histories.where(F.col("t") >= least), 4, F.col("h"), "g")):
-        whole = whole.unionByName(part)
-    found = whole.toArrow()
-    langs = found["lang"].to_numpy()
-    kinds, keys, values = (found[c].to_numpy() for c in ("t", "k", "v"))
-    tables, per = {}, Counter(lang for lang, _ in numbers)
-    for lang in sorted(set(langs)):
-        tables[lang] = []
-        for t in range(5):
-            at = np.nonzero((langs == lang) & (kinds == t))[0]
-            at = at[np.argsort(keys[at])]
-            if t in (0, 3):  # by one word: a plain array over all numbers
-                missing = 1e-7 if t == 0 else 1.0
-                dense = np.full(SHAPES + 1 + per.get(lang, 0), missing, dtype=np.float32)
-                dense[keys[at]] = values[at]
-                tables[lang].append(dense)
-            else:
-                tables[lang].append((keys[at], values[at]))
-    return Model(numbers, rare, tables)
-
-
-COST = T.StructType([T.StructField("cost", T.DoubleType()), T.StructField("n", T.LongType())])
+    tri = materialise(_count_trigrams(trusted), "trigrams")
+    pairs = materialise(_levels(tri, ["a", "b"], ["b", "c"], ["h", "w"], F.col("n")), "bigrams")
+    ones = materialise(_levels(pairs.where("n > 0"), ["h"], ["w"], ["w"], F.col("n")), "words")
+    with_ = lambda rows, *found: rows if not found else with_(rows.join(F.broadcast(found[0]), "l"), *found[1:])
+    d3, d2, d1 = _discounts(tri, 3), _discounts(pairs, 2), _discounts(ones, 1)
+    nothing = F.lit(0.0)
+    held = lambda k: F.when(F.col("t") > 0, sum((F.col(f"x{i}") * F.col(f"d{k}{i}") for i in (1, 2, 3)), nothing) / F.col("t")).otherwise(nothing)
+    row = lambda rows, keys, k, t, g: rows.select(
+        F.xxhash64("l", *keys).alias("key"), (F.col("n") - _cut(k)).cast("float").alias("a"),
+        t.cast("float").alias("t"), g.cast("float").alias("g"))
+    table = row(with_(tri, d3), ["a", "b", "c"], 3, nothing, nothing).unionByName(
+        row(with_(pairs, d2, d3), ["h", "w"], 2, F.col("t"), held(3))).unionByName(
+        row(with_(ones, d1, d2), ["w"], 1, F.col("t"), held(2)))
+    base = with_(ones.where("n > 0"), d1).groupBy("l").agg(
+        F.sum("n").cast("double").alias("total"), F.sum(_cut(1)).alias("held"), F.count(F.lit(1)).alias("types"))
+    facts = {r["l"]: (r["total"], r["held"] / r["total"] / (r["types"] + 1)) for r in few(base, MOST_LANGS)}
+    return Model(materialise(table, "ngrams"), facts, trusted)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (with ``lang``, ``text``) plus ``n`` words and their ``cost``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``docs`` (``doc``, a struct with ``text``, and ``lang``) plus ``n`` words and their ``cost``.
 
-    def run(langs: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        rows = [shared.value.cost(lang, text) or (None, None) for lang, text in zip(langs, texts)]
-        return pd.DataFrame(rows, columns=["cost", "n"]).astype({"cost": "float64", "n": "Int64"})
-
-    out = docs.withColumn("_s", F.pandas_udf(run, COST)(F.col("lang"), F.col("text")))
-    return out.withColumn("n", F.col("_s.n")).withColumn("cost", F.col("_s.cost")).drop("_s")
+    ``cost`` is null for a language without trusted text. Chunks are drawn by id and text, so equal
+    texts under different ids are spread; only rows that repeat both meet in one chunk.
+    """
+    facts, names = model.facts, docs.columns
+    text = F.col("doc.text").cast("string")
+    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    chunks = 1 + total // CHUNK
+    tasks = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    draw = F.pmod(F.xxhash64(F.col("doc.doc_id").cast("string"), text), F.lit(chunks)).alias("chunk")
+    dealt = docs.select(draw, *names).repartition(tasks, "chunk")
+
+    def grams_of(rows: pa.Table) -> Grams:
+        texts = pc.struct_field(rows["doc"].combine_chunks(), "text").cast(pa.string()).to_pylist()
+        return Grams(rows["lang"].to_pylist(), texts, Codes())
+
+    def wanted(rows: pa.Table) -> pa.Table:
+        keys = grams_of(rows).wanted()
+        return pa.table({"chunk": pa.array(np.full(len(keys), rows["chunk"][0].as_py()), pa.int64()), "key": keys})
+
+    def costs(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in rows.schema if f.name != "chunk"} | {
+                "n": pa.array([], pa.int64()), "cost": pa.array([], pa.float64())})
+        grams = grams_of(rows)
+        order = np.argsort(found["key"].to_numpy())
+        cost = grams.costs(*[found[c].to_numpy()[order] for c in ("key", "a", "t", "g")], facts)
+        return rows.drop_columns("chunk").append_column("n", pa.array(grams.words, pa.int64())).append_column(
+            "cost", pa.array(cost, pa.float64(), mask=np.isnan(cost)))
+
+    asked = dealt.groupBy("chunk").applyInArrow(wanted, "chunk long, key long")
+    found = asked.join(model.table, "key").select("chunk", "key", "a", "t", "g")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n", T.LongType()), T.StructField("cost", T.DoubleType())])
+    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(costs, schema)
 
 
 def _by_lang(values: dict[str, float]) -> Column:
@@ -308,20 +320,21 @@ def _drawn(mean: Column) -> Column:
 
 def _decide(docs: DataFrame, trusted_ids: DataFrame, quantile: float) -> DataFrame:
     """(doc, lang, n, score, level, keep); ``doc`` is the struct of all columns of the row."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id"),
-                       language(F.col("lang")).alias("lang"), F.col("text").cast("string").alias("text"))
-    some = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    trusted = _trusted(rows.select("doc_id", "lang", "text"), trusted_ids).where(some)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), language(F.col("lang")).alias("lang"))
+    some = lambda text: F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
+    trusted = _trusted(docs.select("doc_id", language(F.col("lang")).alias("lang"),
+                                   F.col("text").cast("string").alias("text")), trusted_ids).where(some("text"))
     # scores of texts that the model has seen are too low; levels come from those kept back
     back = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(KEPT_BACK)) == 0
     model = train(trusted.where(~back))
-    costs = materialise(score(trusted.where(back), model).select("lang", "n", "cost"), "trusted-costs")
+    held = trusted.where(back).select(F.struct("doc_id", "text").alias("doc"), "lang")
+    costs = materialise(score(held, model).where("cost IS NOT NULL").select("lang", "n", "cost"), "trusted-costs")
     mean = _by_lang({r["lang"]: r["m"] for r in few(costs.groupBy("lang").agg(
         (F.sum("cost") / F.sum("n")).alias("m")), MOST_LANGS)})
     level = _by_lang({r["lang"]: r["q"] for r in few(costs.groupBy("lang").agg(
         F.percentile_approx(_drawn(mean), quantile, 10000).alias("q")), MOST_LANGS)})
     scored = score(rows, model).withColumn("score", _drawn(mean))
-    keep = some & F.coalesce(F.col("score") <= level, F.lit(True))
+    keep = some("doc.text") & F.coalesce(F.col("score") <= level, F.lit(True))
     return scored.select("doc", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "score",
                          level.alias("level"), keep.alias("keep"))
 
@@ -334,7 +347,7 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -
     language without trusted text have no perplexity and are kept. Equal rows get equal results;
     other columns are ignored.
     """
-    return _decide(docs, trusted_ids, quantile).select(
+    return _decide(docs.select("doc_id", "lang", "text"), trusted_ids, quantile).select(
         F.col("doc.doc_id").alias("doc_id"), "lang", F.col("n").alias("n_words"),
         F.exp("score").alias("perplexity"), F.exp("level").alias("threshold"), "keep")
 
