@@ -15,6 +15,17 @@ def trusted(spark):
     return texts, spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
 
 
+def test_rare_words_and_rare_ngrams_are_told_apart(spark):
+    texts, rows = trusted(spark)
+    model = kneser.train(rows)
+    own = texts[0].split()[-2:]
+    assert set(own) <= set(model.vocabulary["en"])
+    right, n = model.cost("en", " ".join(own))
+    swapped, _ = model.cost("en", " ".join(own[::-1]))
+    other, _ = model.cost("en", f"{own[0]} {texts[1].split()[-1]}")
+    assert n == 2 and right < other - 1 and right < swapped - 1
+
+
 def test_every_ngram_is_in_the_table(spark):
     texts, rows = trusted(spark)
     grams = kneser.Grams(["en"] * len(texts), texts, kneser.Codes())
