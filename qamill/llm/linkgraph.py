@@ -10,6 +10,8 @@ nothing about another one and are left out. Rank that reaches a host without lin
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,14 +64,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(
-    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 12, settled: float = 1e-6,
+    seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int | None = None, settled: float = 1e-6,
 ) -> DataFrame:
     """(host, trust, distrust) from ``seeds`` (host, trust, distrust) over ``edges`` (src, dst, links).
 
     Both walks are one table keyed by (host, walk), so a round is one join and one aggregation.
     Every round is written to the shared folder: the plan stays short and a lost executor costs
-    one round. Stops after ``rounds`` or once no score changes by more than ``settled`` times the
-    largest seed. Without edges or seeds the scores are the seeds' own share.
+    one round. Stops once all the changes still to come sum up to ``settled`` at most, so no score is
+    further off, or once double precision brings the changes down no more (or after ``rounds``, if
+    given). Changes shrink by ``damping`` a round: the rounds grow with the logarithm of the seeds.
+    Without edges or seeds the scores are the seeds' own share.
     """
     out = F.sum("links").over
     forward = edges.select(F.lit(0).alias("walk"), "src", "dst",
@@ -82,10 +86,10 @@ def propagate(
         F.explode(F.array(F.struct(F.lit(0).alias("walk"), F.col("trust").alias("seed")),
                           F.struct(F.lit(1).alias("walk"), F.col("distrust").alias("seed")))).alias("s"),
     ).select("src", "s.walk", (F.col("s.seed") * (1 - damping)).alias("seed")).where("seed > 0"), "seeds")
-    largest = start.agg(F.max("seed")).first()[0]
     state = start.select("src", "walk", F.col("seed").alias("score"), F.col("seed").alias("was"))
-    if largest is not None and moves.limit(1).count():
-        for _ in range(rounds):
+    if start.limit(1).count() and moves.limit(1).count():
+        last = float("inf")
+        for _ in itertools.count() if rounds is None else range(rounds):
             sent = state.where("score > 0").join(moves, ["src", "walk"]).select(
                 F.col("dst").alias("src"), "walk", (F.col("score") * F.col("share") * damping).alias("add"),
                 F.lit(0.0).alias("was"))
@@ -93,22 +97,23 @@ def propagate(
             old = state.select("src", "walk", F.lit(0.0).alias("add"), F.col("score").alias("was"))
             state = materialise(sent.unionByName(base).unionByName(old).groupBy("src", "walk").agg(
                 F.sum("add").alias("score"), F.sum("was").alias("was")), "ranks")
-            moved = state.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
-            if moved <= settled * largest:
+            moved = state.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
+            if moved * damping <= settled * (1 - damping) or moved >= last:
                 break
+            last = moved
     of = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("score")).otherwise(0.0))
     return state.groupBy(F.col("src").alias("host")).agg(of(0).alias("trust"), of(1).alias("distrust"))
 
 
 def judge_pages(
     pages: DataFrame, rules=RULES, threshold: float = 0.75, prior: float = 3.0,
-    damping: float = 0.85, rounds: int = 12,
+    damping: float = 0.85, rounds: int | None = None, settled: float = 1e-4,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, host_distrust of every page.
 
     The verdict is the rule's; without a rule a page is blocked if the distrust share of its host
     reaches ``threshold``; ``prior`` stands for so many undecided pages, so that a host is not judged
-    by one or two. Hosts that no seed reaches have share 0 and are allowed, as are pages
+    by one or two. Scores are exact to ``settled`` times the prior. Hosts that no seed reaches have share 0 and are allowed, as are pages
     without a url. Repeated rows are judged one by one (and count as links and seeds one by one);
     other columns of ``pages`` are ignored; a null html has no links. Pages of a hot host are
     counted in each task before the shuffle, and joined with one row per host.
@@ -119,7 +124,7 @@ def judge_pages(
     says = lambda v: F.sum(F.when(F.col("_verdict") == v, 1.0).otherwise(0.0))
     seeds = based.where("host <> '' AND _verdict IS NOT NULL").groupBy("host").agg(
         says("allow").alias("trust"), says("block").alias("distrust"))
-    scores = propagate(seeds, host_edges(pages), damping, rounds)
+    scores = propagate(seeds, host_edges(pages), damping, rounds, settled * prior * (1 - damping))
     # a seed page's own share of rank is 1 - damping
     known = F.col("trust") + F.col("distrust") + F.lit(prior * (1 - damping))
     scores = scores.select(F.col("host").alias("_host"), (F.col("distrust") / known).alias("host_distrust"))
