@@ -7,6 +7,7 @@ choice is a hash of the seed and the row's own keys, so any rerun gives the same
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -18,6 +19,7 @@ from qamill.functions import text as tx
 from qamill.functions.rows import unnest
 from qamill.functions.picks import choose, draw, uniform, weighted
 from qamill.operators import catalogue as cat
+from qamill.session import materialise
 
 STRINGS = "array<string>"
 TEMPLATE_TYPE = "array<struct<query_type:string,template_ix:int,template:string,slots:array<string>,variant:int>>"
@@ -300,29 +302,40 @@ def candidates(papers: DataFrame, templates: dict[str, list[str]] | None = None,
     return distinct_questions(filled.where(is_valid(F.col("question"))), scope)
 
 
-def shortfall(questions: DataFrame, papers: DataFrame, n: int) -> DataFrame:
-    """(paper_id, found, missing) of the papers with fewer than ``n`` questions."""
+def shortfall(questions: DataFrame, papers: DataFrame, n: int, own: DataFrame | None = None) -> DataFrame:
+    """(paper_id, found, missing) of the papers with fewer than ``n`` questions.
+
+    With ``own`` (paper_id, question: the texts each paper yields by itself, ``candidates`` of scope
+    paper) also the cause: ``used_up`` if these are fewer than ``n``, else ``taken`` by other papers.
+    """
     counts = questions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("found"))
     found = F.coalesce("found", F.lit(0)).cast("long")
-    return papers.select("paper_id").join(counts, "paper_id", "left").where(found < n).select(
+    short = papers.select("paper_id").join(counts, "paper_id", "left").where(found < n).select(
         "paper_id", found.alias("found"), (F.lit(n) - found).alias("missing"))
+    if own is None:
+        return short
+    texts = own.select("paper_id", "question").distinct().groupBy("paper_id").agg(F.count(F.lit(1)).alias("_own"))
+    enough = F.coalesce("_own", F.lit(0)) >= n
+    return short.join(texts, "paper_id", "left").withColumn(
+        "cause", F.when(enough, "taken").otherwise("used_up")).drop("_own")
 
 
 def generate(papers: DataFrame, n: int = 20, templates: dict[str, list[str]] | None = None,
-             seed: int = 42, store=lambda df, name: df, scope: str = "set", refills: int = 2) -> DataFrame:
+             seed: int = 42, store=materialise, scope: str = "set", refills: int | None = None) -> DataFrame:
     """Q16 with contexts: the question table of a set of papers.
 
     Papers that come short of ``n``, since other papers (``scope`` set) or their own templates
-    gave the same texts, draw as many further variants again, twice at most by default
-    (``refills``), or until these bring nothing new; ``shortfall`` lists what is still missing. The
-    selection reads the candidates more than once; ``store`` (such as
-    ``qamill.session.materialise``) writes them once.
+    gave the same texts, draw as many further variants again until these bring none of them a new
+    text (or ``refills`` times, if given); ``shortfall`` lists what is still missing. The selection
+    and every round read the candidates more than once; ``store`` writes them once.
     """
     smallest = min(len(v) for v in (templates or cat.TEMPLATES).values())
     variants = max(2, -(-n // max(smallest, 1)))
     known = store(candidates(papers, templates, variants, seed, scope=scope), "candidates")
-    chosen = store(select_questions(known, n, seed), "chosen") if refills else select_questions(known, n, seed)
-    for _ in range(refills):
+    chosen = select_questions(known, n, seed)
+    if refills != 0:
+        chosen = store(chosen, "chosen")
+    for _ in itertools.count() if refills is None else range(refills):
         short = store(shortfall(chosen, papers, n).select("paper_id"), "short")
         if not short.limit(1).count():
             break
