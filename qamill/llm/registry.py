@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from qamill.llm import bpe, jaccard, kneser, langid, linkgraph, mixing, secrets, sharding, vafile, vptree
+from qamill.llm import (
+    bpe, jaccard, kneser, langid, linkgraph, mixing, repetition, secrets, sharding, toxicity, vafile, vptree, whitening)
 from qamill.llm.common import table
 
 
@@ -54,6 +55,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest_columns(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -62,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_language_id, op3_jaccard_join, op4_source_mixing,
         op5_vantage_tree, op6_bpe, op7_exact_top_k, op8_sharding,
-        op9_quality, op10_url_filter, pipeline)}
+        op9_quality, op10_url_filter, op11_periodic_runs, op12_toxicity, op13_whitening, pipeline)}
 
 
 def oracles() -> dict[str, str]:
