@@ -7,22 +7,19 @@ choice is a hash of the seed and the row's own keys, so any rerun gives the same
 
 from __future__ import annotations
 
-import itertools
-import json
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qamill.functions import text as tx
 from qamill.functions.rows import unnest
-from qamill.functions.picks import choose, draw, uniform, weighted
+from qamill.functions.picks import draw, uniform, weighted
+from qamill.operators import assignment as asg
 from qamill.operators import catalogue as cat
+from qamill.operators import fillings as fl
 from qamill.session import materialise
 
 STRINGS = "array<string>"
-TEMPLATE_TYPE = "array<struct<query_type:string,template_ix:int,template:string,slots:array<string>,variant:int>>"
 
 
 def _strings(values: list[str]) -> Column:
@@ -124,76 +121,35 @@ def template_slots(template: Column) -> Column:
     return F.regexp_extract_all(template, F.lit(r"\{([^}]+)\}"), F.lit(1))
 
 
-def _templates(templates: dict[str, list[str]], variants: int, first: int = 0) -> Column:
-    """All templates and the variants from ``first`` up to ``variants`` as one constant array.
-
-    A template without slots has only its variant 0."""
-    rows = [
-        {"query_type": t, "template_ix": i, "template": text, "variant": v,
-         "slots": re.findall(r"\{([^}]+)\}", text)}
-        for t, items in templates.items() for i, text in enumerate(items)
-        for v in range(first, variants if "{" in text else 1)
-    ]
-    return F.from_json(F.lit(json.dumps(rows)), TEMPLATE_TYPE)
-
-
-def _slot_value(slot: Column, seed: int, key: tuple) -> Column:
-    """Q9: what one slot of one template becomes for this paper."""
-    pick = lambda options: choose(options, seed, *key, slot)
-    some = lambda c: F.size(c) > 0
-
-    def one_of_two(options: Column, stem: str) -> Column:
-        """Both slots of a pair come from one draw, so they always differ."""
-        n = F.greatest(F.size(options), F.lit(2))
-        first = draw(seed, *key, stem) % n
-        second = (first + 1 + draw(seed, *key, stem, "2") % (n - 1)) % n
-        return F.get(options, F.when(slot.endswith("1"), first).otherwise(second).cast("int"))
-
-    pair = lambda stem: slot.isin(f"{stem}1", f"{stem}2")
-    improved = F.filter("results", lambda s: F.contains(F.lower(s), F.lit("improv")))
-    fallback = F.create_map(*[x for k, v in cat.FALLBACKS.items() for x in (F.lit(k), F.lit(v))])
-    return (
-        F.when((slot == "concept") & some("concept_texts"), pick(F.col("concept_texts")))
-        .when((slot == "entity") & some("entities"), pick(F.col("entities")))
-        .when((slot == "method") & some("methods"), pick(F.col("methods")))
-        .when((slot == "process") & some("processes"), process_phrase(pick(F.col("processes"))))
-        .when((slot == "metric") & some("metrics"), pick(F.col("metrics")))
-        .when(slot == "domain", F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit("this field")))
-        .when(pair("concept") & (F.size("concept_texts") >= 2), one_of_two(F.col("concept_texts"), "concept"))
-        .when(pair("method") & (F.size("methods") >= 2), one_of_two(F.col("methods"), "method"))
-        .when((slot == "finding") & some("key_sentences"), finding_phrase(pick(F.col("key_sentences"))))
-        .when((slot == "experiment") & F.col("has_experiment"), F.lit("the experiment described in the paper"))
-        .when(pair("experiment"), F.concat(F.lit("experiment "), F.substring(slot, F.length(slot), F.lit(1))))
-        .when((slot == "improvement") & some("results"), F.when(
-            F.size(improved) > 0, improvement_phrase(pick(improved))).otherwise("improvement"))
-        .when(slot == "category", pick(_strings(cat.CATEGORY_WORDS)))
-        .when(slot == "context", pick(_strings(cat.CONTEXT_PHRASES)))
-        .when((slot == "action") & some("processes"), "perform this process")
-        .otherwise(F.coalesce(F.try_element_at(fallback, slot), F.concat(F.lit("["), slot, F.lit("]"))))
-    )
+PHRASES = {"process": process_phrase, "finding": finding_phrase, "improvement": improvement_phrase}
 
 
-def instantiate(papers: DataFrame, templates: dict[str, list[str]] | None = None, variants: int = 2,
-                seed: int = 42, first: int = 0) -> DataFrame:
-    """Q9: every template, ``variants`` times with slots, filled from the paper's parts.
+def offers(parts: DataFrame, templates: dict[str, list[str]] | None = None, seed: int = 42) -> DataFrame:
+    """What each paper can be asked, with the number of fillings of every template, see ``fillings``.
 
-    ``papers`` comes from ``components``. Filling happens in the row; the parts of the
-    paper are not copied for each template.
+    ``parts`` comes from ``components``.
     """
+    return fl.offers(parts, templates or cat.TEMPLATES, PHRASES, seed)
 
-    def fill(c: Column) -> Column:
-        key = (F.col("paper_id"), c["query_type"], c["template_ix"], c["variant"])
-        values = F.transform(c["slots"], lambda s: F.struct(s.alias("slot"), _slot_value(s, seed, key).alias("value")))
-        return tx.bind(values, lambda v: F.struct(
-            c["query_type"].alias("query_type"), c["template_ix"].alias("template_ix"),
-            c["variant"].alias("variant"), c["template"].alias("template"),
-            F.aggregate(v, c["template"], lambda t, s: F.replace(
-                t, F.concat(F.lit("{"), s["slot"], F.lit("}")), s["value"])).alias("question"),
-            F.map_from_entries(F.array_distinct(v)).alias("template_slots"),
-            draw(seed, *key).alias("pick")))
 
-    filled = F.transform(_templates(templates or cat.TEMPLATES, variants, first), fill)
-    return unnest(papers, filled, ["paper_id"]).select("paper_id", "item.*")
+def instantiate(papers: DataFrame, templates: dict[str, list[str]] | None = None, variants: int = 2,
+                seed: int = 42, first: int = 0) -> DataFrame:
+    """Q9: the fillings from ``first`` up to ``variants`` of every template, as many as there are.
+
+    ``papers`` comes from ``components``. No filling of a template comes twice, whatever the range. A
+    template with a slot that has no value keeps the slot's name in brackets.
+    """
+    templates = templates or cat.TEMPLATES
+    numbered = lambda t: F.get("counts", t["id"])
+    rows = offers(papers, templates, seed)
+    each = F.flatten(F.transform(fl.constant(templates), lambda t: F.when(
+        F.greatest(numbered(t), F.lit(1)) > first, F.transform(
+            F.sequence(F.lit(first).cast("long"), F.least(F.greatest(numbered(t), F.lit(1)), F.lit(variants)) - 1),
+            lambda v: F.struct(t.alias("t"), v.alias("v")))).otherwise(F.array().cast(
+                "array<struct<t:struct<id:int,query_type:string,template_ix:int,template:string,slots:array<string>>,v:bigint>>"))))
+    filled = F.transform(each, lambda x: fl.fill(x["t"], x["v"], seed))
+    out = unnest(rows, filled, ["paper_id"]).select("paper_id", "item.*")
+    return out.withColumn("pick", draw(seed, F.col("paper_id"), F.col("query_type"), F.col("template_ix"), F.col("variant")))
 
 
 def is_valid(question: Column) -> Column:
@@ -282,7 +238,7 @@ def select_questions(candidates: DataFrame, n: int, seed: int = 42) -> DataFrame
         F.col("_rank") <= F.coalesce(F.try_element_at(quota, F.col("query_type")), F.lit(0)))
     pool = candidates.withColumn("_race", race).withColumn(
         "_rank", rank(["paper_id"], ["_race", "question"])).where(F.col("_rank") <= 2 * n)
-    rest = pool.join(chosen.select("question"), "question", "left_anti").withColumn("_turn", F.lit(1))
+    rest = pool.join(chosen.select("paper_id", "question"), ["paper_id", "question"], "left_anti").withColumn("_turn", F.lit(1))
     both = chosen.withColumns({"_race": F.lit(0.0), "_turn": F.lit(0)}).drop("_rank").unionByName(rest.drop("_rank"))
     final = rank(["paper_id"], ["_turn", "_race", "question"])
     return both.withColumn("_rank", final).where(F.col("_rank") <= n).drop("_rank", "_race", "_turn")
@@ -321,44 +277,28 @@ def shortfall(questions: DataFrame, papers: DataFrame, n: int, own: DataFrame |
 
 
 def generate(papers: DataFrame, n: int = 20, templates: dict[str, list[str]] | None = None,
-             seed: int = 42, store=materialise, scope: str = "set", refills: int | None = None) -> DataFrame:
+             seed: int = 42, store=materialise, scope: str = "set", exchanges: int | None = None) -> DataFrame:
     """Q16 with contexts: the question table of a set of papers.
 
-    Papers that come short of ``n``, since other papers (``scope`` set) or their own templates
-    gave the same texts, draw as many further variants again until these bring none of them a new
-    text (or ``refills`` times, if given); ``shortfall`` lists what is still missing. The selection
-    and every round read the candidates more than once; ``store`` writes them once.
+    Every paper gets ``n`` questions or as many as any assignment of texts to papers allows, see
+    ``assignment.assign``; ``assignment.shortage`` lists the papers with fewer and the cause. What the
+    papers offer is written once by ``store``, without their texts.
     """
-    smallest = min(len(v) for v in (templates or cat.TEMPLATES).values())
-    variants = max(2, -(-n // max(smallest, 1)))
-    known = store(candidates(papers, templates, variants, seed, scope=scope), "candidates")
-    chosen = select_questions(known, n, seed)
-    if refills != 0:
-        chosen = store(chosen, "chosen")
-    for _ in itertools.count() if refills is None else range(refills):
-        short = store(shortfall(chosen, papers, n).select("paper_id"), "short")
-        if not short.limit(1).count():
-            break
-        again = papers.join(short, "paper_id", "left_semi")
-        more = candidates(again, templates, 2 * variants, seed, variants, scope)
-        more = store(more.join(known.select(*_same(scope)), _same(scope), "left_anti"), "candidates")
-        if not more.limit(1).count():
-            break
-        variants *= 2
-        known = known.unionByName(more)
-        full = chosen.join(short, "paper_id", "left_anti")
-        redrawn = select_questions(known.join(short, "paper_id", "left_semi"), n, seed)
-        chosen = store(full.unionByName(redrawn.select(*full.columns)), "chosen")
+    templates = templates or cat.TEMPLATES
+    made = store(offers(components(papers), templates, seed), "offers")
+    chosen = asg.assign(made, n, templates, quotas(F.lit(n)), is_valid, seed, store, scope, exchanges)
     return with_contexts(annotate(chosen, seed), papers)
 
 
 # Contexts -----------------------------------------------------------------------------
 
 
-def around(text: Column, term: Column, width: int = 200) -> Column:
-    """Q18: ``width`` characters on both sides of the first mention, grown to sentence ends."""
+def around(text: Column, term: Column, width: int = 200, low: Column | None = None) -> Column:
+    """Q18: ``width`` characters on both sides of the first mention, grown to sentence ends.
+
+    ``low`` is the text in lower case, where it is known already."""
     exact = F.position(term, text)
-    at = F.when(exact > 0, exact).otherwise(F.position(F.lower(term), F.lower(text))) - 1
+    at = F.when(exact > 0, exact).otherwise(F.position(F.lower(term), F.lower(text) if low is None else low)) - 1
 
     def cut(low: Column, high: Column) -> Column:
         lead = F.length(F.regexp_replace(F.substring(text, F.lit(1), low + 1), r"[^.!?]*\z", ""))
@@ -386,11 +326,15 @@ def shorten(text: Column, limit: int = 500) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(fitted)
 
 
-def definition(term: Column, sections: Column) -> Column:
+def _low(s: Column) -> Column:
+    return F.lower(s["content"])
+
+
+def definition(term: Column, sections: Column, lowered=_low) -> Column:
     """Q19: the sentence of the first definition pattern, section by section; else the
     first sentence near the first mention; null when the term is absent."""
     low = F.lower(term)
-    mentions = F.filter(sections, lambda s: F.contains(F.lower(s["content"]), low))
+    mentions = F.filter(sections, lambda s: F.contains(lowered(s), low))
     form = lambda p: F.concat(*[x for i, part in enumerate(p.split("%s")) for x in (
         [tx.quoted(term)] if i else []) + [F.lit(part)]])
     tried = F.flatten(F.transform(mentions, lambda s: F.array(*[
@@ -401,7 +345,7 @@ def definition(term: Column, sections: Column) -> Column:
         F.get(F.filter(tx.sentences(f["content"]), lambda x: F.contains(x, f["hit"])), F.lit(0)), f["hit"])))
 
     def near(s: Column) -> Column:
-        at = F.position(low, F.lower(s["content"])) - 1
+        at = F.position(low, lowered(s)) - 1
         begin = F.greatest(at - 100, F.lit(0))
         window = F.substring(s["content"], begin + 1, at + 200 - begin)
         return F.get(F.filter(tx.sentences(window), lambda x: F.contains(F.lower(x), low)), F.lit(0))
@@ -410,12 +354,13 @@ def definition(term: Column, sections: Column) -> Column:
     return F.coalesce(by_form, nearby)
 
 
-def comparison(term1: Column, term2: Column, sections: Column) -> Column:
+def comparison(term1: Column, term2: Column, sections: Column, lowered=_low) -> Column:
     """Q20: from the first section with both terms: a sentence with both, else two
     adjacent ones, else the paragraph, else both contexts."""
     a, b = F.lower(term1), F.lower(term2)
     has = lambda x, t: F.contains(F.lower(x), t)
-    section = F.get(F.filter(sections, lambda s: has(s["content"], a) & has(s["content"], b)), F.lit(0))["content"]
+    both_in = lambda s: F.contains(lowered(s), a) & F.contains(lowered(s), b)
+    section = F.get(F.filter(sections, both_in), F.lit(0))["content"]
 
     def tiers(text: Column) -> Column:
         def by_sentence(sent: Column) -> Column:
@@ -438,43 +383,59 @@ def comparison(term1: Column, term2: Column, sections: Column) -> Column:
     return F.when((a != "") & (b != "") & section.isNotNull(), tx.bind(section, tiers))
 
 
+#: Questions of a paper that are worked on in one row.
+TOGETHER = 256
+
+
 def with_contexts(questions: DataFrame, papers: DataFrame) -> DataFrame:
-    """Q18–Q21: adds ``contexts``; one join on the paper, the rest inside the row.
+    """Q18–Q21: adds ``contexts``.
 
-    Needs ``query_type`` and ``template_slots``; papers need ``abstract`` and
-    ``sections``.
+    Needs ``query_type`` and ``template_slots``; papers need ``abstract`` and ``sections``. The
+    questions of a paper meet it in one row (or one per TOGETHER of them), so a paper's text is moved,
+    lowered and read for its fallback context once, however many questions it has.
     """
     none = F.array().cast("array<struct<section:string,text:string>>")
     item = lambda section, text: F.struct(section.alias("section"), text.alias("text"))
-    sections, slots = F.col("sections"), F.col("template_slots")
-    slot = lambda k: F.try_element_at(slots, F.lit(k))
+    sections, low = F.col("_sections"), lambda s: s["low"]
 
     def mention(value: Column) -> Column:
         s = F.get(F.filter(sections, lambda x: F.contains(x["content"], value)), F.lit(0))
-        return tx.bind(s, lambda x: F.when(x.isNotNull(), item(x["heading"], around(x["content"], value))))
-
-    factoid = F.filter(F.transform(F.map_values(slots), mention), lambda x: x.isNotNull())
-    terms = F.array_compact(F.array(slot("concept"), slot("term")))
-    defined = F.filter(F.transform(terms, lambda t: tx.bind(
-        definition(t, sections), lambda d: F.when(d.isNotNull(), item(F.lit("Definition"), d)))),
-        lambda x: x.isNotNull())
-    first, second = F.coalesce(slot("concept1"), slot("method1")), F.coalesce(slot("concept2"), slot("method2"))
-    compared = tx.bind(comparison(first, second, sections), lambda c: F.when(
-        c.isNotNull(), F.array(item(F.lit("Comparison"), c))).otherwise(none))
-    kind = F.col("query_type")
-    specific = F.coalesce(F.when(kind == "factoid", factoid).when(kind == "definitional", defined).when(
-        kind == "comparative", compared), none)
-    relevant = F.lit(None).cast("struct<heading:string,content:string>")
+        return tx.bind(s, lambda x: F.when(x.isNotNull(), item(x["heading"], around(x["content"], value, low=x["low"]))))
+
+    def contexts(q: Column) -> Column:
+        slots, kind = q["template_slots"], q["query_type"]
+        slot = lambda k: F.try_element_at(slots, F.lit(k))
+        factoid = F.filter(F.transform(F.map_values(slots), mention), lambda x: x.isNotNull())
+        terms = F.array_compact(F.array(slot("concept"), slot("term")))
+        defined = F.filter(F.transform(terms, lambda t: tx.bind(
+            definition(t, sections, low), lambda d: F.when(d.isNotNull(), item(F.lit("Definition"), d)))),
+            lambda x: x.isNotNull())
+        first, second = F.coalesce(slot("concept1"), slot("method1")), F.coalesce(slot("concept2"), slot("method2"))
+        compared = tx.bind(comparison(first, second, sections, low), lambda c: F.when(
+            c.isNotNull(), F.array(item(F.lit("Comparison"), c))).otherwise(none))
+        specific = F.coalesce(F.when(kind == "factoid", factoid).when(kind == "definitional", defined).when(
+            kind == "comparative", compared), none)
+        return tx.bind(specific, lambda s: F.when(F.size(s) > 0, s).otherwise(
+            F.coalesce(F.try_element_at("_generic", kind), F.col("_abstract"))))
+
+    counts = questions.groupBy("paper_id").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64(*[c for c, t in questions.dtypes if not t.startswith("map")]), F.ceil(F.col("_n") / TOGETHER))
+    rest = [c for c in questions.columns if c != "paper_id"]
+    lists = questions.join(counts, "paper_id").groupBy("paper_id", part.alias("_part")).agg(
+        F.collect_list(F.struct(*rest)).alias("_questions"))
+    front = F.array_compact(F.array(F.when(F.coalesce(F.col("abstract"), F.lit("")) != "", item(F.lit("Abstract"), F.col("abstract")))))
+    fallback = []
     for types, words in cat.CONTEXT_HEADINGS.items():
-        hit = F.get(F.filter(sections, _heading_has(words)), F.lit(0))
-        relevant = F.when(kind.isin(list(types)), F.struct(
-            hit["heading"].alias("heading"), hit["content"].alias("content"))).otherwise(relevant)
-    generic = tx.bind(relevant, lambda r: F.array_compact(F.array(
-        F.when(F.coalesce(F.col("abstract"), F.lit("")) != "", item(F.lit("Abstract"), F.col("abstract"))),
-        F.when(r["heading"].isNotNull(), item(r["heading"], shorten(r["content"]))))))
-    joined = questions.join(papers.select("paper_id", "abstract", "sections"), "paper_id")
-    contexts = tx.bind(specific, lambda s: F.when(F.size(s) > 0, s).otherwise(generic))
-    return joined.withColumn("contexts", contexts).drop("abstract", "sections")
+        hit = F.get(F.filter("sections", _heading_has(words)), F.lit(0))
+        found = tx.bind(hit, lambda r: F.array_compact(F.array(F.when(r["heading"].isNotNull(), item(r["heading"], shorten(r["content"]))))))
+        fallback += [(t, F.concat(F.col("_abstract"), found)) for t in types]
+    texts = papers.select("paper_id", "sections", front.alias("_abstract"), F.transform("sections", lambda s: F.struct(
+        s["heading"].alias("heading"), s["content"].alias("content"), F.lower(s["content"]).alias("low"))).alias("_sections"))
+    asked = lists.select("paper_id").distinct()
+    texts = texts.join(asked, "paper_id", "left_semi").withColumn("_generic", F.create_map(*[x for t, c in fallback for x in (F.lit(t), c)]))
+    filled = F.transform("_questions", lambda q: F.struct(q.alias("q"), contexts(q).alias("contexts")))
+    out = unnest(lists.join(texts.drop("sections"), "paper_id"), filled, ["paper_id"])
+    return out.select("paper_id", "item.q.*", "item.contexts").select(*questions.columns, "contexts")
 
 
 def _heading_has(words: list[str]):
