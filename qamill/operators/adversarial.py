@@ -84,6 +84,14 @@ def _modified(question: Column) -> Column:
     return out
 
 
+# The texts of paraphrases and of questions out of scope.
+EXPLAIN = ("Can you explain what ", " is?")
+DOES = r"What does ([^?]+) do\?"
+DONE_BY = "What is done by "
+PLEASE = "Please tell me: "
+OUT_OF_SCOPE = (" that was deliberately excluded from the paper?", " according to unpublished data?")
+
+
 def _aside(question: Column, asides: list[str]) -> Column:
     return F.concat(_pick(asides, question), F.lower(F.substring(question, 1, 1)),
                     F.substring(question, F.lit(2), F.length(question)))
@@ -91,14 +99,14 @@ def _aside(question: Column, asides: list[str]) -> Column:
 
 def paraphrases(question: Column) -> Column:
     """A2: distinct rewrites in rule order, never the question itself."""
-    subject = F.regexp_extract(question, r"What does ([^?]+) do\?", 1)
+    subject = F.regexp_extract(question, DOES, 1)
     made = F.array_compact(F.array(
         F.when(question.startswith("What is"), F.concat(
-            F.lit("Can you explain what "), _stem(question, 8), F.lit(" is?"))),
+            F.lit(EXPLAIN[0]), _stem(question, 8), F.lit(EXPLAIN[1]))),
         *[F.when(F.contains(question, F.lit(a)), F.replace(question, F.lit(a), F.lit(b))) for a, b in SUBSTITUTIONS],
-        F.when(subject != "", F.concat(F.lit("What is done by "), subject, F.lit("?"))),
+        F.when(subject != "", F.concat(F.lit(DONE_BY), subject, F.lit("?"))),
     ))
-    none = F.array(F.concat(F.lit("Please tell me: "), question))
+    none = F.array(F.concat(F.lit(PLEASE), question))
     return F.filter(F.array_distinct(F.when(F.size(made) > 0, made).otherwise(none)), lambda p: p != question)
 
 
@@ -155,8 +163,8 @@ def impossible(question: Column) -> Column:
                     .when(question.startswith("How"), F.replace(question, F.lit("How"), F.lit("How will")))
                     .otherwise(about))
     mark = lambda clause: F.replace(question, F.lit("?"), F.lit(clause))
-    scope = F.when(question.rlike("paper|study|research"), mark(" that was deliberately excluded from the paper?")
-                   ).otherwise(mark(" according to unpublished data?"))
+    scope = F.when(question.rlike("paper|study|research"), mark(OUT_OF_SCOPE[0])
+                   ).otherwise(mark(OUT_OF_SCOPE[1]))
     return F.coalesce(future, scope)
 
 

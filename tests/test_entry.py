@@ -36,6 +36,13 @@ def test_entry_stands_without_the_training_operators(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+def test_entry_stands_without_a_module_the_training_operators_need():
+    code = ("import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; "
+            "q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') and n[2].isdigit() for n in q)")
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and "public_tokenizers" in done.stderr, done.stderr
+
+
 def test_nothing_else_imports_the_training_operators():
     for folder, _, names in os.walk(f"{ROOT}/qamill"):
         if "llm" not in folder:
