@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qamill.operators.ranking import share
@@ -49,6 +50,27 @@ def window_summary_batch(rows: DataFrame, width: str = "1 day", time: str = "ts"
     return _summary(rows, width, time)
 
 
+def latency_counts(stream: DataFrame, width: str = "1 day", delay: str = "1 hour", time: str = "ts") -> DataFrame:
+    """C6 on a stream: how often each latency of a success occurs per tumbling window and system.
+
+    Counts per value are the mergeable state of any quantile; a window's state is its different values.
+    """
+    rows = stream.withWatermark(time, delay).where("success AND latency IS NOT NULL")
+    return rows.groupBy(F.window(time, width).alias("w"), "system", "latency").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("window_start"), "system", "latency", "n")
+
+
+def latency_quantiles(counts: DataFrame) -> DataFrame:
+    """(window_start, system, count, mean, min, max, median) from counts per value; the median is the upper one."""
+    window = W.partitionBy("window_start", "system")
+    reached = F.sum("n").over(window.orderBy("latency").rowsBetween(W.unboundedPreceding, 0))
+    rows = counts.withColumns({"_upto": reached, "_all": F.sum("n").over(window)})
+    median = F.min(F.when(F.col("_upto") > F.expr("_all div 2"), F.col("latency")))
+    return rows.groupBy("window_start", "system").agg(
+        F.sum("n").alias("count"), share(F.sum(F.col("latency") * F.col("n")), F.sum("n")).alias("mean"),
+        F.min("latency").alias("min"), F.max("latency").alias("max"), median.alias("median"))
+
+
 def run_append(stream: DataFrame, name: str) -> DataFrame:
     """Run over what is there and give the written table (append mode, exactly once)."""
     spark = stream.sparkSession

@@ -1,7 +1,10 @@
 """Streams against their batch twins."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from qamill.streaming import expiry
 from qamill.streaming import responses as st
 
 KIND = "system string, question string, success boolean, latency double, ts timestamp"
@@ -46,3 +49,53 @@ def test_a_key_returns_after_its_ttl(spark, tmp_path):
     stream = stream_of(spark, tmp_path / "in", LOG, late, later, last)
     got = st.run_append(st.first_requests(stream, "1 day"), "t-ttl").where("system = 'a' AND question = 'q1'")
     assert got.count() >= 2
+
+
+def answered_in_batch(items, ttl_seconds):
+    """Every key's requests, sorted and folded in plain Python."""
+    stored, out = {}, []
+    micros = lambda text: int(datetime.fromisoformat(text + "+00:00").timestamp() * 1_000_000)
+    for system, question, success, _, at in sorted((r for r in items if r[0] and r[1]), key=lambda r: (r[4], not r[2])):
+        last = stored.get((system, question))
+        hit = last is not None and (ttl_seconds <= 0 or micros(at) - last <= ttl_seconds * 1_000_000)
+        if not hit and success:
+            stored[system, question] = micros(at)
+        out.append((system, question, at, success, hit))
+    return sorted(out)
+
+
+def answered(df):
+    return sorted((r["system"], r["question"], str(r["ts"]), r["success"], r["hit"]) for r in df.collect())
+
+
+def test_entries_expire_on_the_stream_as_in_the_batch(spark, tmp_path):
+    log = [("a", "q", False, 1.0, "2024-01-01 00:00:00"), ("a", "q", True, 1.0, "2024-01-01 10:00:00"),
+           ("a", "q", True, 1.0, "2024-01-02 09:00:00"), ("a", "q", False, 1.0, "2024-01-02 10:00:00"), (None, "q", True, 1.0, "2024-01-01 00:00:00")]
+    # the second file brings requests from before the first file's last ones
+    more = [("a", "q", True, 1.0, "2024-01-02 10:00:01"), ("a", "q", True, 1.0, "2024-01-01 23:00:00"), ("b", "q", True, 2.0, "2024-01-02 12:00:00"),
+            ("b", "q", True, 2.0, "2024-01-02 12:00:00")]
+    last = [("z", "z", True, 1.0, "2024-03-01 00:00:00")]
+    stream = stream_of(spark, tmp_path / "in", log, more, last)
+    with expiry.rocks_state(spark):
+        got = answered(st.run_append(expiry.cache_hits(stream, 86400, "2 days"), "t-expiry").where("system <> 'z'"))
+    want = answered_in_batch(log + more, 86400)
+    assert got == want
+    hits = {r[2]: r[4] for r in got if r[0] == "a"}
+    assert hits == {"2024-01-01 00:00:00": False, "2024-01-01 10:00:00": False, "2024-01-01 23:00:00": True,
+                    "2024-01-02 09:00:00": True, "2024-01-02 10:00:00": True, "2024-01-02 10:00:01": False}
+    assert sorted(r[4] for r in got if r[0] == "b") == [False, True]
+
+
+def test_no_expiry():
+    requests = [(0, "a", "q", False), (1, "a", "q", True), (10**18, "a", "q", False)]
+    assert expiry.fold(None, requests, 0) == (1, [False, False, True])
+    assert expiry.fold(None, requests, 10**18 - 2) == (1, [False, False, False])
+    assert expiry.fold(5, [], 1) == (5, [])
+
+
+def test_median_per_window_is_the_upper_one(spark, tmp_path):
+    log = [("a", "q", True, float(x), f"2024-01-01 0{i}:00:00") for i, x in enumerate([5, 1, 1, 9])]
+    more = [("a", "q", True, 7.0, "2024-01-02 00:00:00"), ("a", "q", False, 99.0, "2024-01-02 01:00:00"), ("b", "q", False, 1.0, "2024-01-02 01:00:00")]
+    counts = st.run_update(st.latency_counts(stream_of(spark, tmp_path / "in", log, more), delay="2 days"), "t-median", ["window_start", "system", "latency"])
+    got = sorted(tuple(r)[1:] for r in st.latency_quantiles(counts).collect())
+    assert got == [("a", 1, 7.0, 7.0, 7.0, 7.0), ("a", 4, 4.0, 1.0, 9.0, 5.0)]
