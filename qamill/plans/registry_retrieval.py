@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from qamill.functions import text as tx
 from qamill.functions.rows import unnest
 from qamill.operators import retrieval as rt
+from qamill.operators import vector_index as vi
 from qamill.plans.fixtures import cte, table, view
+from qamill.session import materialise
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,6 +50,17 @@ SELECT query_id, doc_id, rank, round(distance, 6) AS distance FROM ranked WHERE
 """
 
 
+def indexed_top_k(spark, sf_dir):
+    """The same through the metric index."""
+    queries, corpus = _vectors(spark, sf_dir)
+    return vi.Index(corpus, materialise).top_k(queries, 5, skip_self=True).select(
+        "query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+QUERIES["indexed_top_k"] = indexed_top_k
+ORACLES["indexed_top_k"] = ORACLES["dense_top_k"]
+
+
 def retrieval_metrics_at_k(spark, sf_dir):
     """Top 10 by L2, relevant = same label, then every metric at k."""
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
