@@ -73,15 +73,16 @@ class Model:
         counts = np.array([len(r[2]) for r in rows])
         doc = np.repeat(np.arange(len(rows)), counts)
         length = np.concatenate([r[2] for r in rows])
-        sentence = np.repeat(np.arange(len(length)), length)
-        bucket = np.concatenate([r[1] for r in rows])
         # a feature counts if enough documents have it
-        pairs = np.unique(np.stack([bucket, doc[sentence]]), axis=1)
-        known, seen = np.unique(pairs[0], return_counts=True)
-        known = known[seen >= RARE]
-        at = np.searchsorted(known, bucket)
-        keep = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == bucket) if len(known) else np.zeros(len(bucket), bool)
-        at, sentence = at[keep], sentence[keep]
+        seen = np.zeros(BUCKETS, dtype=np.int32)
+        for r in rows:
+            seen[np.unique(r[1])] += 1
+        known = np.flatnonzero(seen >= RARE)
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[known] = np.arange(len(known), dtype=np.int32)
+        at = np.concatenate([place[r[1]] for r in rows])
+        sentence = np.repeat(np.arange(len(length), dtype=np.int32), length)[at >= 0]
+        at = at[at >= 0]
         weight = np.array([share[int(x)] for x in label])
         weight /= weight.sum()
         w, b = np.zeros(len(known)), START
@@ -142,10 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     out_schema = pa.schema([("doc_id", pa.string()), ("toxic", pa.int32()), ("buckets", pa.binary()), ("lengths", pa.binary())])
     bags = picked.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text").mapInArrow(
         run, "doc_id string, toxic int, buckets binary, lengths binary").toArrow()
-    bags = sorted(zip(*(bags[c].to_pylist() for c in ("doc_id", "toxic", "buckets", "lengths"))))
-    taken = {k: sum(r[1] == k for r in bags) for k in totals}
+    rows = sorted(zip(*(bags[c].to_pylist() for c in ("doc_id", "toxic", "buckets", "lengths"))))
+    del bags
+    taken = {k: sum(r[1] == k for r in rows) for k in totals}
     share = {k: totals[k] / max(1, taken[k]) for k in totals}
-    return Model([(t, np.frombuffer(b, np.int32), np.frombuffer(n, np.int32)) for _, t, b, n in bags], share)
+    return Model([(t, np.frombuffer(b, np.int32), np.frombuffer(n, np.int32)) for _, t, b, n in rows], share)
 
 
 SENTENCES = T.ArrayType(T.StructType([
