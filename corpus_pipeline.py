@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from qamill.llm import bpe, jaccard, kneser, mixing, secrets
-from qamill.llm.common import table
+from qamill.llm.common import WORD, table
 from qamill.session import materialise
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -29,13 +28,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones; rows without an id stay."""
-    groups = jaccard.join(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    one = docs.join(first, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order))
-    kept = one.where("_row = 1").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of linked texts: the one with the smallest id, null ids last.
+
+    Texts are told apart by their 64-bit hash, not by their ids, so a text that shares its id with
+    another is not lost and rows without an id are grouped like all others. Rows that repeat id and
+    text leave one of them, by the hash of the other columns. Texts without a word are linked with
+    nothing and all stay. An empty table gives no rows.
+    """
+    name = "_text_hash"
+    hashed = docs.withColumn(name, F.xxhash64("text"))
+    spoken = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    groups = jaccard.join(hashed.where(spoken).select(F.col(name).alias("doc_id"), "text")).dropDuplicates(["doc_id"])
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", name)
+    texts = hashed.where(spoken).groupBy(name).agg(F.min(first).alias("first"))
+    kept = texts.join(groups.select(F.col("doc_id").alias(name), "component_id"), name).groupBy("component_id").agg(
+        F.min("first").alias("first")).select(F.col(f"first.{name}").alias(name), F.col("first.doc_id").alias("_first_id"))
+    same = (hashed[name] == kept[name]) & hashed["doc_id"].eqNullSafe(kept["_first_id"])
+    rest = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    one = hashed.where(spoken).join(kept, same, "left_semi").groupBy(name).agg(F.min_by(F.struct(*docs.columns), rest).alias("r"))
+    return one.select("r.*").unionByName(docs.where(~spoken))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
