@@ -51,3 +51,15 @@ def test_messy_rows_go_through(spark, messy, nothing, tmp_path):
         rows = rows_of(registry.queries()["pipeline"](spark, folder))
         assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in rows)
         assert bool(rows) == (docs is messy)
+
+
+def test_no_text_is_lost_with_its_id(spark):
+    a, b, near = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60)), " ".join(f"a{i}" for i in range(59))
+    rows = [(1, a), (1, b), (2, a), (None, a), (None, near), (None, b), (None, "own words only"), (5, "own words only too"),
+            (5, "own words only too"), (7, None), (7, ""), (8, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map('k', 1) AS m", "'x' AS component_id", "'y' AS first")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, "own words only"), (5, "own words only too"), (7, None), (7, ""), (8, " ")], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
