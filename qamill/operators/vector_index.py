@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -36,23 +37,36 @@ def _distances(vectors, centres: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """(cell, low, high, block) from rows (id, vector, cell, low, high), sorted by ring inside each cell."""
+    """(cell, low, high, block) from rows (id, vector, cell, low, high), sorted by ring inside each cell.
+
+    Vectors and rings of a block are the bytes of doubles, so no batch of blocks outgrows its bytes.
+    """
     block = T.StructType([
-        T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("vectors", T.ArrayType(T.ArrayType(T.DoubleType()))),
-        T.StructField("lows", T.ArrayType(T.DoubleType())), T.StructField("highs", T.ArrayType(T.DoubleType()))])
+        T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("vectors", T.BinaryType()),
+        T.StructField("lows", T.BinaryType()), T.StructField("highs", T.BinaryType())])
     schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("low", T.DoubleType()),
                            T.StructField("high", T.DoubleType()), T.StructField("block", block)])
+    binary = pa.binary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell, part in batch.groupby("cell", sort=False):
-                for at in range(0, len(part), size):
-                    x = part.iloc[at:at + size]
-                    yield pd.DataFrame({"cell": [cell], "low": [x["low"].min()], "high": [x["high"].max()], "block": [{
-                        "ids": x["id"].tolist(), "vectors": x["vector"].tolist(), "lows": x["low"].tolist(), "highs": x["high"].tolist()}]})
+            cells, lows, highs = (batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "low", "high"))
+            starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else []
+            for first, end in zip(starts, [*starts[1:], len(cells)]):
+                for at in range(first, end, size):
+                    n = min(size, end - at)
+                    ids, vectors = batch["id"].slice(at, n), batch["vector"].slice(at, n).flatten().to_numpy(zero_copy_only=False)
+                    low, high = lows[at:at + n], highs[at:at + n]
+                    packed = pa.StructArray.from_arrays(
+                        [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids),
+                         *[pa.array([np.ascontiguousarray(x, dtype=np.float64).tobytes()], binary) for x in (vectors, low, high)]],
+                        names=["ids", "vectors", "lows", "highs"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([cells[at]], pa.int32()), pa.array([low.min()]), pa.array([high.max()]), packed],
+                        names=["cell", "low", "high", "block"])
 
     spread = rows.repartitionByRange("cell", "low", F.xxhash64("id")).sortWithinPartitions("cell", "low", "id")
-    return spread.select("id", "vector", "cell", "low", "high").mapInPandas(run, schema)
+    return spread.select("id", "vector", "cell", "low", "high").mapInArrow(run, schema)
 
 
 def _scan(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool) -> DataFrame:
@@ -61,16 +75,21 @@ def _scan(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, skip_
         T.StructField("query_id", queries.schema["id"].dataType),
         T.StructField("doc_id", corpus.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        as_matrix = lambda rows: np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+    def opened(block: pa.StructScalar) -> tuple[np.ndarray, ...]:
+        ids = np.array(block["ids"].as_py())
+        doubles = lambda name: np.frombuffer(block[name].as_py(), dtype=np.float64)
+        return ids, doubles("vectors").reshape(len(ids), -1), doubles("lows"), doubles("highs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, c in zip(batch["q"], batch["c"]):
-                meets = (np.asarray(q["lows"]) <= max(c["highs"])) & (np.asarray(q["highs"]) >= min(c["lows"]))
+                (q_ids, asked, lows, highs), (ids, held, low, high) = opened(q), opened(c)
+                meets = (lows <= high.max()) & (highs >= low.min())
                 if meets.any():
-                    yield _nearest(np.asarray(q["ids"])[meets], as_matrix(q["vectors"])[meets],
-                                   np.asarray(c["ids"]), as_matrix(c["vectors"]), k, skip_self)
+                    near = _nearest(q_ids[meets], asked[meets], ids, held, k, skip_self)
+                    yield pa.RecordBatch.from_pandas(near, preserve_index=False)
 
-    near = pairs.select("q", "c").mapInPandas(run, schema)
+    near = pairs.select("q", "c").mapInArrow(run, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "doc_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -127,13 +146,13 @@ class Index:
         c = self.blocks.select("cell", "low", "high", F.col("block").alias("c"))
         return q.join(c, "cell").where((F.col("ql") <= F.col("high")) & (F.col("qh") >= F.col("low")))
 
-    def _asked(self, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
-        """Query blocks for the cells they need; the reach is the kth distance in the query's own ring."""
+    def _rings(self, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
+        """Queries for the cells they need; the reach is the kth distance in the query's own ring."""
         rows = queries.select("id", F.col("vector").cast("array<double>").alias("vector"))
         first = _scan(self._met(_packed(self.homes(rows), self.block)), rows, self.corpus, k, skip_self)
         reach = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.sqrt("distance").alias("reach"))
         far = rows.join(reach, "id", "left").select("id", "vector", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-        return self.store(_packed(self.needed(far), self.block), "asked")
+        return self.needed(far)
 
     def top_k(self, queries: DataFrame, k: int = 5, skip_self: bool = False) -> DataFrame:
         """(query_id, doc_id, distance, rank), the ``k`` nearest by squared L2, exact, ties by id.
@@ -143,14 +162,13 @@ class Index:
         if self.blocks is None:
             return queries.select(F.col("id").alias("query_id"), F.lit(None).cast(self.corpus.schema["id"].dataType).alias("doc_id"),
                                   F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).where(F.lit(False))
-        return _scan(self._met(self._asked(queries, k, skip_self)), queries, self.corpus, k, skip_self)
+        return _scan(self._met(_packed(self._rings(queries, k, skip_self), self.block)), queries, self.corpus, k, skip_self)
 
     def visits(self, queries: DataFrame, k: int = 5, skip_self: bool = False) -> DataFrame:
         """One row: (visited, possible) pairs of a query and a corpus block that the search reads, of all."""
-        asked = self._asked(queries, k, skip_self)
-        rows = asked.select("cell", F.explode(F.arrays_zip("block.lows", "block.highs")).alias("r"))
-        met = rows.join(self.blocks.select("cell", "low", "high"), "cell").where(
-            (F.col("r.lows") <= F.col("high")) & (F.col("r.highs") >= F.col("low")))
+        rings = self._rings(queries, k, skip_self).select("cell", F.col("low").alias("ql"), F.col("high").alias("qh"))
+        met = rings.join(self.blocks.select("cell", "low", "high"), "cell").where(
+            (F.col("ql") <= F.col("high")) & (F.col("qh") >= F.col("low")))
         total = self.blocks.agg(F.count(F.lit(1)).alias("b")).join(queries.agg(F.count(F.lit(1)).alias("q")))
         return met.agg(F.count(F.lit(1)).alias("visited")).join(total).select("visited", (F.col("b") * F.col("q")).alias("possible"))
 
