@@ -77,6 +77,6 @@ SELECT o.cache_key, o.micros, o.success, EXISTS (
   SELECT 1 FROM first f WHERE f.cache_key = o.cache_key AND f.rn < o.rn AND o.micros - f.micros <= 86400000000) AS hit FROM o"""
 QUERIES["stream_latency_median"] = stream_latency_median
 ORACLES["stream_latency_median"] = f"""{cte('v_responses')}
-SELECT strftime(ts, '%Y-%m-%d') AS day, system, count(*) AS count, round(avg(latency), 6) AS mean, min(latency) AS min, max(latency) AS max,
+SELECT strftime(ts, '%Y-%m-%d') AS day, system, count(*) AS count, round(CAST(sum(CAST(latency AS DECIMAL(24, 12))) AS DOUBLE) / count(*), 6) AS mean, min(latency) AS min, max(latency) AS max,
   list_sort(list(latency))[count(*) // 2 + 1] AS median
 FROM v_responses WHERE success AND latency IS NOT NULL GROUP BY day, system"""

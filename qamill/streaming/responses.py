@@ -61,13 +61,16 @@ def latency_counts(stream: DataFrame, width: str = "1 day", delay: str = "1 hour
 
 
 def latency_quantiles(counts: DataFrame) -> DataFrame:
-    """(window_start, system, count, mean, min, max, median) from counts per value; the median is the upper one."""
+    """(window_start, system, count, mean, min, max, median) from counts per value; the median is the upper one.
+
+    The sum behind the mean is added in decimals (12 places), so it does not depend on the order of the values.
+    """
     window = W.partitionBy("window_start", "system")
     reached = F.sum("n").over(window.orderBy("latency").rowsBetween(W.unboundedPreceding, 0))
     rows = counts.withColumns({"_upto": reached, "_all": F.sum("n").over(window)})
     median = F.min(F.when(F.col("_upto") > F.expr("_all div 2"), F.col("latency")))
     return rows.groupBy("window_start", "system").agg(
-        F.sum("n").alias("count"), share(F.sum(F.col("latency") * F.col("n")), F.sum("n")).alias("mean"),
+        F.sum("n").alias("count"), share(F.sum(F.col("latency").cast("decimal(24,12)") * F.col("n").cast("decimal(13,0)")).cast("double"), F.sum("n")).alias("mean"),
         F.min("latency").alias("min"), F.max("latency").alias("max"), median.alias("median"))
 
 
