@@ -20,6 +20,8 @@ from qamill.operators import fillings as fl
 from qamill.session import materialise
 
 STRINGS = "array<string>"
+#: Rounds of exchange after which ``generate`` leaves it at what is assigned; None goes on to the maximum.
+EXCHANGES = 2
 
 
 def _strings(values: list[str]) -> Column:
@@ -277,11 +279,12 @@ def shortfall(questions: DataFrame, papers: DataFrame, n: int, own: DataFrame |
 
 
 def generate(papers: DataFrame, n: int = 20, templates: dict[str, list[str]] | None = None,
-             seed: int = 42, store=materialise, scope: str = "set", exchanges: int | None = None) -> DataFrame:
+             seed: int = 42, store=materialise, scope: str = "set", exchanges: int | None = EXCHANGES) -> DataFrame:
     """Q16 with contexts: the question table of a set of papers.
 
-    Every paper gets ``n`` questions or as many as any assignment of texts to papers allows, see
-    ``assignment.assign``; ``assignment.shortage`` lists the papers with fewer and the cause. What the
+    Every paper gets ``n`` questions if texts last, see ``assignment.assign``; with ``exchanges`` None no
+    other assignment gives out more, with the default a few texts may stay unasked where papers
+    share most of theirs. ``assignment.shortage`` lists the papers with fewer and the cause. What the
     papers offer is written once by ``store``, without their texts.
     """
     templates = templates or cat.TEMPLATES
