@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qamill.llm.common import first_per_key, text_batches
+from qamill.llm.common import few, first_per_key, text_batches
 
 SAMPLE = 3000        # labelled documents of each label that the weights are fitted on
 LONGEST = 20_000     # words of the longest document in the sample (scoring has no such limit)
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     short = F.regexp_count("text", F.lit(r"\S+")) <= LONGEST
     # ids and hashes are chosen first, so that no other text is moved
     light = texts.where(short).select("doc_id", F.xxhash64("text").alias("h")).distinct().join(marks, "doc_id")
-    totals = {r["toxic"]: r["n"] for r in light.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = {r["toxic"]: r["n"] for r in few(light.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")), 2)}
     chosen = F.broadcast(first_per_key(light, "toxic", ["doc_id", "h"], sample))
     picked = texts.withColumn("h", F.xxhash64("text")).join(chosen, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
 
