@@ -1,5 +1,6 @@
 """Question generation, validation, gold."""
 
+import random
 import re
 
 from hypothesis import given, settings
@@ -184,3 +185,54 @@ def test_passages_deduplicate_and_use_concepts(spark):
     texts = [p["text"] for p in got]
     assert len(texts) == len(set(texts)) and texts[-1] == "about Graph Nets"
     assert texts[0] == "Graph Nets are strong. Trees are slow."
+
+
+def test_passages_against_plain_search(spark):
+    """Many terms, some in each other, null, empty, repeated, over several lists of one paper."""
+    rng = random.Random(3)
+    syllables = ["ab", "abc", "bc", "x", "İ", "ß", "ab c"]
+    sentence = lambda: " ".join(rng.choice(syllables) for _ in range(rng.randint(1, 5))).capitalize() + rng.choice(".!?")
+    papers = []
+    for p in range(4):
+        sections = [(rng.choice(["Intro", "References", "Method", "ACKNOWLEDGEMENTS"]), " ".join(
+            sentence() for _ in range(rng.randint(0, 12)))) for _ in range(5)]
+        papers.append((f"p{p}", sections, []))
+    papers.append(("empty", [], []))
+    papers.append(("nothing", None, None))
+    terms = [None, "", "ab", "AB", "abc", "bc x", "c", "zz", ". "] + [f"t{i}" for i in range(600)]
+    questions = [(n, f"p{n % 5}" if n % 7 else rng.choice(["empty", "nothing"]), t, "clash")
+                 for n, t in enumerate(t for t in terms + terms[:9] * 4)] + [(9999, None, "ab", "clash")]
+    kind = ("paper_id string, sections array<struct<heading string, content string>>, "
+            "concepts array<struct<text string, examples array<struct<section string, context string>>>>")
+    kind += ">" * (kind.count("<") - kind.count(">"))
+    asked = spark.createDataFrame(questions, "n int, paper_id string, term string, sections string")
+    got = go.passages(asked, spark.createDataFrame(papers, kind), limit=4)
+    assert got.columns == ["n", "paper_id", "term", "sections", "passages"]
+
+    def expected(paper, term):
+        out = []
+        for heading, content in dict((p[0], p[1]) for p in papers)[paper] or []:
+            if term is None or re.search("reference|bibliography|acknowledgement", heading.lower()):
+                continue
+            parts = re.split(r"(?<=[.!?])\s+", content)
+            for i, part in enumerate(parts):
+                text = " ".join(parts[max(i - 1, 0):i + 2])
+                if term.lower() in part.lower() and text not in [t for _, t in out]:
+                    out.append((heading, text))
+        return out[:4]
+
+    rows = {r["n"]: [tuple(p) for p in r["passages"]] for r in got.collect()}
+    known = {p[0] for p in papers}
+    assert rows == {n: expected(p, t) for n, p, t, _ in questions if p in known}
+    assert sum(map(len, rows.values())) > 50
+
+
+def test_a_text_is_cut_once_for_all_questions(spark):
+    """No question row carries a text: what meets the sections is a list of different terms."""
+    asked = spark.range(5000).selectExpr("id AS n", "'p1' AS paper_id", "concat('t', id % 3) AS term")
+    papers = spark.createDataFrame([("p1", [("A", "T0 here. T1 there. And t2.")], [])],
+                                   "paper_id string, sections array<struct<heading string, content string>>, "
+                                   "concepts array<struct<text string, examples array<struct<section string, context string>>>>")
+    found = go.term_passages(asked.selectExpr("paper_id", "term").distinct(), papers)
+    assert found.count() == 3
+    assert go.passages(asked, papers).where(F.size("passages") == 1).count() == 5000
