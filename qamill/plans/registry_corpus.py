@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from qamill.functions import text as tx
 from qamill.operators import corpus as co
+from qamill.operators import markup as mk
 from qamill.plans.corpus_build import CorpusOptions, build
 from qamill.plans.fixtures import cte, table, view
 from qamill.sources import cache, documents, results, sinks
@@ -103,7 +104,7 @@ def chunk_document_ids(spark, sf):
     return names.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("html_text", r"""
+PAGE_SQL = r"""
 SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
     '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>', '', 'g'),
@@ -112,11 +113,59 @@ SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(replace
     '</?[a-zA-Z!][^>]*>', '', 'g'),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
   '[ \t\r\x0B\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g')) AS text
-FROM pages""")
+FROM pages"""
+
+
+@query("html_text", PAGE_SQL)
 def html_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(co.html_text(F.col("html"))).alias("text"))
 
 
+# the rules leave references they do not list; the reader decodes all, of which the pages have these
+READ_SQL = PAGE_SQL.replace("(html,", "(replace(replace(html, '&copy;', '©'), '&middot;', '·'),", 1)
+
+
+@query("page_text", READ_SQL)
+def page_text(spark, sf):
+    """The one-pass reader; on plain pages it gives what the rules give, with every reference decoded."""
+    return table(spark, sf, "pages").select("page_id", F.md5(mk.page_text("html")).alias("text"))
+
+
+# Every kind of markup that a page may wrap its text in, and what is seen of it.
+WRAPPED = [
+    ("<!-- a > b --><p title=\"x > y\">", "</p>"), ("<script>if (a < b) { '</p>' }</script><div data-a='>'>", ""),
+    ("<style>p > a {}</style>&#65;&#x42;&hellip; <b>", "</b> 1 < 2"), ("<textarea><i></textarea><br/>", "<script>open"),
+]
+SEEN = [("", ""), ("", ""), ("AB\u2026 ", " 1 < 2"), ("<i>\n", "")]
+
+
+@query("page_markup", "WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t\\r\\x0B\\f\\xA0]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS t FROM documents)\n"
+       "SELECT doc_id, md5(CASE doc_id % 4 " + " ".join(
+           f"WHEN {i} THEN concat('{a}', t, '{b}')" for i, (a, b) in enumerate(SEEN)) + " END) AS text FROM d")
+def page_markup(spark, sf):
+    """Whole texts inside pages with comments, quoted attributes, raw text, references and open tags."""
+    docs = table(spark, sf, "documents")
+    part = lambda at: F.get(F.array(*[F.lit(w[at]) for w in WRAPPED]), (F.col("doc_id") % 4).cast("int"))
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return docs.select("doc_id", F.md5(mk.page_text(F.concat(part(0), escaped, part(1)))).alias("text"))
+
+
+@query("decoded_formats", f"""
+WITH t AS ({READ_SQL})
+SELECT concat('/data/p', CAST(page_id AS STRING), '.html') AS path, 'html' AS format, text FROM t
+UNION ALL SELECT concat('/data/d', CAST(doc_id AS STRING), '.md'), 'text', md5(text) FROM documents
+UNION ALL SELECT concat('/data/e', CAST(event_id AS STRING), '.json'), 'data', md5(props) FROM events WHERE props IS NOT NULL""")
+def decoded_formats(spark, sf):
+    """Files of all formats that are decoded, as one table; others are dropped."""
+    file = lambda name, key, text, ending: table(spark, sf, name).select(
+        F.concat(F.lit("/data/" + name[0]), F.col(key).cast("string"), F.lit(ending)).alias("original_path"),
+        F.lit(ending).alias("original_extension"), F.encode(F.col(text), "UTF-8").alias("content"))
+    files = file("pages", "page_id", "html", ".html").unionByName(file("documents", "doc_id", "text", ".md")).unionByName(
+        file("events", "event_id", "props", ".json")).unionByName(file("pages", "page_id", "html", ".exe"))
+    return documents.decode_documents(files).select(
+        F.col("original_path").alias("path"), "format", F.md5("text").alias("text"))
+
+
 @query("record_text", """
 SELECT conv_id, turn, md5(to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text})) AS text
 FROM conversations""")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qamill.operators.corpus import document_id, html_text, route
+from qamill.operators.corpus import document_id, route
+from qamill.operators.markup import page_text
 
 
 def scan_documents(
@@ -48,7 +49,7 @@ def decode_documents(files: DataFrame) -> DataFrame:
     kind = route(F.col("original_path"))
     ext = F.col("original_extension")
     text = (
-        F.when(kind == "text", raw).when(kind == "html", html_text(raw))
+        F.when(kind == "text", raw).when(kind == "html", page_text(raw))
         .when(ext.isin(".csv", ".json"), raw)
     )
     return (
