@@ -82,7 +82,7 @@ def unseen(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
     _, runs = committed(spark, path)
     if not runs:
         return rows
-    touched = [r[0] for r in rows.select(_part(keys)).distinct().collect()]  # at most PARTS numbers
+    touched = rows.agg(F.collect_set(_part(keys))).first()[0]  # at most PARTS numbers
     kind = T.StructType([*rows.select(*keys).schema.fields, T.StructField("_part", T.IntegerType())])
     there = spark.read.schema(kind).option("basePath", f"{path}/keys").parquet(*[_keys(path, r) for r in runs])
     there = there.where(F.col("_part").isin(touched))

@@ -227,12 +227,15 @@ def test_passages_against_plain_search(spark):
     assert sum(map(len, rows.values())) > 50
 
 
-def test_a_text_is_cut_once_for_all_questions(spark):
-    """No question row carries a text: what meets the sections is a list of different terms."""
-    asked = spark.range(5000).selectExpr("id AS n", "'p1' AS paper_id", "concat('t', id % 3) AS term")
+def test_a_text_is_cut_once_for_a_list_of_questions(spark, monkeypatch):
+    """Lists are bounded, also those of one paper with very many questions, equal ones among them."""
+    asked = spark.range(5000).selectExpr("id DIV 2 AS n", "'p1' AS paper_id", "concat('t', id % 3) AS term")
     papers = spark.createDataFrame([("p1", [("A", "T0 here. T1 there. And t2.")], [])],
                                    "paper_id string, sections array<struct<heading string, content string>>, "
                                    "concepts array<struct<text string, examples array<struct<section string, context string>>>>")
-    found = go.term_passages(asked.selectExpr("paper_id", "term").distinct(), papers)
-    assert found.count() == 3
+    sizes = [r["n"] for r in go.in_lists(asked, papers).select(F.size("asked").alias("n")).collect()]
+    assert sum(sizes) == 5000 and len(sizes) == 20 and max(sizes) <= go.TOGETHER
+    monkeypatch.setattr(go, "LOT", 500)
+    lists = go.in_lists(asked, papers)
+    assert 20 <= lists.count() <= 40 and lists.select(F.sum(F.size("asked"))).first()[0] == 5000
     assert go.passages(asked, papers).where(F.size("passages") == 1).count() == 5000
