@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,7 +58,8 @@ def external_shuffle(
     held = scattered.repartitionById(buckets, F.col("_bucket")).groupBy("_bucket").agg(
         F.array_sort(F.collect_list(record)).alias("_rows"))
     placed = held.select("_bucket", F.posexplode(F.shuffle("_rows", seed)).alias("_pos", "_row"))
-    placed = placed.join(_offsets(counts), F.col("_bucket") == F.col("_b"))
+    # one small row per bucket, so the rows are not shuffled a third time
+    placed = placed.join(F.broadcast(_offsets(counts)), F.col("_bucket") == F.col("_b"))
     at = F.col("_before") + F.col("_pos")
     return placed.select(
         *[F.col("_row").getField(c).alias(c) for c in columns],
@@ -66,22 +67,33 @@ def external_shuffle(
         F.floor(at / F.lit(shards)).cast("long").alias("slot"))
 
 
+def _bytes(text) -> Column:
+    """UTF-8 bytes of a text plus 1; a null text has none."""
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+
+
+def shuffled_documents(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
+    """(doc, shard, slot): the whole documents after both passes, ``doc`` the struct of their columns.
+
+    Columns of maps have no order and no hash and stay behind.
+    """
+    whole = docs.drop(*[c for c, kind in docs.dtypes if "map<" in kind])
+    rows = whole.select(F.struct("*").alias("doc"), _bytes(F.col("text")).alias("size"))
+    return external_shuffle(rows, shards, seed).drop("size")
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``.
 
-    Size is the UTF-8 bytes of the text plus 1; a null text has no bytes (crc32 0). Only these
-    small columns are shuffled. ``grown_shard`` is null: the law is ``rows``. Extra columns of
-    ``docs`` are ignored, whatever their names.
+    The documents go through both passes with their texts, and size and crc32 are those of the text
+    that arrives in the shard: its UTF-8 bytes plus 1 (crc32 0 without a text). ``grown_shard`` is
+    null: the law is ``rows``. Extra columns of ``docs`` move along, whatever their names.
     """
-    text = F.col("text")
-    rows = docs.select(
-        F.col("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"))
-    out = external_shuffle(rows, shards, seed)
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"))
+    text = F.col("doc.text")
+    return shuffled_documents(docs, shards, seed).select(
+        F.col("doc.doc_id").alias("doc_id"), _bytes(text).alias("size"),
+        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 20) -> None:
@@ -90,6 +102,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 20) ->
     Here the texts go through both passes, as the method says; a bucket's array holds
     ``bucket_bytes`` of them. ``docs`` must have no map column.
     """
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    out = external_shuffle(docs.withColumn("_size", size), shards, seed, "_size").drop("_size")
+    out = external_shuffle(docs.withColumn("_size", _bytes(F.col("text"))), shards, seed, "_size").drop("_size")
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

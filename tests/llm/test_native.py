@@ -143,6 +143,16 @@ def test_written_shards_hold_all_rows(messy, spark, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in rows_of(back)) == Counter((r["doc_id"], r["text"]) for r in rows_of(docs))
 
 
+def test_texts_go_through_the_shuffle(spark):
+    docs = spark.createDataFrame([(i, "ab" * (i % 7), "x") for i in range(50)] + [(None, None, None)], "doc_id long, text string, source string")
+    placed = sharding.shuffled_documents(docs)
+    assert Counter(tuple(r["doc"]) for r in placed.collect()) == Counter(map(tuple, docs.collect()))
+    # the query's own plan carries them too: what it collects in a bucket is the whole row
+    plan = sharding.shard_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(_h, xxhash64(doc" in plan
+    check_shards(docs)
+
+
 PAGES = "page_id long, url string, html string, host string, rule string"
 
 
