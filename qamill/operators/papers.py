@@ -8,10 +8,15 @@ come out by exploding at the end.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from qamill.functions import text as tx
 from qamill.functions.rows import unnest
@@ -59,39 +64,64 @@ def full_text(pages: DataFrame) -> DataFrame:
     )
 
 
+def _line(key: tuple, ix: int, line: list[tuple]) -> tuple:
+    """(paper_id, page, line_ix, text, top, bottom, x0, x1) of words (top, x0, text, x1, bottom) as ``concat_ws`` and
+    ``greatest`` would fold them: nulls are skipped, but a line of one word has its text as it is."""
+    texts, bottoms = [w[2] for w in line], [w[4] for w in line if w[4] is not None]
+    some = lambda items: [t for t in items if t is not None]
+    text = texts[0] if len(line) == 1 else " ".join([" ".join(some(texts[:2])), *some(texts[2:])])
+    lowest = next((b for b in bottoms if b != b), max(bottoms)) if bottoms else None
+    return *key, ix, text, line[0][0], lowest, line[0][1], line[-1][3]
+
+
+def _folded(batches: Iterator[pa.RecordBatch], tolerance: float, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Lines of sorted words (paper_id, page, top, x0, text, x1, bottom); only the line being read is held."""
+    key, ix, line = None, 0, []
+    for batch in batches:
+        ends = sorted({n for c in ("paper_id", "page") for n in pc.run_end_encode(batch[c]).run_ends.to_pylist()})
+        words = list(zip(*[batch[c].to_pylist() for c in ("top", "x0", "text", "x1", "bottom")]))
+        out, start = [], 0
+        for end in ends:
+            here = (batch["paper_id"][start].as_py(), batch["page"][start].as_py())
+            if line and here != key:
+                out.append(_line(key, ix, line))
+                line = []
+            if here != key:
+                key, ix = here, 0
+            for word in words[start:end]:
+                # nulls, NaN and the infinities are within reach of nothing
+                if line and None not in (word[0], line[0][0]) and abs(word[0] - line[0][0]) <= tolerance:
+                    line.append(word)
+                else:
+                    if line:
+                        out.append(_line(key, ix, line))
+                        ix += 1
+                    line = [word]
+            start = end
+        yield _rows(out, schema)
+    if line:
+        yield _rows([_line(key, ix, line)], schema)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def words_to_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Words of a page to lines.
 
     Words go by (top, x0). A word joins the line while its top is within
     ``tolerance`` of the line's first word, so slow drift does start a new line.
-    The group is one page.
+    The words of a page are sorted where they meet and read once, line by line; neither a page nor
+    its words are ever held whole.
     """
-    item = F.struct("top", "x0", "text", "x1", "bottom")
-    line_type = "array<struct<text:string,top:double,bottom:double,x0:double,x1:double>>"
-    pages = words.groupBy("paper_id", "page").agg(F.sort_array(F.collect_list(item)).alias("words"))
-
-    def step(acc: Column, w: Column) -> Column:
-        cur = acc["cur"]
-        fresh = F.struct(w["text"].alias("text"), w["top"].alias("top"), w["bottom"].alias("bottom"),
-                         w["x0"].alias("x0"), w["x1"].alias("x1"))
-        grown = F.struct(
-            F.concat_ws(" ", cur["text"], w["text"]).alias("text"), cur["top"].alias("top"),
-            F.greatest(cur["bottom"], w["bottom"]).alias("bottom"), cur["x0"].alias("x0"),
-            w["x1"].alias("x1"),
-        )
-        same = F.abs(w["top"] - cur["top"]) <= tolerance
-        done = F.when(cur.isNotNull(), F.concat(acc["out"], F.array(cur))).otherwise(acc["out"])
-        return F.when(same, F.struct(acc["out"].alias("out"), grown.alias("cur"))).otherwise(
-            F.struct(done.alias("out"), fresh.alias("cur")))
-
-    start = F.struct(
-        F.array().cast(line_type).alias("out"),
-        F.lit(None).cast("struct<text:string,top:double,bottom:double,x0:double,x1:double>").alias("cur"))
-    lines = F.aggregate(
-        "words", start, step,
-        lambda acc: F.when(acc["cur"].isNotNull(), F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
-    return unnest(pages, lines, ["paper_id", "page"], "line_ix", "line").select(
-        "paper_id", "page", "line_ix", "line.*")
+    placed = words.select("paper_id", "page", *[F.col(c).cast("double").alias(c) for c in ("top", "x0")], "text",
+                          *[F.col(c).cast("double").alias(c) for c in ("x1", "bottom")])
+    ordered = placed.repartition("paper_id", "page").sortWithinPartitions(*placed.columns)
+    schema = T.StructType([placed.schema["paper_id"], placed.schema["page"], T.StructField("line_ix", T.IntegerType()),
+                           T.StructField("text", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("top", "bottom", "x0", "x1")]])
+    return ordered.mapInArrow(functools.partial(_folded, tolerance=tolerance, schema=to_arrow_schema(schema)), schema)
 
 
 def _lines(text: Column) -> Column:

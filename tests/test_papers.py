@@ -103,6 +103,27 @@ def test_lines_follow_the_anchor(spark):
     assert got == [(0, "a b", 7.0, 14.0), (1, "c d", 11.0, 34.0), (2, "e", 25.0, 4.0)]
 
 
+def test_lines_of_long_and_odd_pages(spark):
+    """A page of very many lines, whose words are not gathered, and pages with nulls and values without order."""
+    long = spark.range(30_000).selectExpr(
+        "'p' AS paper_id", "1 AS page", "concat('w', id) AS text", "CAST(id DIV 2 * 10 AS DOUBLE) AS top",
+        "CAST(id AS DOUBLE) AS x0", "CAST(id + 1 AS DOUBLE) AS x1", "CAST(id DIV 2 * 10 + 5 AS DOUBLE) AS bottom")
+    lines = pa.words_to_lines(long)
+    assert "collect_list" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["line_ix"]: (r["text"], r["top"], r["x0"], r["x1"]) for r in lines.collect()}
+    assert got == {i: (f"w{2 * i} w{2 * i + 1}", 10.0 * i, 2.0 * i, 2.0 * i + 2) for i in range(15_000)}
+    nan, inf = float("nan"), float("inf")
+    odd = [(None, None, "a", None, 0.0, 1.0, 2.0), (None, None, "b", None, 0.0, 1.0, 2.0),
+           ("q", 2, None, 1.0, 0.0, 1.0, None), ("q", 2, None, 1.5, 1.0, 2.0, 3.0), ("q", 2, "c", 2.0, 2.0, None, nan),
+           ("q", 2, None, 9.0, 0.0, 1.0, None), ("q", 2, "d", nan, 0.0, 1.0, 1.0), ("q", 2, "e", nan, 0.0, 1.0, 1.0),
+           ("q", 2, "f", inf, 0.0, 1.0, 1.0), ("q", 2, "g", inf, 0.0, 1.0, 1.0), ("q", 3, "h", 9.0, 0.0, 1.0, 1.0)]
+    rows = spark.createDataFrame(odd, "paper_id string, page int, text string, top double, x0 double, x1 double, bottom double")
+    got = sorted((str(r["paper_id"]), str(r["page"]), r["line_ix"], r["text"], r["x1"], str(r["bottom"])) for r in pa.words_to_lines(rows).collect())
+    assert got == [("None", "None", 0, "a", 1.0, "2.0"), ("None", "None", 1, "b", 1.0, "2.0"), ("q", "2", 0, " c", None, "nan"),
+                   ("q", "2", 1, None, 1.0, "None"), ("q", "2", 2, "f", 1.0, "1.0"), ("q", "2", 3, "g", 1.0, "1.0"),
+                   ("q", "2", 4, "d", 1.0, "1.0"), ("q", "2", 5, "e", 1.0, "1.0"), ("q", "3", 0, "h", 1.0, "1.0")]
+
+
 def test_full_text_skips_empty_pages(spark):
     df = spark.createDataFrame([("p", 2, "two"), ("p", 1, "one"), ("p", 3, ""), ("p", 4, None)], "paper_id string, page int, text string")
     row = pa.full_text(df).first()
