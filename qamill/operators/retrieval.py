@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,39 +18,104 @@ from qamill.functions import text as tx
 
 K_VALUES = (1, 3, 5, 10)
 TEXT_MATCH = 0.8
+MEASURED = 1 << 15   # pairs whose differences are held at a time
+REMEMBERED = 10_000  # query blocks of which a task knows the reach
 
 
-def _pack(rows: DataFrame, name: str, size: int) -> DataFrame:
-    """Rows ``(id, vector)`` in blocks of at most ``size``, made where the rows lie."""
-    id_type = rows.schema["id"].dataType
+def id_array(ids: pa.Array) -> np.ndarray:
+    """Ids as an array that can be sorted; a null number is NaN."""
+    return ids.to_numpy(zero_copy_only=False) if pa.types.is_integer(ids.type) else np.array(ids.to_pylist(), dtype=object)
+
+
+def near_batch(near: pd.DataFrame, q_type: pa.DataType, c_type: pa.DataType) -> pa.RecordBatch:
+    kinds = {"query_id": q_type, "doc_id": c_type, "distance": pa.float64()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(near[c].to_numpy(), kind, from_pandas=True) for c, kind in kinds.items()], names=list(kinds))
+
+
+def vector_bytes(vectors: pa.Array) -> bytes:
+    """The doubles of vectors of one length, as bytes."""
+    doubles = vectors.flatten().to_numpy(zero_copy_only=False)
+    if len(set(vectors.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors must be of one length and not null")
+    return np.ascontiguousarray(doubles, dtype=np.float64).tobytes()
+
+
+def _pack(rows: DataFrame, name: str, size: int, parts: int) -> DataFrame:
+    """Rows ``(id, vector)`` in blocks of at most ``size``, made where the rows lie and dealt out evenly.
+
+    The vectors of a block are the bytes of doubles, so no batch of blocks outgrows its bytes.
+    """
     schema = T.StructType([T.StructField(name, T.StructType([
-        T.StructField("ids", T.ArrayType(id_type)), T.StructField("vectors", T.ArrayType(T.ArrayType(T.DoubleType())))]))])
+        T.StructField("ids", T.ArrayType(rows.schema["id"].dataType)), T.StructField("vectors", T.BinaryType())]))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), size):
-                part = batch.iloc[at:at + size]
-                yield pd.DataFrame({name: [{"ids": part["id"].tolist(), "vectors": part["vector"].tolist()}]})
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                block = pa.StructArray.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part["id"]),
+                     pa.array([vector_bytes(part["vector"])], pa.binary())], names=["ids", "vectors"])
+                yield pa.RecordBatch.from_arrays([block], names=[name])
 
-    return rows.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, schema)
+    packed = rows.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, schema)
+    return packed.repartition(parts)
+
+
+def _measured(queries: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Squared distances row by row. Differences, not the expanded square: equal vectors must give exactly 0."""
+    return ((matrix - queries) ** 2).sum(axis=1)
+
+
+def _products(queries: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """All squared distances by one matrix product, and how far rounding may have moved them; None
+    where that has no bound (huge, infinite or missing components)."""
+    a, b = (queries ** 2).sum(axis=1), (matrix ** 2).sum(axis=1)
+    largest = a.max(initial=0.0) + b.max(initial=0.0)
+    if not largest < 1e300:
+        return None
+    return a[:, None] + b - 2 * (queries @ matrix.T), (4 * queries.shape[1] + 16) * np.finfo(np.float64).eps * largest + 1e-290
 
 
 def _nearest(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int,
-             skip_self: bool) -> pd.DataFrame:
-    """The ``k`` nearest of one block of documents for each query of another, ties by id."""
+             skip_self: bool, reach: np.ndarray | None = None) -> pd.DataFrame:
+    """The ``k`` nearest of one block of documents for each query of another, ties by id.
+
+    Products leave the rows that may be among them, and only these are measured. ``reach`` holds a
+    distance per query that the caller needs no neighbour beyond; it is lowered in place to that of the
+    kth found.
+    """
+    if reach is None:
+        reach = np.full(len(queries), np.inf)
     order = np.argsort(ids, kind="stable")
     ids, matrix = ids[order], matrix[order]
-    # Differences, not the expanded square: equal vectors must give exactly 0.
-    dist = np.stack([((matrix - row) ** 2).sum(axis=1) for row in queries])
+    own = q_ids[:, None] == ids[None, :] if skip_self else None
+    rough = _products(queries, matrix)
+    if rough is None:
+        candidates = np.ones((len(queries), len(ids)), dtype=bool)
+    else:
+        dist, slack = rough
+        if skip_self:
+            dist[own] = np.inf
+        limit = reach + slack
+        far = np.flatnonzero(np.isinf(reach)) if len(ids) > k else []
+        if len(far):
+            limit[far] = np.partition(dist[far], k - 1, axis=1)[:, k - 1] + 2 * slack
+        candidates = dist <= limit[:, None]
     if skip_self:
-        dist[q_ids[:, None] == ids[None, :]] = np.inf
-    near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-    part = pd.DataFrame({
-        "query_id": np.repeat(q_ids, near.shape[1]),
-        "doc_id": ids[near].ravel(),
-        "distance": np.take_along_axis(dist, near, axis=1).ravel(),
-    })
-    return part[np.isfinite(part["distance"])]
+        candidates &= ~own
+    row, col = np.nonzero(candidates)
+    found = np.concatenate([np.zeros(0), *[
+        _measured(queries[row[i:i + MEASURED]], matrix[col[i:i + MEASURED]]) for i in range(0, len(row), MEASURED)]])
+    fine = np.isfinite(found)
+    row, col, found = row[fine], col[fine], found[fine]
+    order = np.lexsort((col, found, row))
+    row, col, found = row[order], col[order], found[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    last = place == k - 1
+    reach[row[last]] = np.minimum(reach[row[last]], found[last])
+    kept = place < k
+    return pd.DataFrame({"query_id": q_ids[row[kept]], "doc_id": ids[col[kept]], "distance": found[kept]})
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, skip_self: bool = False,
@@ -57,21 +125,35 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, skip_self: bo
     Both inputs have ``(id, vector)``; ids may be of any sortable type and keep it. Either side is
     cut into blocks of bounded size where it lies, every query block meets every corpus block in
     one task, and only ``k`` rows per query leave it, so the pairs of rows are never written out.
+    The blocks of both sides are dealt out so that all cores have pairs of parts, however few files
+    the tables have. A task remembers how far the kth neighbour of a query was so far.
     One plan for all sizes; nothing is gathered on the driver or broadcast by hand.
     """
     near_schema = T.StructType([
         T.StructField("query_id", queries.schema["id"].dataType),
         T.StructField("doc_id", corpus.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
-    blocks = _pack(corpus, "c", corpus_block).crossJoin(_pack(queries, "q", query_block))
+    parts = max(2, math.ceil(math.sqrt(4 * corpus.sparkSession.sparkContext.defaultParallelism)))
+    blocks = _pack(corpus, "c", corpus_block, parts).hint("shuffle_replicate_nl").crossJoin(_pack(queries, "q", query_block, parts))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        as_matrix = lambda rows: np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+    def opened(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+        ids = id_array(block["ids"].values)
+        return ids, np.frombuffer(block["vectors"].as_buffer(), dtype=np.float64).reshape(len(ids), -1)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reaches: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for c, q in zip(batch["c"], batch["q"]):
-                yield _nearest(np.asarray(q["ids"]), as_matrix(q["vectors"]),
-                               np.asarray(c["ids"]), as_matrix(c["vectors"]), k, skip_self)
-
-    near = blocks.mapInPandas(scan, near_schema)
+                (ids, held), (q_ids, asked) = opened(c), opened(q)
+                name = hashlib.blake2b(asked.tobytes() + repr(q_ids.tolist()).encode(), digest_size=16).digest()
+                reach = reaches.pop(name, None)
+                reach = np.full(len(asked), np.inf) if reach is None else reach
+                near = _nearest(q_ids, asked, ids, held, k, skip_self, reach)
+                if len(reaches) >= REMEMBERED:
+                    reaches.pop(next(iter(reaches)))
+                reaches[name] = reach
+                yield near_batch(near, q["ids"].values.type, c["ids"].values.type)
+
+    near = blocks.mapInArrow(scan, near_schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "doc_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

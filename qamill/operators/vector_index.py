@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qamill.operators.retrieval import _nearest
+from qamill.operators.retrieval import _nearest, id_array, near_batch
 
 PIVOTS = 64          # rows of the pivot table; the only vectors on the driver
 BLOCK = 1024         # rows of a block
@@ -76,8 +76,8 @@ def _scan(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, skip_
         T.StructField("doc_id", corpus.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
 
     def opened(block: pa.StructScalar) -> tuple[np.ndarray, ...]:
-        ids = np.array(block["ids"].as_py())
-        doubles = lambda name: np.frombuffer(block[name].as_py(), dtype=np.float64)
+        ids = id_array(block["ids"].values)
+        doubles = lambda name: np.frombuffer(block[name].as_buffer(), dtype=np.float64)
         return ids, doubles("vectors").reshape(len(ids), -1), doubles("lows"), doubles("highs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def _scan(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, skip_
                 meets = (lows <= high.max()) & (highs >= low.min())
                 if meets.any():
                     near = _nearest(q_ids[meets], asked[meets], ids, held, k, skip_self)
-                    yield pa.RecordBatch.from_pandas(near, preserve_index=False)
+                    yield near_batch(near, q["ids"].values.type, c["ids"].values.type)
 
     near = pairs.select("q", "c").mapInArrow(run, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "doc_id"))

@@ -60,3 +60,30 @@ def test_projections_find_nine_in_ten(spark):
     exact = set(found(rt.dense_top_k(rows, rows, 5, skip_self=True).select("query_id", "doc_id", F.lit(1).alias("rank"))))
     near = set(found(vi.lsh_top_k(rows, rows, 5, skip_self=True).select("query_id", "doc_id", F.lit(1).alias("rank"))))
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_products_leave_few_rows_to_measure(monkeypatch):
+    rng = np.random.default_rng(2)
+    held, counted = rng.normal(1e4, 1, (3000, 16)), []
+    held[7], held[9], held[11] = held[3], held[3], np.nan
+    measured = rt._measured
+    monkeypatch.setattr(rt, "_measured", lambda q, m: (counted.append(len(m)), measured(q, m))[1])
+    for fine in (held[:11], held[12:], held):  # the last block has a vector without distances
+        counted.clear()
+        ids = np.arange(len(fine))
+        near = rt._nearest(ids[:50], fine[:50], ids, fine, 5, True)
+        want = {(i, j): d for i, j, d in zip(near["query_id"], near["doc_id"], near["distance"])}
+        for i in range(min(50, len(fine))):
+            d = ((fine - fine[i]) ** 2).sum(axis=1)
+            best = sorted((x, j) for j, x in enumerate(d) if j != i and np.isfinite(x))[:5]
+            assert [want[i, j] for _, j in best] == [x for x, _ in best]
+        if np.isfinite(fine).all() and len(fine) > 11:
+            assert sum(counted) < 50 * len(fine) / 20
+
+
+def test_one_file_is_searched_by_many_tasks(spark):
+    rows = frame(spark, clustered(600)).coalesce(1)
+    near = rt.dense_top_k(rows, rows, 5, skip_self=True, query_block=32, corpus_block=32)
+    assert "CartesianProduct" in near._jdf.queryExecution().executedPlan().toString()
+    m = clustered(600)
+    assert found(near) == plain(m, m, 5, True)
