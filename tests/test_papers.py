@@ -154,3 +154,14 @@ def test_concepts(spark):
     assert "graph nets" not in got and got["the big plan"]["count"] == 4 and "Zed Zed" not in got
     nested = cp.with_concepts(df).first()["concepts"]
     assert nested[0]["type"] == "entity"
+
+
+def test_terms_are_counted_in_one_reading(spark):
+    """Counts and edges of terms as the plain rules give them, also without words; no sorted array of all runs."""
+    texts = ["The big cat. the BIG cat, the big cat ab ab ab ab", "x y", "", None]
+    rows = [(str(i), None if t is None else [{"heading": "H", "content": t}]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "paper_id string, sections array<struct<heading:string,content:string>>")
+    got = {(r["paper_id"], r["text"], r["count"]) for r in cp.terms(df).collect()}
+    assert got == {("0", "the big", 3), ("0", "big cat", 3), ("0", "the big cat", 3), ("0", "ab ab", 3)}
+    assert {r["text"] for r in cp.terms(df, edges=["the"]).collect()} == {"big cat", "ab ab"}
+    assert "array_sort" not in cp.terms(df)._jdf.queryExecution().optimizedPlan().toString()
