@@ -7,6 +7,7 @@ from qamill.operators import corpus as co
 from qamill.operators import gold as go
 from qamill.operators import questions as qu
 from qamill.operators import summary as su
+from qamill.plans.fixtures import table
 
 
 def plan(df):
@@ -75,3 +76,20 @@ def test_hot_paper_question_selection_is_limited_in_the_tasks(spark):
     assert plan(got).count("WindowGroupLimit") >= 3
     counts = {r["paper_id"]: r["count"] for r in got.groupBy("paper_id").count().collect()}
     assert set(counts.values()) == {20}
+
+
+def test_one_row_group_over_many_splits_reaches_all_cores(spark, tmp_path):
+    """A file of one row group is one task, however many splits it has."""
+    path = str(tmp_path / "documents.parquet")
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("text")).coalesce(
+        1).write.parquet(path)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        assert spark.read.parquet(path).rdd.getNumPartitions() >= cores
+        rows = table(spark, str(tmp_path), "documents")
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 4000 and len(sizes) >= cores and max(sizes) <= 2 * 4000 / cores
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
