@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
 from test_questions import KIND
 
+from qamill.operators import fillings as fl
 from qamill.operators import questions as qu
 
 TEMPLATES = {"factoid": ["What is meant by {concept}?"]}
@@ -23,3 +25,16 @@ def test_shortfall_tells_the_cause(spark):
     cause = {r["paper_id"]: r["cause"] for r in qu.shortfall(made, both, 6, own).collect()}
     assert cause["p3"] == "used_up" and set(cause.values()) == {"used_up", "taken"}
     assert qu.shortfall(made, both, 6).columns == ["paper_id", "found", "missing"]
+
+
+def test_a_filling_reads_the_shape_of_its_template(spark):
+    """What a slot has to skip is found once per paper and template, not at every turn of every filling."""
+    templates = {"comparative": ["How do {concept1} and {concept2} differ?", "{concept2} or {concept1}, and {method}?"]}
+    rows = fl.offers(qu.components(papers(spark, {"p1": 5, "p2": 1})), templates, qu.PHRASES, 42).localCheckpoint()
+    both = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda v: F.struct(
+        fl.question(F.get("shapes", v % 2), v, 42).alias("text"), fl.fill(F.get("shapes", v % 2), v, 42).alias("whole")))
+    made = rows.withColumn("shapes", fl.shaped(templates)).select("paper_id", F.explode(both).alias("b")).select("paper_id", "b.*").collect()
+    assert all(r["text"] == r["whole"]["question"] for r in made)
+    assert len({r["text"] for r in made if r["paper_id"] == "p1" and r["whole"]["template_ix"] == 0}) == 10
+    plan = qu.instantiate(qu.components(papers(spark, {"p1": 5})), templates)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[12]$") <= 6  # once in the radices, once in what is skipped, each by itself
