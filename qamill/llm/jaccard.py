@@ -11,7 +11,8 @@ Every cell has a pivot, and the exact distance to it is computed of each member
 of the shingle and a contracted sketch (whose distance never exceeds that of the sets) leave near
 it. Members within 0.2 are linked to the pivot; linked members of one component need no more comparison among
 themselves, and a cell all of whose members are in one component is done. The others are joined
-again with another pivot; what then is left is joined pair by pair within windows: sizes within
+again with another pivot, that of a frequent shingle with its most central member: the one with the
+fewest rarer shingles before the common one, since what makes a near copy unlike others is rare. What then is left is joined pair by pair within windows: sizes within
 0.8, enough shingles behind the common one, and distances to the same pivots that differ by at
 most 0.2 (triangle inequality). An exact comparison of the whole sets decides every link.
 """
@@ -368,10 +369,7 @@ def join(docs: DataFrame) -> DataFrame:
     own = lambda p, d: F.when(F.col("k") == F.col(p), 0.0).otherwise(F.col(d))
     active = _active(cells.drop("pn", "pi"), labels).join(far(known, "d1"), ["k", "p"], "left")
     active = active.withColumnRenamed("p", "p1").withColumn("d1", own("p1", "d1"))
-    # second pivot: the largest class of the cell that is still open
-    cell = W.partitionBy("t", F.when(F.col("hot"), F.pmod("k", F.lit(CELLS))).otherwise(0))
-    active = materialise(active.withColumn("q", F.max(F.struct("k", "n", "i")).over(cell)).select(
-        *active.columns, F.col("q.k").alias("p2"), F.col("q.n").alias("pn"), F.col("q.i").alias("pi")), "open-cells")
+    active = materialise(_second_pivots(active), "open-cells")
     if active.limit(1).count():
         more = active.where((F.col("k") != F.col("p2")) & allowed).select(F.col("k").alias("a"), F.col("p2").alias("b"))
         more = more.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
@@ -396,6 +394,19 @@ def join(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _second_pivots(rows: DataFrame) -> DataFrame:
+    """Rows of open cells with the second pivot ``p2``, and its size and place ``pn``, ``pi``.
+
+    The cell of a frequent shingle, whose parts had a pivot each, gets its most central member for
+    all parts; any other its largest class.
+    """
+    of = lambda q: F.struct(q["k"].alias("k"), q["n"].alias("n"), q["i"].alias("i"))
+    best = rows.groupBy(F.col("t").alias("_t")).agg(
+        F.when(F.max("hot"), of(F.min(F.struct("i", "k", "n")))).otherwise(of(F.max(F.struct("k", "n", "i")))).alias("q"))
+    return rows.join(best, F.col("t") == F.col("_t")).select(
+        *rows.columns, F.col("q.k").alias("p2"), F.col("q.n").alias("pn"), F.col("q.i").alias("pi"))
+
+
 def _active(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows, with labels, of the cells that still hold two components."""
     named = rows.join(labels, "k", "left").withColumn("label", F.coalesce("label", "k"))

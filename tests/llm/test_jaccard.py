@@ -116,6 +116,17 @@ def test_one_large_group_makes_no_pairs(spark):
     assert {r[2] for r in joined(df)} == {0}
 
 
+def test_near_copies_at_all_distances_leave_no_pairs_of_members(spark, monkeypatch):
+    """A large group around one text, most of them too unlike to be linked with each other, is settled by central pivots."""
+    rng = random.Random(11)
+    base = " ".join(f"x{i}" for i in range(150))
+    rows = [(i, edited(base, rng, i % 6)) for i in range(300)]
+    left, windows = [], jaccard._window_pairs
+    monkeypatch.setattr(jaccard, "_window_pairs", lambda cells: left.append(windows(cells).count()) or windows(cells))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert sum(left) < 300
+
+
 def test_sketches_never_exceed_the_sets_difference():
     rng = random.Random(6)
     for _ in range(50):
