@@ -1,13 +1,19 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
 Every word of trusted text is in the vocabulary of its language; only words that trusted text never
-has are unknown, and share what the discounts leave at the lowest order. All n-grams are kept. The
-model is one table sharded by n-gram: counts of trigrams, continuation counts, totals and weights of
-contexts, all from aggregations. Nothing of it but a row per language reaches the driver.
+has are unknown, and share what the discounts leave at the lowest order. All n-grams are kept. N-grams
+go by 64-bit hashes of their words; among a thousand million of them two meet with a chance of 3 %.
 
-Documents are dealt out in chunks. The different n-grams of each chunk are joined with the model,
-what is found goes back to the chunk, and the costs of its documents are added up there. N-grams go
-by 64-bit hashes of their words; among a thousand million of them two meet with a chance of 3 %.
+The model is a table of packed blocks (``qamill.llm.packed``), bucketed by shard: sorted keys with
+counts, continuation counts, and totals of contexts. A pair lies in the shard of its key, a trigram
+in that of its context. Trusted text is read twice, its trigrams dealt once by their context and once
+by the pair they end in, so each time one shard has all it must count together. Nothing of the model
+but discounts by language reaches the driver.
+
+Documents are scored in slices of chunks. A chunk sends each shard a block of the different keys it
+needs, gets the counts back in the same order, and adds up the costs of its texts. What a slice
+shuffles is gone when its costs are written, and the buckets of the model are read where they lie, so
+the disk that is taken is the model's and a slice's.
 
 A document's score is the mean cost of its words, drawn a little towards the trusted mean of its
 language so that a few words prove nothing. It is kept up to a quantile of the scores of the
@@ -17,51 +23,71 @@ trusted documents of its language that were not trained on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from qamill.llm.common import WORD, few
-from qamill.session import materialise
+from qamill.llm.packed import grouped, pack, sorted_by, unpack
+from qamill.session import BucketTable, materialise, releasing
 
 PRIOR = 25.0          # words at the trusted mean that every document is given
 QUANTILE = 0.99       # of the trusted scores of a language that is kept
 KEPT_BACK = 5         # one in so many trusted documents sets the levels and is not trained on
 SMALL_SIDE = 4 << 20  # rows of labels up to which they are broadcast (16 bytes each)
 CHUNK = 4_000_000     # characters of text whose n-grams are looked up together
+ROUNDS = 2            # parts of the shards that are counted one after the other
+SLICES = 16           # parts of the chunks, at most, that are scored one after the other
+AT_ONCE = 12          # chunks, at least, that are scored together
+WORD_SHARDS = 4       # shards whose words are added up together
 
 MOST_LANGS = 10_000   # language labels; more of them are an error in the table
 
 EDGE = 0              # before the first and after the last word
 SHAPES = 0            # classes of words outside the vocabulary: none are needed
 
+# kinds of rows of the model: n-grams by their order (blocks of keys, n, t, x1, x2, x3; trigrams have keys and
+# n only), parts that are dropped when added up, and counts of counts by order
+WORDS, PAIRS, TRIGRAMS, CONTEXTS, WORD_PARTS, COUNTS = 1, 2, 3, 4, 5, 10
+ROWS = "shard int, lang long, block binary, counts array<long>, kind int"
+
 
 def words(text: str | None) -> list[bytes]:
     """Split at ASCII white space."""
     return text.encode().split() if text else []
 
 
+def _numbers(distinct: list[bytes] | np.ndarray) -> np.ndarray:
+    return hash_array(np.array(distinct, dtype=object), categorize=False).view(np.int64)
+
+
 def number(word: bytes) -> int:
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+    return int(_numbers([word])[0])
 
 
 class Codes(dict):
-    """Number of every word, remembered for the first many words."""
+    """Number of every word."""
 
     def __init__(self, vocabulary: dict[str, int] | None = None):
         super().__init__({w.encode(): n for w, n in (vocabulary or {}).items()})
-        self.room = len(self) + 500_000
 
     def __missing__(self, word: bytes) -> int:
-        found = number(word)
-        if len(self) < self.room and len(word) < 64:
-            self[word] = found
-        return found
+        return number(word)
+
+    def of(self, found: pa.Array) -> np.ndarray:
+        """Numbers of many words."""
+        coded = found.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        numbers = _numbers(distinct) if len(distinct) else np.zeros(0, dtype=np.int64)
+        if self:
+            numbers = np.array([self.get(w.encode(), n) for w, n in zip(distinct, numbers.tolist())], dtype=np.int64)
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def _codes(text: str | None, codes: Codes) -> np.ndarray:
@@ -84,55 +110,106 @@ def _hashed(values: np.ndarray, seeds) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
+class Facts(NamedTuple):
+    """Of a language: the total of the lowest order, what its discounts leave per word, discounts by order and count."""
+
+    total: float
+    rest: float
+    cuts: np.ndarray
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of every unsigned key; it grows with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+class Asked(NamedTuple):
+    """Different keys of an order, shard by shard and sorted in a shard."""
+
+    keys: np.ndarray
+    starts: np.ndarray  # where each shard starts, and the end
+    first: np.ndarray   # a position where each key is
+    place: np.ndarray   # of every position: where its key is among the keys
+
+
 class Grams:
     """The n-grams of many texts: keys of orders 1 to 3 at every position, and where a trigram ends."""
 
     def __init__(self, langs: list[str], texts: list[str | None], codes: Codes):
-        parts = [_codes(text, codes) for text in texts]
-        sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        self.codes = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-        self.row = np.repeat(np.arange(len(parts)), sizes)
-        numbers = {lang: number(lang.encode()) for lang in set(langs)}
-        self.lang = np.array([numbers[lang] for lang in langs], dtype=np.int64)[self.row]
-        ends = np.ones(len(self.codes), dtype=bool)
+        split = pc.ascii_split_whitespace(pc.fill_null(pa.array(texts, pa.string()), ""))
+        found, of = split.flatten(), pc.list_parent_indices(split).to_numpy()
+        full = pc.not_equal(found, "")  # white space at an end leaves an empty word there
+        self.words = np.bincount(of[full.to_numpy(zero_copy_only=False)], minlength=len(split))
+        sizes = self.words + 3
+        self.row = np.repeat(np.arange(len(split)), sizes)
         first = np.cumsum(sizes) - sizes
-        ends[first] = ends[first + 1] = False
-        self.ends = np.nonzero(ends)[0]
-        self.words = sizes - 3
+        inner = np.ones(len(self.row), dtype=bool)
+        inner[first] = inner[first + 1] = inner[first + sizes - 1] = False
+        self.codes = np.full(len(self.row), EDGE, dtype=np.int64)
+        self.codes[inner] = codes.of(found.filter(full))
+        numbers = {lang: number(lang.encode()) for lang in set(langs)}
+        self.langs = np.array([numbers[lang] for lang in langs], dtype=np.int64)
+        self.lang = self.langs[self.row]
+        inner[first + sizes - 1] = True
+        self.ends = np.flatnonzero(inner)
+        inner[first + 1] = True
+        self.after = np.flatnonzero(inner)  # positions that the costs ask words and pairs of
         # a key that reaches over the start of a text is made but never asked for
-        self.one = _hashed(self.codes, _hashed(self.lang, 42))
+        self.one = _hashed(self.codes, _hashed(self.langs, 42)[self.row])
         self.two = _hashed(self.codes, np.roll(self.one, 1))
         self.three = _hashed(self.codes, np.roll(self.two, 1))
 
     def wanted(self) -> np.ndarray:
         """Different keys of all orders that the costs depend on."""
-        at = self.ends
-        return np.unique(np.concatenate([np.unique(k) for k in (
-            self.one[at], self.one[at - 1], self.two[at], self.two[at - 1], self.three[at])]))
-
-    def costs(self, keys, a, t, g, facts: dict[int, tuple[float, float]]) -> np.ndarray:
-        """Sum of -log p per text, from model rows in the order of their ``keys``; NaN without a model."""
-
-        def find(wanted, *columns):
-            if not len(keys):
-                return [np.zeros(len(wanted)) for _ in columns]
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            known = keys[at] == wanted
-            return [np.where(known, c[at], 0.0) for c in columns]
+        return np.concatenate([a.keys for a in self.asked(1)]).view(np.int64)
+
+    def asked(self, shards: int) -> list[Asked]:
+        """What the costs ask of orders 1 to 3."""
+        out = []
+        for order, at in ((1, self.after), (2, self.after), (3, self.ends)):
+            keys = (self.one, self.two, self.three)[order - 1][at].view(np.uint64)
+            ranked, new = sorted_by(keys)
+            first, place = at[ranked[new]], np.empty(len(self.codes), dtype=np.int64)
+            keys = keys[ranked[new]]
+            place[at[ranked]] = np.cumsum(new) - 1
+            home = shard_of(keys if order < 3 else self.two[first - 1].view(np.uint64), shards)
+            if order == 3:
+                ranked = np.argsort(home.astype(np.int32), kind="stable")
+                back = np.empty_like(ranked)
+                back[ranked] = np.arange(len(ranked))
+                keys, first, home, place[at] = keys[ranked], first[ranked], home[ranked], back[place[at]]
+            out.append(Asked(keys, np.searchsorted(home, np.arange(shards + 1)), first, place))
+        return out
 
-        def lower(gram, total, weight, p):
-            seen = total > 0
-            return np.where(seen, gram / np.where(seen, total, 1.0) + weight * p, p)
+    def costs(self, asked: list[Asked], known: list[list[np.ndarray]], facts: dict[int, Facts]) -> np.ndarray:
+        """Sum of -log p per text, from (n, t, x1, x2, x3) of what is asked; NaN without a model.
 
+        The discounted count of an n-gram, the total of a context and its weight for the lower order
+        are rounded to 32 bits.
+        """
         at = self.ends
-        out = np.zeros(len(self.words))
-        langs, which = np.unique(self.lang[at], return_inverse=True)
-        total, rest = np.array([facts.get(int(x), (np.nan, np.nan)) for x in langs]).reshape(-1, 2)[which].T
-        p = find(self.one[at], a)[0] / total + rest
-        p = lower(*find(self.two[at], a), *find(self.one[at - 1], t, g), p)
-        p = lower(*find(self.three[at], a), *find(self.two[at - 1], t, g), p)
-        np.add.at(out, self.row[at], -np.log(p))
-        return out
+        langs, which = np.unique(self.langs, return_inverse=True)
+        none = Facts(np.nan, np.nan, np.full((3, 4), np.nan))
+        facts_of = [facts.get(int(x), none) for x in langs]
+        cuts = np.array([f.cuts for f in facts_of]).reshape(-1, 3, 4)
+        narrow = lambda x: x.astype(np.float32).astype(np.float64)
+
+        def cut(order):
+            n, own = known[order - 1][0], which[self.row[asked[order - 1].first]]
+            return narrow(n - cuts[own, order - 1, np.minimum(n, 3)])[asked[order - 1].place[at]]
+
+        def lower(order, p):
+            context = asked[order - 2]
+            _, t, *x = known[order - 2]
+            d = cuts[which[self.row[context.first]], order - 1]
+            total = np.where(t > 0, t, 1)
+            weight = narrow((x[0] * d[:, 1] + x[1] * d[:, 2] + x[2] * d[:, 3]) / total)
+            place = context.place[at - 1]
+            return np.where((t > 0)[place], cut(order) / narrow(total)[place] + weight[place] * p, p)
+
+        total, rest = (np.array([f[i] for f in facts_of])[which][self.row[at]] for i in (0, 1))
+        p = lower(3, lower(2, cut(1) / total + rest))
+        return np.bincount(self.row[at], -np.log(p), len(self.words))
 
 
 # What is broadcast by language has one row per language label.
@@ -150,9 +227,12 @@ def _trusted(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
-def _count_trigrams(trusted: DataFrame) -> DataFrame:
-    """(l, a, b, c, n) with the numbers of language and words, counted in every task before the shuffle."""
-    names = ["l", "a", "b", "c", "n"]
+def _trigram_blocks(trusted: DataFrame, shards: int, by_end: bool, turn: int, rounds: int) -> DataFrame:
+    """(shard, lang, block): the different trigrams of many texts of a language and their counts, in every task.
+
+    The shard is that of the context or, ``by_end``, of the pair that a trigram ends in. A block has the
+    words it is about and the places of the three words among them. Of ``rounds`` turns each has other shards.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, langs, texts, size = Codes(), [], [], 0
@@ -160,10 +240,24 @@ def _count_trigrams(trusted: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             grams = Grams(langs, texts, codes)
             at = grams.ends
-            _, first, n = np.unique(grams.three[at], return_index=True, return_counts=True)
-            at = at[first]
-            columns = [grams.lang[at], grams.codes[at - 2], grams.codes[at - 1], grams.codes[at], n]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            home = shard_of(grams.two[at if by_end else at - 1].view(np.uint64), shards)
+            at, home = at[home % rounds == turn], home[home % rounds == turn]
+            ranked, new = sorted_by(grams.three[at])
+            n = np.diff(np.flatnonzero(new), append=len(at))
+            at, home = at[ranked[new]], home[ranked[new]]
+            distinct, ids = np.unique(grams.codes.view(np.uint64), return_inverse=True)
+            block = np.unique(grams.langs, return_inverse=True)[1][grams.row[at]] * shards + home
+            order = np.lexsort((ids[at - 1], ids[at - 2], block))
+            at, n, home, block = at[order], n[order], home[order], block[order]
+            cuts = np.flatnonzero(np.diff(block, prepend=-1))
+            blocks = []
+            for x, y in zip(cuts, [*cuts[1:], len(at)]):
+                words_, places = np.unique(np.concatenate([ids[at[x:y] - i] for i in (2, 1, 0)]), return_inverse=True)
+                a, b, c = places.reshape(3, -1)
+                blocks.append(pack(distinct[words_], np.diff(a, prepend=0), b, c, n[x:y]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(home[cuts], pa.int32()), pa.array(grams.lang[at[cuts]], pa.int64()), pa.array(blocks, pa.binary())],
+                names=["shard", "lang", "block"])
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
@@ -176,59 +270,171 @@ def _count_trigrams(trusted: DataFrame) -> DataFrame:
         if langs:
             yield out()
 
-    found = trusted.select("lang", "text").mapInArrow(count, ", ".join(f"{c} long" for c in names))
-    return found.groupBy(*names[:4]).agg(F.sum("n").alias("n"))
-
+    return trusted.select("lang", "text").mapInArrow(count, "shard int, lang long, block binary")
 
-def _discounts(counts: DataFrame, order: int) -> DataFrame:
-    """l and three discounts from the counts of counts ``n`` of the language.
 
-    Where these are too few to tell, one half.
-    """
-    of = lambda k: F.sum(F.when(F.col("n") == k, 1.0).otherwise(0.0))
-    found = counts.groupBy("l").agg(*[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    fine = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    d = lambda k: F.when(fine, F.greatest(F.lit(0.1), F.least(
-        F.lit(float(k)), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(0.5)
-    return found.select("l", *[d(k).alias(f"d{order}{k}") for k in (1, 2, 3)])
+def _trigrams(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the blocks of a shard: languages, words (a, b, c) and counts, not yet added up."""
+    langs, codes, counts = [], [], []
+    for lang, block in zip(rows["lang"].to_pylist(), rows["block"].to_pylist()):
+        words_, a, b, c, n = unpack(block)
+        codes.append(words_[np.stack([np.cumsum(a), b, c])].view(np.int64))
+        langs.append(np.full(len(n), lang, dtype=np.int64))
+        counts.append(n)
+    return np.concatenate(langs), np.concatenate(codes, axis=1), np.concatenate(counts)
 
 
-def _cut(order: int) -> Column:
-    """The discount of a count ``n``."""
-    d = lambda k: F.col(f"d{order}{k}")
-    return F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d(1)).when(F.col("n") == 2, d(2)).otherwise(d(3))
+def _as_context(n: np.ndarray) -> list[np.ndarray]:
+    """Total and numbers of n-grams by count, of the contexts of n-grams found ``n`` times."""
+    return [n, *[x.astype(np.int64) for x in (n == 1, n == 2, n > 2)]]
 
 
-def _as_context(n: Column) -> list[Column]:
-    """Total and numbers of n-grams by count, of the context of an n-gram found ``n`` times."""
-    return [n.alias("t"), *[F.when(x, 1).otherwise(0).cast("long").alias(f"x{k}") for k, x in (
-        (1, n == 1), (2, n == 2), (3, n > 2))]]
+def _rows(found: list[tuple]) -> pa.Table:
+    """Rows (shard, lang, block, counts, kind) of the model."""
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32())
+    return pa.table([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)],
+                    names=["shard", "lang", "block", "counts", "kind"])
 
 
-def _levels(rows: DataFrame, context: list[str], gram: list[str], names: list[str], n: Column) -> DataFrame:
-    """The lower order: every row adds to its context, and counts one for the gram it continues."""
-    zero = F.lit(0).cast("long")
-    keys = lambda columns: [F.col(c).alias(k) for c, k in zip(columns, names)]
-    both = F.array(F.struct(*keys(context), zero.alias("n"), *_as_context(n)),
-                   F.struct(*keys(gram), F.lit(1).cast("long").alias("n"), *_as_context(zero)))
-    spread = rows.select("l", F.explode(both).alias("r")).select("l", "r.*")
-    return spread.groupBy("l", *names).agg(*[F.sum(c).alias(c) for c in ("n", "t", "x1", "x2", "x3")])
+def _counts(shard: int, order: int, lang: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """Of every language how many n-grams were found 1, 2, 3 and 4 times, how many at all, and the sum."""
+    out = []
+    for x in np.unique(lang[n > 0]):
+        own = n[(lang == x) & (n > 0)]
+        out.append((shard, int(x), None, [*[int((own == k).sum()) for k in (1, 2, 3, 4)], len(own), int(own.sum())],
+                    COUNTS + order))
+    return out
 
 
-class Model:
-    """Model rows (key, a, t, g) as a table; per language (total, rest) of the lowest order.
+def _count_trigrams(rows: pa.Table) -> pa.Table:
+    """A shard that has all trigrams of its contexts: trigrams, contexts, counts of counts."""
+    shard = rows["shard"][0].as_py()
+    lang, (a, b, c), n = _trigrams(rows)
+    pair = _hashed(b, _hashed(a, _hashed(lang, 42)))
+    keys, first, (n,) = grouped(_hashed(c, pair).view(np.uint64), n)
+    contexts, _, sums = grouped(pair[first].view(np.uint64), *_as_context(n))
+    return _rows([(shard, None, pack(keys, n), None, TRIGRAMS), (shard, None, pack(contexts, *sums), None, CONTEXTS),
+                  *_counts(shard, 3, lang[first], n)])
+
+
+def _count_pairs(shards: int, rows: pa.Table, contexts: pa.Table) -> pa.Table:
+    """A shard that has all trigrams that end in its pairs, and its contexts: pairs, counts of counts, parts of words."""
+    found, keys, table = [], np.zeros(0, dtype=np.uint64), np.zeros((5, 0), dtype=np.int64)
+    shard = (rows if rows.num_rows else contexts)["shard"][0].as_py()
+    if rows.num_rows:
+        lang, (a, b, c), _ = _trigrams(rows)
+        base = _hashed(lang, 42)
+        _, first, _ = grouped(_hashed(c, _hashed(b, _hashed(a, base))))  # a trigram counts once
+        b, c, lang, base = b[first], c[first], lang[first], base[first]
+        one = _hashed(b, base)
+        keys, first, (n,) = grouped(_hashed(c, one).view(np.uint64), np.ones(len(first), dtype=np.int64))
+        lang = lang[first]
+        found += _counts(shard, 2, lang, n)
+        zero, ones = np.zeros(len(n), dtype=np.int64), np.ones(len(n), dtype=np.int64)
+        parts = zip((zero, *_as_context(n)), (ones, zero, zero, zero, zero))
+        words_, at, sums = grouped(np.concatenate([one[first], _hashed(c[first], base[first])]).view(np.uint64),
+                                   *[np.concatenate(p) for p in parts])
+        lang = np.concatenate([lang, lang])[at]
+        home = shard_of(words_, shards) // WORD_SHARDS * WORD_SHARDS
+        cuts = np.flatnonzero(np.diff(home, prepend=-1))
+        for x, y in zip(cuts, [*cuts[1:], len(home)]):
+            langs, place = np.unique(lang[x:y].view(np.uint64), return_inverse=True)
+            found.append((int(home[x]), None, pack(words_[x:y], *[s[x:y] for s in sums], langs, place), None, WORD_PARTS))
+        table = np.stack([n, zero, zero, zero, zero])
+    if contexts.num_rows:
+        more, *sums = unpack(contexts["block"][0].as_py())
+        keys = np.concatenate([keys, more])
+        keys, _, sums = grouped(keys, *np.concatenate([table, [np.zeros(len(more), dtype=np.int64), *sums]], axis=1))
+        table = np.stack(sums)
+    return _rows([*found, (shard, None, pack(keys, *table), None, PAIRS)])
+
+
+def _count_words(shards: int, rows: pa.Table) -> pa.Table:
+    """The parts of words of a few shards: words, counts of counts."""
+    found, langs = [], []
+    for block in rows["block"].to_pylist():
+        *part, names, place = unpack(block)
+        found.append(part)
+        langs.append(names.view(np.int64)[place])
+    keys, *sums = (np.concatenate(p) for p in zip(*found))
+    keys, first, sums = grouped(keys, *sums)
+    home = shard_of(keys, shards)
+    cuts = np.flatnonzero(np.diff(home, prepend=-1))
+    return _rows([*_counts(rows["shard"][0].as_py(), 1, np.concatenate(langs)[first], sums[0]),
+                  *[(int(home[x]), None, pack(keys[x:y], *[s[x:y] for s in sums]), None, WORDS)
+                    for x, y in zip(cuts, [*cuts[1:], len(home)])]])
+
+
+def _discounts(counts: list[int]) -> list[float]:
+    """Discounts of an n-gram not found, found once, twice and more often, from the counts of counts 1 to 4.
 
-    ``a`` is the discounted count of an n-gram, ``t`` and ``g`` the total of a context and its weight
-    for the lower order.
+    Where these are too few to tell, one half.
     """
+    n1, n2, n3, _ = counts
+    if not (n1 and n2 and n3):
+        return [0.0, 0.5, 0.5, 0.5]
+    y = n1 / (n1 + 2 * n2)
+    return [0.0, *[max(0.1, min(float(k), k - (k + 1) * y * counts[k] / counts[k - 1])) for k in (1, 2, 3)]]
+
+
+def _facts(model: BucketTable) -> dict[int, Facts]:
+    sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(6)]
+    rows = few(model.read().where(f"kind > {COUNTS}").groupBy("lang", "kind").agg(*sums), 3 * MOST_LANGS)
+    found = {(r["lang"], r["kind"] - COUNTS): [r[f"c{i}"] for i in range(6)] for r in rows}
+    out = {}
+    for lang in {lang for lang, _ in found}:
+        cuts = np.array([_discounts(found[lang, order][:4]) for order in (1, 2, 3)])
+        one, two, _, _, types, total = found[lang, 1]
+        held = one * cuts[0, 1] + two * cuts[0, 2] + (types - one - two) * cuts[0, 3]
+        out[lang] = Facts(float(total), held / total / (types + 1), cuts)
+    return out
+
+
+def _block(rows: pa.Table, kind: int, width: int) -> list[np.ndarray]:
+    """Sorted keys of a kind in the rows of a shard, and ``width`` columns for them."""
+    for found, block in zip(rows["kind"].to_pylist(), rows["block"].to_pylist()):
+        if found == kind:
+            return unpack(block)
+    return [np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * width]
+
+
+def _found(wanted: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Values of sorted ``keys`` for those wanted; 0 where there are none."""
+    if not len(keys):
+        return [np.zeros(len(wanted), dtype=np.int64) for _ in values]
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    same = keys[place] == wanted
+    return [np.where(same, v[place], 0) for v in values]
+
+
+class Model:
+    """Bucketed blocks of n-grams with their counts, and facts of every language."""
 
     rare: dict[str, float] = {}
 
-    def __init__(self, table: DataFrame, facts: dict[int, tuple[float, float]], trusted: DataFrame):
-        self.table, self.facts, self.trusted = table, facts, trusted
+    def __init__(self, blocks: BucketTable, facts: dict[int, Facts], trusted: DataFrame):
+        self.blocks, self.facts, self.trusted = blocks, facts, trusted
         self._local = None
 
+    @property
+    def grams(self) -> DataFrame:
+        """The blocks of n-grams."""
+        return self.blocks.read().where(F.col("kind").isin(WORDS, PAIRS, TRIGRAMS)).select("shard", "kind", "block")
+
+    @property
+    def table(self) -> DataFrame:
+        """Every n-gram: key, n, and as a context total and numbers of n-grams found once, twice and more often."""
+        names = ["key", "n", "t", "x1", "x2", "x3"]
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in batch["block"].to_pylist():
+                    keys, *found = unpack(block)
+                    found += [np.zeros(len(keys), dtype=np.int64)] * (5 - len(found))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.view(np.int64), *found)], names=names)
+
+        return self.grams.select("block").mapInArrow(rows, ", ".join(f"{c} long" for c in names))
+
     @property
     def vocabulary(self) -> dict[str, dict[str, int]]:
         """Words by language with their numbers, read to the driver: for small models only."""
@@ -243,68 +449,128 @@ class Model:
         if int(grams.lang[0]) not in self.facts:
             return None
         if self._local is None:
-            found = self.table.orderBy("key").toArrow()
-            self._local = [found[c].to_numpy() for c in ("key", "a", "t", "g")]
-        return float(grams.costs(*self._local, self.facts)[0]), int(grams.words[0])
+            found = self.table.toArrow()
+            keys = found["key"].to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            self._local = [keys[order], *[found[c].to_numpy()[order] for c in found.column_names[1:]]]
+        asked = grams.asked(1)
+        return float(grams.costs(asked, [_found(a.keys, *self._local) for a in asked], self.facts)[0]), int(grams.words[0])
+
+    def drop(self) -> None:
+        self.blocks.drop()
 
 
 def train(trusted: DataFrame) -> Model:
     """A model of trusted (lang, text) rows; languages are never mixed."""
-    tri = materialise(_count_trigrams(trusted), "trigrams")
-    pairs = materialise(_levels(tri, ["a", "b"], ["b", "c"], ["h", "w"], F.col("n")), "bigrams")
-    ones = materialise(_levels(pairs.where("n > 0"), ["h"], ["w"], ["w"], F.col("n")), "words")
-    with_ = lambda rows, *found: rows if not found else with_(rows.join(F.broadcast(found[0]), "l"), *found[1:])
-    d3, d2, d1 = _discounts(tri, 3), _discounts(pairs, 2), _discounts(ones, 1)
-    nothing = F.lit(0.0)
-    held = lambda k: F.when(F.col("t") > 0, sum((F.col(f"x{i}") * F.col(f"d{k}{i}") for i in (1, 2, 3)), nothing) / F.col("t")).otherwise(nothing)
-    row = lambda rows, keys, k, t, g: rows.select(
-        F.xxhash64("l", *keys).alias("key"), (F.col("n") - _cut(k)).cast("float").alias("a"),
-        t.cast("float").alias("t"), g.cast("float").alias("g"))
-    table = row(with_(tri, d3), ["a", "b", "c"], 3, nothing, nothing).unionByName(
-        row(with_(pairs, d2, d3), ["h", "w"], 2, F.col("t"), held(3))).unionByName(
-        row(with_(ones, d1, d2), ["w"], 1, F.col("t"), held(2)))
-    base = with_(ones.where("n > 0"), d1).groupBy("l").agg(
-        F.sum("n").cast("double").alias("total"), F.sum(_cut(1)).alias("held"), F.count(F.lit(1)).alias("types"))
-    facts = {r["l"]: (r["total"], r["held"] / r["total"] / (r["types"] + 1)) for r in few(base, MOST_LANGS)}
-    return Model(materialise(table, "ngrams"), facts, trusted)
+    spark = trusted.sparkSession
+    total = trusted.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1 + total // CHUNK, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    model = BucketTable(spark, "ngrams", "shard", shards, "kind")
+    blocks = lambda by_end, turn: _trigram_blocks(trusted, shards, by_end, turn, ROUNDS).groupBy("shard")
+    # the functions that go to the tasks must not hold the session
+    pairs, words_ = (lambda rows, contexts: _count_pairs(shards, rows, contexts)), (lambda rows: _count_words(shards, rows))
+    with releasing(spark):
+        for turn in range(ROUNDS):
+            model.add(blocks(False, turn).applyInArrow(_count_trigrams, ROWS))
+        for turn in range(ROUNDS):
+            contexts = model.read().where((F.col("kind") == CONTEXTS) & (F.col("shard") % ROUNDS == turn)).groupBy("shard")
+            model.add(blocks(True, turn).cogroup(contexts).applyInArrow(pairs, ROWS))
+        model.remove(CONTEXTS)
+        model.add(model.read().where(f"kind = {WORD_PARTS}").groupBy("shard").applyInArrow(words_, ROWS))
+        model.remove(WORD_PARTS)
+        return Model(model, _facts(model), trusted)
+
+
+def _ask(shards: int, rows: pa.Table) -> pa.Table:
+    """A chunk: for every shard the keys it is asked for."""
+    asked = _grams_of(rows)[0].asked(shards)
+    found = [(shard, pack(*[a.keys[a.starts[shard]:a.starts[shard + 1]] for a in asked])) for shard in range(shards)
+             if any(a.starts[shard] < a.starts[shard + 1] for a in asked)]
+    return pa.table({"chunk": pa.array(np.full(len(found), rows["chunk"][0].as_py()), pa.int64()),
+                     "shard": pa.array([s for s, _ in found], pa.int32()), "block": pa.array([b for _, b in found], pa.binary())})
+
+
+def _answer(rows: pa.Table, model: pa.Table) -> pa.Table:
+    """A shard: the counts of the keys it is asked for, in their order; nothing where it has none of them."""
+    known = [_block(model, WORDS, 5), _block(model, PAIRS, 5), _block(model, TRIGRAMS, 1)]
+    found = [pack(*[v for wanted, own in zip(unpack(block), known) for v in _found(wanted, *own)])
+             for block in rows["block"].to_pylist()]
+    return pa.table({"chunk": rows["chunk"], "shard": rows["shard"], "block": pa.array(found, pa.binary())})
+
+
+def _grams_of(rows: pa.Table) -> tuple[Grams, np.ndarray]:
+    """The n-grams of the different texts of a chunk, and where these are."""
+    _, first = np.unique(rows["key"].to_numpy(), return_index=True)
+    some = rows.take(pa.array(first))
+    return Grams(some["lang"].to_pylist(), some["text"].to_pylist(), Codes()), first
+
+
+def _add_up(shards: int, facts: dict[int, Facts], rows: pa.Table, found: pa.Table) -> pa.Table:
+    """A chunk: costs of its different texts from the answers."""
+    if not rows.num_rows:
+        return pa.table({"key": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "cost": pa.array([], pa.float64())})
+    grams, first = _grams_of(rows)
+    asked = grams.asked(shards)
+    known = [[np.zeros(len(a.keys), dtype=np.int64) for _ in range(width)] for a, width in zip(asked, (5, 5, 1))]
+    for shard, block in zip(found["shard"].to_pylist(), found["block"].to_pylist()):
+        columns = iter(unpack(block))
+        for a, values in zip(asked, known):
+            for v in values:
+                v[a.starts[shard]:a.starts[shard + 1]] = next(columns)
+    cost = grams.costs(asked, known, facts)
+    return pa.table({"key": rows["key"].take(pa.array(first)), "n": pa.array(grams.words, pa.int64()),
+                     "cost": pa.array(cost, pa.float64(), mask=np.isnan(cost))})
+
+
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def _key(text: str) -> Column:
+    """What texts of a language go by; null is the empty text."""
+    return F.xxhash64("lang", _text(text))
+
+
+def _text_costs(texts: DataFrame, model: Model) -> DataFrame:
+    """(key, n, cost) of the different ``texts`` (key, lang, text, draw), written.
+
+    ``cost`` is null for a language without trusted text. Chunks are drawn by ``draw``, the hash of id and text,
+    so equal texts under different ids are spread; only rows that repeat both meet in one chunk.
+    """
+    spark, shards, facts = texts.sparkSession, model.blocks.buckets, model.facts
+    chunks = 1 + (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK
+    slices = max(1, min(SLICES, chunks // AT_ONCE))
+    tasks = max(chunks // slices, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = texts.select(F.pmod("draw", F.lit(chunks)).alias("chunk"), "key", "lang", "text")
+    ask = lambda rows: _ask(shards, rows)
+    add_up = lambda rows, found: _add_up(shards, facts, rows, found)
+    out = []
+    with releasing(spark):
+        for i in range(slices):
+            dealt = rows.where(F.col("chunk") % slices == i).repartition(tasks, "chunk")
+            asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, shard int, block binary")
+            found = asked.groupBy("shard").cogroup(model.grams.groupBy("shard")).applyInArrow(
+                _answer, "chunk long, shard int, block binary")
+            out.append(materialise(dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
+                add_up, "key long, n long, cost double"), "costs"))
+        return materialise(reduce(DataFrame.unionByName, out).groupBy("key").agg(
+            F.min("n").alias("n"), F.min("cost").alias("cost")), "text-costs")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (``doc``, a struct with ``text``, and ``lang``) plus ``n`` words and their ``cost``.
 
-    ``cost`` is null for a language without trusted text. Chunks are drawn by id and text, so equal
-    texts under different ids are spread; only rows that repeat both meet in one chunk.
+    ``cost`` is null for a language without trusted text.
     """
-    facts, names = model.facts, docs.columns
-    text = F.col("doc.text").cast("string")
-    total = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    chunks = 1 + total // CHUNK
-    tasks = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    draw = F.pmod(F.xxhash64(F.col("doc.doc_id").cast("string"), text), F.lit(chunks)).alias("chunk")
-    dealt = docs.select(draw, *names).repartition(tasks, "chunk")
-
-    def grams_of(rows: pa.Table) -> Grams:
-        texts = pc.struct_field(rows["doc"].combine_chunks(), "text").cast(pa.string()).to_pylist()
-        return Grams(rows["lang"].to_pylist(), texts, Codes())
-
-    def wanted(rows: pa.Table) -> pa.Table:
-        keys = grams_of(rows).wanted()
-        return pa.table({"chunk": pa.array(np.full(len(keys), rows["chunk"][0].as_py()), pa.int64()), "key": keys})
-
-    def costs(rows: pa.Table, found: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({f.name: pa.array([], f.type) for f in rows.schema if f.name != "chunk"} | {
-                "n": pa.array([], pa.int64()), "cost": pa.array([], pa.float64())})
-        grams = grams_of(rows)
-        order = np.argsort(found["key"].to_numpy())
-        cost = grams.costs(*[found[c].to_numpy()[order] for c in ("key", "a", "t", "g")], facts)
-        return rows.drop_columns("chunk").append_column("n", pa.array(grams.words, pa.int64())).append_column(
-            "cost", pa.array(cost, pa.float64(), mask=np.isnan(cost)))
-
-    asked = dealt.groupBy("chunk").applyInArrow(wanted, "chunk long, key long")
-    found = asked.join(model.table, "key").select("chunk", "key", "a", "t", "g")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n", T.LongType()), T.StructField("cost", T.DoubleType())])
-    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(costs, schema)
+    costs = _text_costs(docs.select(_key("doc.text").alias("key"), "lang", _text("doc.text").alias("text"),
+                                    _draw("doc.doc_id", "doc.text")), model)
+    name = "_text_key"
+    return docs.withColumn(name, _key("doc.text")).join(costs.withColumnRenamed("key", name), name, "left").select(
+        *docs.columns, "n", "cost")
+
+
+def _draw(doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string")).alias("draw")
 
 
 def _by_lang(values: dict[str, float]) -> Column:
@@ -318,23 +584,27 @@ def _drawn(mean: Column) -> Column:
     return (F.col("cost") + PRIOR * mean) / (F.col("n") + PRIOR)
 
 
-def _decide(docs: DataFrame, trusted_ids: DataFrame, quantile: float) -> DataFrame:
-    """(doc, lang, n, score, level, keep); ``doc`` is the struct of all columns of the row."""
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), language(F.col("lang")).alias("lang"))
+def _decide(docs: DataFrame, trusted_ids: DataFrame, quantile: float, columns: list[str]) -> DataFrame:
+    """(doc, lang, n, score, level, keep); ``doc`` is the struct of ``columns`` of the row."""
     some = lambda text: F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
-    trusted = _trusted(docs.select("doc_id", language(F.col("lang")).alias("lang"),
-                                   F.col("text").cast("string").alias("text")), trusted_ids).where(some("text"))
+    plain = docs.select(F.struct(*columns).alias("doc"), "doc_id", language(F.col("lang")).alias("lang"),
+                        F.col("text").cast("string").alias("text"))
+    rows = plain.select("doc", "lang", _key("text").alias("key"), some("text").alias("spoken"))
+    trusted = _trusted(plain.drop("doc"), trusted_ids).where(some("text"))
     # scores of texts that the model has seen are too low; levels come from those kept back
     back = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(9)), F.lit(KEPT_BACK)) == 0
     model = train(trusted.where(~back))
-    held = trusted.where(back).select(F.struct("doc_id", "text").alias("doc"), "lang")
-    costs = materialise(score(held, model).where("cost IS NOT NULL").select("lang", "n", "cost"), "trusted-costs")
+    found = _text_costs(plain.select(_key("text").alias("key"), "lang", _text("text").alias("text"),
+                                     _draw("doc_id", "text")), model)
+    model.drop()
+    held = trusted.where(back).select(_key("text").alias("key"), "lang").join(found, "key")
+    costs = materialise(held.where("cost IS NOT NULL").select("lang", "n", "cost"), "trusted-costs")
     mean = _by_lang({r["lang"]: r["m"] for r in few(costs.groupBy("lang").agg(
         (F.sum("cost") / F.sum("n")).alias("m")), MOST_LANGS)})
     level = _by_lang({r["lang"]: r["q"] for r in few(costs.groupBy("lang").agg(
         F.percentile_approx(_drawn(mean), quantile, 10000).alias("q")), MOST_LANGS)})
-    scored = score(rows, model).withColumn("score", _drawn(mean))
-    keep = some("doc.text") & F.coalesce(F.col("score") <= level, F.lit(True))
+    scored = rows.join(found, "key", "left").withColumn("score", _drawn(mean))
+    keep = F.col("spoken") & F.coalesce(F.col("score") <= level, F.lit(True))
     return scored.select("doc", "lang", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "score",
                          level.alias("level"), keep.alias("keep"))
 
@@ -347,11 +617,11 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -
     language without trusted text have no perplexity and are kept. Equal rows get equal results;
     other columns are ignored.
     """
-    return _decide(docs.select("doc_id", "lang", "text"), trusted_ids, quantile).select(
+    return _decide(docs.select("doc_id", "lang", "text"), trusted_ids, quantile, ["doc_id"]).select(
         F.col("doc.doc_id").alias("doc_id"), "lang", F.col("n").alias("n_words"),
         F.exp("score").alias("perplexity"), F.exp("level").alias("threshold"), "keep")
 
 
 def keep_good(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    return _decide(docs, trusted_ids, quantile).where("keep").select("doc.*")
+    return _decide(docs, trusted_ids, quantile, docs.columns).where("keep").select("doc.*")
