@@ -1,9 +1,9 @@
 """Vectors in blocks: an index in pieces of bounded size, and queries in blocks that meet them all.
 
 A stated set of queries against all rows is inherently a product; here it is one of blocks. The
-pieces of the index are spread over ``lanes``; query blocks go to every lane, and both meet by an
-equi-join on (lane, query block), so that no side is broadcast and no task holds more than one
-piece and one block at a time.
+pieces of the index are spread over lanes, one task each, and moved once; query blocks go to every
+lane. There is no join, so no side can be taken for small and broadcast: a task holds the pieces of
+its lane, whose bytes are bounded, and reads the query blocks one by one.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 INDEX_ROWS = 4096   # rows of an index piece
 QUERY_ROWS = 1024   # rows of a query block
+LANES = 64          # tasks that an index is worth, if it has as many pieces
+HELD = 64 << 20     # bytes of the pieces of a lane
 
 BLOCK = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()),
@@ -87,30 +89,38 @@ def pack(
     return rows.select(*columns).repartition(parts).mapInArrow(run, BLOCK)
 
 
+def n_lanes(parts: int, piece: int) -> int:
+    """Lanes of an index of ``parts`` pieces of ``piece`` bytes; a lane holds HELD bytes at most, or one piece."""
+    return min(parts, max(LANES, math.ceil(parts / max(1, HELD // piece))))
+
+
 def meet(
-    index: DataFrame, queries: DataFrame, lanes: int, query_parts: int,
+    index: DataFrame, queries: DataFrame, lanes: int,
     search: Callable[[dict, dict], dict[str, np.ndarray]], schema: T.StructType,
 ) -> DataFrame:
     """``search(index block, query block)`` for every pair of blocks, as rows of ``schema``."""
-    left = index.select(
-        (F.col("part") % lanes).alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("qpart"),
-        F.struct("n", "ids", "data", "extra").alias("index"))
-    right = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.col("part").alias("qpart"),
-        F.struct("n", "ids", "data", "extra").alias("query"))
-    pairs = left.join(right, ["lane", "qpart"]).select("index", "query")
+    names = ["n", "ids", "data", "extra"]
+    held = index.select((F.col("part") % lanes).alias("lane"), F.lit(False).alias("asks"), *names)
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(True).alias("asks"), *names)
+    met = held.unionByName(asked).repartitionById(lanes, F.col("lane")).sortWithinPartitions("asks")
     arrow = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}[
         f.dataType.simpleString()]) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[dict] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1).to_pylist()[0]
-                found = search(one["index"], one["query"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[f.name], type=f.type) for f in arrow], schema=arrow)
-
-    return pairs.mapInArrow(run, schema)
+                if not one["asks"]:
+                    pieces.append(one)
+                    continue
+                for piece in pieces:
+                    found = search(piece, one)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return met.select("asks", *names).mapInArrow(run, schema)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

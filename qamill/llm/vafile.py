@@ -62,6 +62,7 @@ def exact_top_k(
     marks = np.unique(np.concatenate([marks[:1], marks[1:][np.arange(len(marks) - 1) < CELLS - 1]]))
     low, high = marks, np.append(marks[1:], top)
     index_parts, query_parts = blocks.n_parts(sizes["n"], index_rows), blocks.n_parts(sizes["q"], query_rows)
+    lanes = blocks.n_lanes(index_parts, index_rows * width * 9)
 
     def cells_of(ids, matrix, _):
         cells = (np.searchsorted(marks, matrix, side="right") - 1).astype(np.uint8)
@@ -87,7 +88,7 @@ def exact_top_k(
 
     first = blocks.meet(index.drop("extra").withColumn("extra", F.lit(b"")),
                         blocks.pack(asked, query_parts, query_rows, width, plain),
-                        index_parts, query_parts, floors, FLOOR)
+                        lanes, floors, FLOOR)
     order = W.partitionBy("query_id").orderBy(F.col("bound").desc())
     kth = first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
     # fewer than k candidates anywhere: everything must be read
@@ -121,7 +122,7 @@ def exact_top_k(
         return {"query_id": join(out_q), "vec_id": join(out_v), "score": join(out_s)}
 
     second = blocks.meet(index, blocks.pack(asked, query_parts, query_rows, width, plain, aux="floor"),
-                         index_parts, query_parts, exact, FOUND)
+                         lanes, exact, FOUND)
     return blocks.best(second, k)
 
 

@@ -199,4 +199,4 @@ def nearest(
     index = blocks.pack(rows, shards, index_rows, width, index_shard)
     asked = blocks.pack(rows.where(blocks.every(F.col("id"), step)), query_parts, query_rows, width,
                         lambda ids, matrix, _: (matrix.tobytes(), b""))
-    return blocks.best(blocks.meet(index, asked, shards, query_parts, one, FOUND), k)
+    return blocks.best(blocks.meet(index, asked, blocks.n_lanes(shards, index_rows * width * 9), one, FOUND), k)
