@@ -387,10 +387,11 @@ def join(docs: DataFrame) -> DataFrame:
     named = sets.join(labels, F.col("k") == F.col("_k"), "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "k")).alias("c"))
     least = named.where("c IS NOT NULL").groupBy(F.col("c").alias("_c")).agg(F.min("doc_id").alias("component"))
-    # documents meet their component by its key; equal texts make that key hot, so it is salted
+    # documents meet their component by its key; equal texts make that key hot, so it is salted. Spark
+    # sizes the components as they were before their copies, so the join must not be left to it
     salted = named.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int"))
     spread = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-    return salted.join(spread, (F.col("c") == F.col("_c")) & (salted["_s"] == spread["_s"]), "left").select(
+    return salted.join(spread.hint("merge"), (F.col("c") == F.col("_c")) & (salted["_s"] == spread["_s"]), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -141,3 +141,12 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000)]
     got = {r["k"]: r["label"] for r in rows_of(components(spark.createDataFrame(links, "a long, b long")))}
     assert got == {**{i: 1 for i in range(1, 41)}, **{1000 + i: 1000 for i in range(200)}}
+
+
+def test_copies_of_components_are_not_broadcast(spark):
+    """Every component stands in CELLS copies, which Spark sizes as one: it broadcast them all."""
+    rows = spark.createDataFrame([(i, prose(i % 7, 30)) for i in range(40)], "doc_id long, text string")
+    out = jaccard.join(rows)
+    assert len({r["component_id"] for r in rows_of(out)}) == 7
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_s#" in plan and not [line for line in plan.split("\n") if "BroadcastHashJoin" in line and "_s#" in line]
