@@ -165,3 +165,21 @@ def test_terms_are_counted_in_one_reading(spark):
     assert got == {("0", "the big", 3), ("0", "big cat", 3), ("0", "the big cat", 3), ("0", "ab ab", 3)}
     assert {r["text"] for r in cp.terms(df, edges=["the"]).collect()} == {"big cat", "ab ab"}
     assert "array_sort" not in cp.terms(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_hold_one_paper_at_a_time():
+    """A batch has up to 10,000 papers: their words must not all be Python strings at once."""
+    import tracemalloc
+
+    import pyarrow as pyarrow_
+
+    rows = [[f"{i}w{j}" for j in range(2000)] for i in range(200)] + [None, [], ["so", "so"] * 4]
+    tokens = pyarrow_.array(rows, pyarrow_.list_(pyarrow_.string()))
+    del rows
+    tracemalloc.start()
+    out = cp._counted(tokens, 3, frozenset())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000
+    assert out.to_pylist()[:-1] == [[]] * 202
+    assert out.to_pylist()[-1] == [{"text": " ".join(["so"] * n), "count": 9 - n} for n in (2, 3, 4)]
