@@ -74,7 +74,10 @@ def _products(queries: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, floa
     largest = a.max(initial=0.0) + b.max(initial=0.0)
     if not largest < 1e300:
         return None
-    return a[:, None] + b - 2 * (queries @ matrix.T), (4 * queries.shape[1] + 16) * np.finfo(np.float64).eps * largest + 1e-290
+    dist = (-2 * queries) @ matrix.T  # the one large array, added to in place
+    dist += a[:, None]
+    dist += b
+    return dist, (4 * queries.shape[1] + 16) * np.finfo(np.float64).eps * largest + 1e-290
 
 
 def _nearest(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int,
@@ -89,6 +92,8 @@ def _nearest(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np
         reach = np.full(len(queries), np.inf)
     order = np.argsort(ids, kind="stable")
     ids, matrix = ids[order], matrix[order]
+    if skip_self and q_ids.dtype.kind in "iuf" and ids.dtype.kind in "iuf":
+        skip_self = np.isin(q_ids, ids).any()  # most blocks have no id in common
     own = q_ids[:, None] == ids[None, :] if skip_self else None
     rough = _products(queries, matrix)
     if rough is None:

@@ -70,7 +70,11 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _scan(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """The k nearest of every pair of a query block ``q`` and a corpus block ``c``, over all blocks of a query."""
+    """The k nearest of every pair of a query block ``q`` and a corpus block ``c``, over all blocks of a query.
+
+    Half the width of a query's ring is the distance that no neighbour it needs is beyond; a ring without
+    width tells nothing of it.
+    """
     schema = T.StructType([
         T.StructField("query_id", queries.schema["id"].dataType),
         T.StructField("doc_id", corpus.schema["id"].dataType), T.StructField("distance", T.DoubleType())])
@@ -80,13 +84,18 @@ def _scan(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, skip_
         doubles = lambda name: np.frombuffer(block[name].as_buffer(), dtype=np.float64)
         return ids, doubles("vectors").reshape(len(ids), -1), doubles("lows"), doubles("highs")
 
+    def reaches(lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+        rounding = 4 * np.finfo(np.float64).eps * np.maximum(np.abs(lows), np.abs(highs))
+        return np.where(highs > lows, (((highs - lows) / 2 + rounding) * (1 + SLACK)) ** 2, np.inf)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q, c in zip(batch["q"], batch["c"]):
                 (q_ids, asked, lows, highs), (ids, held, low, high) = opened(q), opened(c)
                 meets = (lows <= high.max()) & (highs >= low.min())
                 if meets.any():
-                    near = _nearest(q_ids[meets], asked[meets], ids, held, k, skip_self)
+                    reach = reaches(lows[meets], highs[meets])
+                    near = _nearest(q_ids[meets], asked[meets], ids, held, k, skip_self, reach)
                     yield near_batch(near, q["ids"].values.type, c["ids"].values.type)
 
     near = pairs.select("q", "c").mapInArrow(run, schema)

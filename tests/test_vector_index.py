@@ -87,3 +87,18 @@ def test_one_file_is_searched_by_many_tasks(spark):
     assert "CartesianProduct" in near._jdf.queryExecution().executedPlan().toString()
     m = clustered(600)
     assert found(near) == plain(m, m, 5, True)
+
+
+def test_a_block_sends_only_what_is_within_reach(spark):
+    """The kth distance in the query's own ring is known when other rings are read."""
+    m, k = clustered(900), 5
+    rows = frame(spark, m)
+    index = vi.Index(rows, materialise, 12, 32)
+    pairs = index._met(vi._packed(index._rings(rows, k, True), 32))
+    near = vi._scan(pairs, rows, index.corpus, k, True)
+    sent = near._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" not in sent.nodeName():
+        sent = sent.children().head()
+    counted = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sent).count()
+    assert counted < 900 * 3 * k
+    assert found(near) == plain(m, m, k, True)
