@@ -12,6 +12,7 @@ from qamill.operators import catalogue as cat
 from qamill.operators import gold as go
 from qamill.operators import questions as qu
 from qamill.operators import validation as va
+from qamill.session import materialise
 
 T = F.col("t")
 KIND = ("paper_id string, title string, abstract string, sections array<struct<heading:string,content:string>>, "
@@ -107,6 +108,16 @@ def test_generate(spark):
     assert len({(r["paper_id"], r["query_type"]) for r in seeds}) == len(seeds)
 
 
+def test_questions_are_filled_once_before_their_contexts(spark):
+    """Contexts need the questions several times; their fillings are written, not made again each time."""
+    papers = paper(spark)
+    stored = []
+    made = qu.generate(papers, 6, store=lambda rows, name: (stored.append(name), materialise(rows, name))[1])
+    assert "chosen" in stored
+    assert "slot_values" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == 6
+
+
 def test_around(one):
     text = "First one. Second with term inside it! Third."
     assert one(qu.around(T, F.lit("term"), 3), t=text) == "Second with term inside it!"
