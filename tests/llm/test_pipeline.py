@@ -63,3 +63,13 @@ def test_no_text_is_lost_with_its_id(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert got == sorted([(1, a), (1, b), (None, "own words only"), (5, "own words only too"), (7, None), (7, ""), (8, " ")], key=str)
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_copies_broadcast_no_copies_of_components(spark):
+    """Spark sizes the CELLS copies of a component as one; the stage must not broadcast them."""
+    rows = [(i, f"word{i % 7} " * 3 + "the of and to in", "en", "a", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    assert sorted(r["doc_id"] for r in rows_of(out)) == list(range(7))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_s#" in plan and not [line for line in plan.split("\n") if "BroadcastHashJoin" in line and "_s#" in line]
